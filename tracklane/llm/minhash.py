@@ -205,3 +205,9 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     ).join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "class", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one_of_each(documents: DataFrame, threshold: int = 80) -> DataFrame:
+    """The rows of ``documents`` but for those linked, directly or not, to a smaller doc_id."""
+    gone = near_duplicates(documents, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +151,15 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl =
     """All columns of ``documents`` and score, the probability of the label, in front."""
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     return documents.mapInArrow(_score(*model, p), f"score double, {fields}")
+
+
+def reject(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float, p: Ftrl = Ftrl()) -> DataFrame:
+    """The rows of ``documents`` with a score below ``threshold``, columns unchanged (one named score included)."""
+    at, weight = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for scored in _score(at, weight, p)(batches):
+            rest = pa.RecordBatch.from_arrays(scored.columns[1:], schema=pa.schema(list(scored.schema)[1:]))
+            yield rest.filter(pa.compute.less(scored.column(0), threshold))
+
+    return documents.mapInArrow(run, documents.schema)
