@@ -39,11 +39,11 @@ _BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 20
-    alpha: float = 0.2
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 5.0
+    l2: float = 0.0
+    epochs: int = 5
     sample: int = 12_000
     features: int = 6_000
 
