@@ -9,9 +9,10 @@ slot empty.  Steps run for all elements of many documents at once.
 Equal sets form one class.  Classes that share a band meet in a bucket; each is
 compared with the bucket's least member on the full sets.  What stays apart in a
 bucket after the links found are grouped is compared with the rest of the
-bucket, unless the distances already known rule a link out (Jaccard distance is
-a metric).  So a bucket of n copies costs n comparisons, not n * n, and no pair
-of a bucket is left open.
+bucket, unless a bound rules the link out: the distances already known (Jaccard
+distance is a metric), or the shingles that only one of these documents has,
+which no partner can share.  So a bucket of n copies costs n comparisons, not
+n * n, and no pair of a bucket is left open.
 
 Input: columns doc_id (integer) and text, others ignored.  Null or wordless
 texts have an empty set and link with nothing.  Rows with a null doc_id come
@@ -113,6 +114,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch["doc_id"].slice(i, j - i), pa.array(values, pa.binary())], ["doc_id", "shingles"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy()
+        for i, j, raw, offsets in textkernel.texts(batch["text"]):
+            h, firsts = shingle_sets(raw, offsets)
+            yield pa.record_batch([pa.array(np.repeat(ids[i:j], np.diff(firsts))), pa.array(h.view(np.int64))], ["x", "h"])
+
+
+def _own_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(x, u): how many shingles of a document no other of these documents has; only where there are some."""
+    elements = docs.join(ids.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_elements, "x long, h long")
+    return elements.groupBy("h").agg(F.count("*").alias("c"), F.min("x").alias("x")).where("c = 1").groupBy("x").agg(F.count("*").alias("u"))
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Share of equal signature bytes."""
     for batch in batches:
@@ -185,19 +200,23 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     sizes = apart.groupBy("band", "g").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("band").agg(F.max_by("g", F.struct("c", "g")).alias("major"), F.count("*").alias("k")).where("k > 1").select("band", "major")
     apart = scratch.put(apart.join(mixed, "band").join(known, ["x", "y"], "left").withColumn("d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d"))), "apart")
-    minor = apart.where("g <> major").select("band", F.col("x").alias("x2"), F.col("g").alias("g2"), F.col("d").alias("d2"), F.col("n").alias("n2"))
+    own_shingles = scratch.put(_own_shingles(docs, apart), "own-shingles")
+    apart = apart.join(own_shingles, "x", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(f"100 * (n - u) >= {threshold} * n")
+    apart = scratch.put(apart.join(own.select(F.col("doc_id").alias("x"), "bands"), "x"), "open")
+    minor = apart.where("g <> major").select("band", F.col("x").alias("x2"), F.col("g").alias("g2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("bands").alias("bands2"))
     reach = 1 - threshold / 100 + 1e-9
     near = (F.col("d").isNull() | F.col("d2").isNull() | (F.abs(F.col("d") - F.col("d2")) <= reach)) & (F.col("g") != F.col("g2"))
-    near &= (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & ((F.col("g") == F.col("major")) | (F.col("x") < F.col("x2")))
-    crossed = apart.join(minor, "band").where(near).select(F.greatest("x", "x2").alias("x"), F.least("x", "x2").alias("y"), F.col("x").isNotNull().alias("_"))
-    crossed = crossed.select("x", "y").distinct().join(first, ["x", "y"], "left_anti")
+    near &= F.expr(f"100 * least(n - u, n2 - u2) >= {threshold} * greatest(n + u2, n2 + u)") & ((F.col("g") == F.col("major")) | (F.col("x") < F.col("x2")))
+    near &= F.expr("filter(bands, (b, i) -> b = bands2[i])[0] = band")  # in the first band that both have in common
+    crossed = apart.join(minor, "band").where(near).select(F.greatest("x", "x2").alias("x"), F.least("x", "x2").alias("y"))
+    crossed = crossed.distinct().join(first, ["x", "y"], "left_anti")
     second = _verified(scratch.put(crossed, "second"), light, docs, scratch, "rechecked", threshold)
     more = second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if more.isEmpty():
         final = groups
     else:
         final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "late")
-    for name in ("buckets", "first", "apart", "second"):
+    for name in ("buckets", "first", "apart", "own-shingles", "open", "second"):
         scratch.drop(name)
     found = members.join(final.select(F.col("id").alias("class"), "component"), "class").select("doc_id", "component")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(
