@@ -9,9 +9,11 @@ slot empty.  Steps run for all elements of many documents at once.
 Equal sets form one class.  Classes that share a band meet in a bucket; each is
 compared with the bucket's least member on the full sets.  What stays apart in a
 bucket after the links found are grouped is compared with the rest of the
-bucket, unless a bound rules the link out: the distances already known (Jaccard
-distance is a metric), or the shingles that only one of these documents has,
-which no partner can share.  So a bucket of n copies costs n comparisons, not
+bucket, unless a bound rules the link out.  One bound is the distances already
+known (Jaccard distance is a metric).  The other serves buckets where many stay
+apart: their documents' rare shingles are counted; a document with many of them
+can only be linked to one that shares some, and those meet through the rare
+shingles themselves.  So a bucket of n copies costs about n comparisons, not
 n * n, and no pair of a bucket is left open.
 
 Input: columns doc_id (integer) and text, others ignored.  Null or wordless
@@ -35,6 +37,10 @@ from .common import Scratch, components
 U = np.uint64
 BANDS, ROWS = 26, 5
 SHINGLE = 5
+#: Where more of a bucket stay apart than this, bounds decide which of them are compared.
+SPARSE = 30
+#: A shingle is rare if at most so many of the documents in such buckets have it.
+RARE = 8
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +128,25 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.repeat(ids[i:j], np.diff(firsts))), pa.array(h.view(np.int64))], ["x", "h"])
 
 
-def _own_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(x, u): how many shingles of a document no other of these documents has; only where there are some."""
-    elements = docs.join(ids.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_elements, "x long, h long")
-    return elements.groupBy("h").agg(F.count("*").alias("c"), F.min("x").alias("x")).where("c = 1").groupBy("x").agg(F.count("*").alias("u"))
+def _bound(n: str, r: str, m: str, q: str, shared: str, threshold: int) -> str:
+    """Whether sets of n and m elements may be alike, if r and q of them are rare and both have ``shared`` rare ones in common."""
+    most = f"least({n} - {r} + {shared}, {m} - {q} + {shared})"
+    return f"100 * {most} >= {threshold} * ({n} + {m} - {most})"
+
+
+def _rare(docs: DataFrame, heavy: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """For the documents ``heavy`` (x, n, g): (x, r), their rare shingles, and the pairs (x, y) that share some and may be linked."""
+    texts = docs.join(heavy.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    elements = scratch.put(texts.mapInArrow(_elements, "x long, h long"), "elements")
+    counts = elements.groupBy("h").agg(F.count("*").alias("c")).where(f"c <= {RARE}")
+    rare = scratch.put(elements.join(counts, "h"), "rare")
+    number = scratch.put(heavy.join(rare.groupBy("x").agg(F.count("*").alias("r")), "x", "left").withColumn("r", F.coalesce("r", F.lit(0))), "rareness")
+    some = rare.where("c > 1")
+    both = some.select("h", F.col("x").alias("a")).join(some.select("h", F.col("x").alias("b")), "h").where("a > b")  # at most RARE documents a shingle
+    both = both.groupBy("a", "b").agg(F.count("*").alias("s"))
+    left, right = (number.select(F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("g").alias(f"g_{k}"), F.col("r").alias(f"r_{k}")) for k in "ab")
+    both = both.join(left, "a").join(right, "b").where("g_a <> g_b").where(_bound("n_a", "r_a", "n_b", "r_b", "s", threshold))
+    return number.select("x", "r"), both.select(F.col("a").alias("x"), F.col("b").alias("y"))
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,25 +219,24 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     known = checked.select("x", "y", (1 - F.col("shared") / F.col("total")).alias("d"))
     apart = buckets.join(groups.select(F.col("id").alias("x"), F.col("component").alias("g")), "x", "left").withColumn("g", F.coalesce("g", "x"))
     sizes = apart.groupBy("band", "g").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.max_by("g", F.struct("c", "g")).alias("major"), F.count("*").alias("k")).where("k > 1").select("band", "major")
+    mixed = sizes.groupBy("band").agg(F.max_by("g", F.struct("c", "g")).alias("major"), F.count("*").alias("k"), (F.sum("c") - F.max("c")).alias("minors"))
+    mixed = mixed.where("k > 1").select("band", "major", (F.col("minors") > SPARSE).alias("dense"))
     apart = scratch.put(apart.join(mixed, "band").join(known, ["x", "y"], "left").withColumn("d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d"))), "apart")
-    own_shingles = scratch.put(_own_shingles(docs, apart), "own-shingles")
-    apart = apart.join(own_shingles, "x", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(f"100 * (n - u) >= {threshold} * n")
-    apart = scratch.put(apart.join(own.select(F.col("doc_id").alias("x"), "bands"), "x"), "open")
-    minor = apart.where("g <> major").select("band", F.col("x").alias("x2"), F.col("g").alias("g2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("u").alias("u2"), F.col("bands").alias("bands2"))
+    number, alike = _rare(docs, apart.where("dense").select("x", "n", "g").distinct(), scratch, threshold)
+    open_ = apart.join(number, "x", "left").withColumn("r", F.when(F.col("dense"), F.col("r")).otherwise(0)).where(f"100 * (n - r) >= {threshold} * n")
+    minor = open_.where("g <> major").select("band", F.col("x").alias("x2"), F.col("g").alias("g2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
     reach = 1 - threshold / 100 + 1e-9
     near = (F.col("d").isNull() | F.col("d2").isNull() | (F.abs(F.col("d") - F.col("d2")) <= reach)) & (F.col("g") != F.col("g2"))
-    near &= F.expr(f"100 * least(n - u, n2 - u2) >= {threshold} * greatest(n + u2, n2 + u)") & ((F.col("g") == F.col("major")) | (F.col("x") < F.col("x2")))
-    near &= F.expr("filter(bands, (b, i) -> b = bands2[i])[0] = band")  # in the first band that both have in common
-    crossed = apart.join(minor, "band").where(near).select(F.greatest("x", "x2").alias("x"), F.least("x", "x2").alias("y"))
-    crossed = crossed.distinct().join(first, ["x", "y"], "left_anti")
+    near &= F.expr(_bound("n", "r", "n2", "r2", "0", threshold)) & ((F.col("g") == F.col("major")) | (F.col("x") < F.col("x2")))
+    crossed = open_.join(minor, "band").where(near).select(F.greatest("x", "x2").alias("x"), F.least("x", "x2").alias("y"))
+    crossed = crossed.unionByName(alike).distinct().join(first, ["x", "y"], "left_anti")
     second = _verified(scratch.put(crossed, "second"), light, docs, scratch, "rechecked", threshold)
     more = second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if more.isEmpty():
         final = groups
     else:
         final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "late")
-    for name in ("buckets", "first", "apart", "own-shingles", "open", "second"):
+    for name in ("buckets", "first", "apart", "elements", "rare", "rareness", "second"):
         scratch.drop(name)
     found = members.join(final.select(F.col("id").alias("class"), "component"), "class").select("doc_id", "component")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(
