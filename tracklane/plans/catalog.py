@@ -1,5 +1,6 @@
 """All queries of the sensor-fusion operators."""
 
+from . import queries  # noqa: F401  registers them
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
