@@ -27,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished queries, so that Spark removes their shuffle files."""
+    spark.range(1).isEmpty()  # listeners hold on to the last query
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -40,6 +40,9 @@ from .common import Scratch, partitions
 from .fm_index import FMIndex
 
 U = np.uint64
+#: The passages meet in so many turns, by key.
+TURNS = 2
+FOUND = "key long, seg long, lo long, hi long, first_doc long, delta long"
 
 
 @dataclass(frozen=True)
@@ -291,7 +294,7 @@ def remove_repeats(documents: DataFrame, spec: Spec) -> DataFrame:
     known = docs.where("doc_id IS NOT NULL")
     counted = known.select("text").mapInArrow(_owner_counts(spec), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     shared = scratch.put(counted.select("h", (F.col("n") > spec.split_over).alias("hot")), "owners")
-    owned = known.mapInArrow(_owners_of(spec), "h long, doc_id long").join(shared, "h")
+    owned = known.mapInArrow(_owners_of(spec), "h long, doc_id long").join(shared.hint("shuffle_hash"), "h")  # each h once: no group to hold
     flags = scratch.put(
         owned.groupBy("doc_id").agg(F.collect_list(F.expr("IF(hot, NULL, h)")).alias("warm"), F.collect_list(F.expr("IF(hot, h, NULL)")).alias("hot")),
         "flags",
@@ -301,12 +304,12 @@ def remove_repeats(documents: DataFrame, spec: Spec) -> DataFrame:
         known.join(flags, "doc_id").mapInArrow(_passages(spec), "key long, seg long, doc_id long, start long, content binary"), "passages"
     )
     scratch.drop("flags")
-    spread = passages.where("content IS NOT NULL").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    found = scratch.put(
-        spread.mapInArrow(_resolve(spec), "key long, seg long, lo long, hi long, first_doc long, delta long"), "found"
-    )
+    for turn in range(TURNS):  # so that only a part of all passages is on its way at once
+        spread = passages.where(F.col("content").isNotNull() & (F.pmod("key", F.lit(TURNS)) == turn)).repartition(partitions(spark), "key").sortWithinPartitions("key")
+        scratch.put(spread.mapInArrow(_resolve(spec), FOUND), f"found/turn={turn}")
+    found = spark.read.schema(FOUND).parquet(*(scratch.path(f"found/turn={turn}") for turn in range(TURNS)))
     earlier = "first_doc < doc_id OR first_doc = doc_id AND delta < start" if spec.within else "first_doc < doc_id"
-    gone = passages.select("key", "seg", "doc_id", "start").join(found, ["key", "seg"]).where(earlier)
+    gone = passages.select("key", "seg", "doc_id", "start").join(found.hint("shuffle_hash"), ["key", "seg"]).where(earlier)
     gone = gone.select("doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     removed = scratch.put(gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("removed")), "removed")
     scratch.drop("passages")
