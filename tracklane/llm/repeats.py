@@ -50,8 +50,8 @@ class Spec:
     unit: str  # 'word' or 'byte'
     window: int
     k: int
-    #: An owner in more documents than this is split by window.
-    split_over: int = 500
+    #: An owner of more passages than this (equal ones of a run of texts count once) is split by window.
+    split_over: int = 2000
     #: Tokens of passages that a shard indexes at once.
     block: int = 300_000
     within: bool = True  # whether repeats within one document count
@@ -84,19 +84,37 @@ def _distinct(*keys: np.ndarray) -> np.ndarray:
 
 
 def _owner_counts(spec: Spec):
+    """(h, n, m): an owner's occurrences (documents, without ``within``) and its distinct passages in a run of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in textkernel.texts(batch["text"]):
                 spans, firsts, _, _ = _tokens(raw, offsets, spec)
-                doc, _, _, _, h = _runs(spans, firsts, spec)
-                if not spec.within:
-                    h = h[_distinct(doc, h)]
-                h, n = np.unique(h, return_counts=True)
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+                doc, first, last, at, h = _runs(spans, firsts, spec)
+                by = np.argsort(h, kind="stable")  # documents stay in order
+                h, doc = h[by], doc[by]
+                new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+                counted = new | np.r_[True, doc[1:] != doc[:-1]] if len(h) and not spec.within else np.ones(len(h), bool)
+                heads = np.flatnonzero(new)
+                n = np.add.reduceat(counted, heads, dtype=np.int64) if len(h) else np.zeros(0, np.int64)
+                m = np.ones(len(heads), np.int64)
+                group = np.cumsum(new) - 1
+                rest = np.flatnonzero(np.diff(np.append(heads, len(h)))[group] > 1)
+                if len(rest):
+                    of = by[rest]
+                    seg = _segment(spans, first[of], last[of] + spec.window, at[of])
+                    own = _distinct(seg, group[rest])
+                    m += np.bincount(group[rest][own], minlength=len(m)) - (np.bincount(group[rest], minlength=len(m)) > 0)
+                yield pa.record_batch([pa.array(h[heads].view(np.int64)), pa.array(n), pa.array(m)], ["h", "n", "m"])
 
     return run
 
 
+def _segment(spans, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the passages [a, b) and the place of their owner."""
+    return textkernel.mix(spans.hash(a, b) ^ (at - a).astype(np.uint64))
+
+
 def _owners_of(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,8 +310,8 @@ def remove_repeats(documents: DataFrame, spec: Spec) -> DataFrame:
     scratch = Scratch(spark, "repeats")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    counted = known.select("text").mapInArrow(_owner_counts(spec), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = scratch.put(counted.select("h", (F.col("n") > spec.split_over).alias("hot")), "owners")
+    counted = known.select("text").mapInArrow(_owner_counts(spec), "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 1")
+    shared = scratch.put(counted.select("h", (F.col("m") > spec.split_over).alias("hot")), "owners")
     owned = known.mapInArrow(_owners_of(spec), "h long, doc_id long").join(shared.hint("shuffle_hash"), "h")  # each h once: no group to hold
     flags = scratch.put(
         owned.groupBy("doc_id").agg(F.collect_list(F.expr("IF(hot, NULL, h)")).alias("warm"), F.collect_list(F.expr("IF(hot, h, NULL)")).alias("hot")),
