@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import Scratch, components
+from .common import Scratch, components, small_batches
 
 U = np.uint64
 BANDS, ROWS = 26, 5
 SHINGLE = 5
+#: Bytes of text that are sketched at once (or one longer document), and pairs of sets that are compared at once.
+CHUNK, PAIRS = 1 << 19, 500
 #: Where more of a bucket stay apart than this, bounds decide which of them are compared.
 SPARSE = 30
 #: A shingle is rare if at most so many of the documents in such buckets have it.
@@ -89,7 +91,7 @@ def super_minhash(h: np.ndarray, firsts: np.ndarray, slots: int = BANDS * ROWS)
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, raw, offsets in textkernel.texts(batch["text"]):
+        for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
             h, firsts = shingle_sets(raw, offsets)
             sig = super_minhash(h, firsts)
             sizes = np.diff(firsts)
@@ -114,7 +116,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, raw, offsets in textkernel.texts(batch["text"]):
+        for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
             h, firsts = shingle_sets(raw, offsets)
             values = [h[a:b].tobytes() for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
             yield pa.record_batch([batch["doc_id"].slice(i, j - i), pa.array(values, pa.binary())], ["doc_id", "shingles"])
@@ -123,7 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
-        for i, j, raw, offsets in textkernel.texts(batch["text"]):
+        for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
             h, firsts = shingle_sets(raw, offsets)
             yield pa.record_batch([pa.array(np.repeat(ids[i:j], np.diff(firsts))), pa.array(h.view(np.int64))], ["x", "h"])
 
@@ -185,7 +187,8 @@ def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, scratch: Scr
     left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x"))
     right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y"))
     joined = close.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y")
-    out = scratch.put(joined.mapInArrow(_overlap, "x long, y long, shared long, total long"), name)
+    with small_batches(docs.sparkSession, PAIRS):
+        out = scratch.put(joined.mapInArrow(_overlap, "x long, y long, shared long, total long"), name)
     scratch.drop(f"{name}-sets")
     scratch.drop(f"{name}-close")
     return out

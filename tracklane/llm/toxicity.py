@@ -32,6 +32,8 @@ from . import textkernel
 
 U = np.uint64
 STEM = 5
+#: Bytes of text that are scored at once, or one longer document.
+CHUNK = 1 << 19
 _BREAK = textkernel._SPACE.copy()
 _BREAK[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
@@ -75,7 +77,7 @@ def _distinct(feature: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarr
 def _features(p: Ftrl):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in textkernel.texts(batch["text"]):
+            for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
                 feature, doc = _distinct(*occurrences(raw, offsets, p.bits), p.bits)
                 at = np.searchsorted(doc, np.arange(j - i + 1))
                 f = feature.astype(np.int32)
@@ -135,7 +137,7 @@ def _score(at: np.ndarray, weight: np.ndarray, p: Ftrl):
         dense[at] = weight
         bias = dense[-1]
         for batch in batches:
-            for i, j, raw, offsets in textkernel.texts(batch["text"]):
+            for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
                 feature, doc = occurrences(raw, offsets, p.bits)
                 count = np.bincount(_distinct(feature, doc, p.bits)[1], minlength=j - i)
                 some = dense[feature] != 0
