@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import textkernel, tokens
-from .common import partitions
+from .common import partitions, small_batches
 
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
@@ -269,7 +269,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
     spark.dataSource.register(TokenBits)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     ordered = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_ids(tokenizer, end), SCHEMA).write.format("tokbits").mode("append").option("bits", width(vocabulary)).save(path)
+    with small_batches(spark, 1000):  # texts go in and ids come out of two Python workers a task
+        ordered.mapInArrow(_ids(tokenizer, end), SCHEMA).write.format("tokbits").mode("append").option("bits", width(vocabulary)).save(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

@@ -20,6 +20,8 @@ from . import textkernel
 #: Unicode white space beyond ASCII, and the ASCII separators that some regular expressions count as space.
 _ODD = re.compile(b"\xc2\xa0|\xc2\x85|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 MOST_CHUNKS = 1_000_000
+#: Chunks that the tokenizer gets in one call: its encodings are far larger than the ids.
+AT_ONCE = 10_000
 
 
 class ChunkTable:
@@ -40,13 +42,17 @@ class ChunkTable:
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > MOST_CHUNKS:
             self.clear()
-        found = self.encode(texts)
-        count = np.fromiter(map(len, found), np.int64, len(found))
+        counts, ids = [np.zeros(0, np.int64)], [self.ids]
+        for i in range(0, len(texts), AT_ONCE):
+            found = self.encode(texts[i : i + AT_ONCE])
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((x for f in found for x in f), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
         first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate((self.ids, np.fromiter((x for f in found for x in f), np.uint32, int(count.sum()))))
-        keys, first, count = np.concatenate((self.keys, keys)), np.concatenate((self.first, first)), np.concatenate((self.count, count))
+        self.ids = np.concatenate(ids)
         by = np.argsort(keys)
-        self.keys, self.first, self.count = keys[by], first[by], count[by]
+        at = np.searchsorted(self.keys, keys[by])
+        self.keys, self.first, self.count = np.insert(self.keys, at, keys[by]), np.insert(self.first, at, first[by]), np.insert(self.count, at, count[by])
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table, and whether the key is there."""
