@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,6 +20,8 @@ from . import textkernel
 
 #: Unicode white space beyond ASCII, and the ASCII separators that some regular expressions count as space.
 _ODD = re.compile(b"\xc2\xa0|\xc2\x85|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
+_MAY_BE_ODD = np.zeros(256, bool)
+_MAY_BE_ODD[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 MOST_CHUNKS = 1_000_000
 #: Chunks that the tokenizer gets in one call: its encodings are far larger than the ids.
 AT_ONCE = 10_000
@@ -46,7 +49,7 @@ class ChunkTable:
         for i in range(0, len(texts), AT_ONCE):
             found = self.encode(texts[i : i + AT_ONCE])
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((x for f in found for x in f), np.uint32, int(counts[-1].sum())))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
         count = np.concatenate(counts)
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate(ids)
@@ -82,7 +85,8 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     table = chunk_table(path)
     n = len(offsets) - 1
     data = raw.tobytes()
-    odd = [d for d in range(n) if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))] if _ODD.search(data) else []
+    some = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY_BE_ODD[raw]), "right") - 1)
+    odd = [d for d in some.tolist() if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))]
     starts = _chunks(raw, offsets)
     ends = np.append(starts[1:], len(raw))
     doc = np.searchsorted(offsets, starts, "right") - 1
