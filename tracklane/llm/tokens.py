@@ -1,14 +1,16 @@
 """Token ids of texts by a tokenizers file, with each distinct chunk encoded once.
 
 The pre-tokenizers used here never join characters across the edge from a
-non-space to a space, so a text's ids are those of its chunks (spaces and the
-word behind them) one after the other.  A chunk table in each Python worker maps
-chunk hashes to ids; numpy expands them.  Texts with other than ASCII spaces go
-through the tokenizer whole.
+non-space to a space, nor across one between an ASCII letter and ASCII
+punctuation other than the apostrophe.  So a text's ids are those of its chunks
+(spaces and what stands behind them up to the next such edge) one after the
+other.  A chunk table in each Python worker maps chunk hashes to ids; numpy
+expands them.  Texts with other than ASCII spaces go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -22,6 +24,11 @@ from . import textkernel
 _ODD = re.compile(b"\xc2\xa0|\xc2\x85|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 _MAY_BE_ODD = np.zeros(256, bool)
 _MAY_BE_ODD[[0xC2, 0xE1, 0xE2, 0xE3, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+#: 1: ASCII letters, 2: ASCII punctuation but the apostrophe, 0: all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[48:58] = _KIND[39] = 0
+_KIND[65:91] = _KIND[97:123] = 1
 MOST_CHUNKS = 1_000_000
 #: Chunks that the tokenizer gets in one call: its encodings are far larger than the ids.
 AT_ONCE = 10_000
@@ -29,6 +36,7 @@ AT_ONCE = 10_000
 
 class ChunkTable:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the tokenizer would spin
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.clear()
@@ -71,10 +79,10 @@ def chunk_table(path: str) -> ChunkTable:
 
 
 def _chunks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """First byte of each chunk: texts' starts, and each space that follows a non-space."""
-    space = textkernel._SPACE[raw]
+    """First byte of each chunk: texts' starts, each space that follows a non-space, and each edge of letter and punctuation."""
+    space, kind = textkernel._SPACE[raw], _KIND[raw]
     start = np.zeros(len(raw) + 1, bool)
-    start[1:-1] = space[1:] & ~space[:-1]
+    start[1:-1] = (space[1:] & ~space[:-1]) | (kind[1:] * kind[:-1] == 2)
     start[offsets[:-1]] = True
     start[len(raw)] = False
     return np.flatnonzero(start)
