@@ -39,6 +39,8 @@ BANDS, ROWS = 26, 5
 SHINGLE = 5
 #: Bytes of text that are sketched at once (or one longer document), and pairs of sets that are compared at once.
 CHUNK, PAIRS = 1 << 19, 500
+#: Sets are compared in turns of about so many elements, in at most MOST_TURNS turns.
+TURN_ELEMENTS, MOST_TURNS = 5_000_000, 16
 #: Where more of a bucket stay apart than this, bounds decide which of them are compared.
 SPARSE = 30
 #: A shingle is rare if at most so many of the documents in such buckets have it.
@@ -156,7 +158,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(n, BANDS * ROWS) if n else np.zeros((0, 1)) for c in ("low_x", "low_y"))
-        yield pa.record_batch([batch["x"], batch["y"], pa.array((x == y).mean(axis=1) if n else np.zeros(0))], ["x", "y", "alike"])
+        yield pa.record_batch([batch["x"], batch["y"], batch["n"], pa.array((x == y).mean(axis=1) if n else np.zeros(0))], ["x", "y", "n", "alike"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +181,24 @@ def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, scratch: Scr
     """
     s = threshold / 100
     least = max(0.0, s - 8 * (s * (1 - s) / (BANDS * ROWS)) ** 0.5)
-    low = sketch.select(F.col("doc_id").alias("x"), F.col("low").alias("low_x"))
-    pairs = pairs.join(low, "x").join(low.select(F.col("x").alias("y"), F.col("low_x").alias("low_y")), "y").select("x", "y", "low_x", "low_y")
-    close = scratch.put(pairs.mapInArrow(_alike, "x long, y long, alike double").where(F.col("alike") >= least).select("x", "y"), f"{name}-close")
+    left, right = (sketch.select(F.col("doc_id").alias(k), F.col("low").alias(f"low_{k}"), F.col("n").alias(f"n_{k}")) for k in "xy")
+    pairs = pairs.join(left, "x").join(right, "y").select("x", "y", "low_x", "low_y", (F.col("n_x") + F.col("n_y")).alias("n"))
+    close = scratch.put(pairs.mapInArrow(_alike, "x long, y long, n long, alike double").where(F.col("alike") >= least).select("x", "y", "n"), f"{name}-close")
     need = close.select(F.col("x").alias("doc_id")).union(close.select("y")).distinct()
     sets = scratch.put(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x"))
     right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y"))
-    joined = close.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y")
-    with small_batches(docs.sparkSession, PAIRS):
-        out = scratch.put(joined.mapInArrow(_overlap, "x long, y long, shared long, total long"), name)
+    spark = docs.sparkSession
+    turns = min(MOST_TURNS, 1 + (close.agg(F.sum("n")).first()[0] or 0) // TURN_ELEMENTS)
+    compared = "x long, y long, shared long, total long"
+    with small_batches(spark, PAIRS):
+        for turn in range(turns):  # so that only a part of the sets is on its way at once
+            part = close.where(F.pmod(F.xxhash64("y"), F.lit(turns)) == turn).select("x", "y")
+            joined = part.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y")
+            scratch.put(joined.mapInArrow(_overlap, compared), f"{name}/turn={turn}")
     scratch.drop(f"{name}-sets")
     scratch.drop(f"{name}-close")
-    return out
+    return spark.read.schema(compared).parquet(*(scratch.path(f"{name}/turn={turn}") for turn in range(turns)))
 
 
 def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
@@ -213,7 +220,7 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     centre = rows.groupBy("band").agg(F.min("x").alias("y"), F.count("*").alias("size")).where("size > 1").select("band", "y")
     buckets = scratch.put(rows.join(centre, "band"), "buckets")
     first = scratch.put(buckets.where("x <> y").select("x", "y").distinct(), "first")
-    light = own.select("doc_id", "low")
+    light = own.select("doc_id", "low", "n")
     checked = _verified(first, light, docs, scratch, "checked", threshold)
     linked = f"100 * shared >= {threshold} * total"
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
