@@ -44,6 +44,11 @@ def next_open(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return events.withColumn("next_open", F.coalesce(after, F.min(open_at).over(w)))
 
 
+def progress(events: DataFrame, keys: list[str]) -> DataFrame:
+    """How many events there are, and how many of them have been decided."""
+    return events.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("review_status") != T.OPEN).alias("reviewed"))
+
+
 def report(events: DataFrame, metrics: DataFrame, speeds: DataFrame) -> DataFrame:
     """Accepted events with their passing metrics and speeds; what is missing stays null and is named in ``warning``.
 

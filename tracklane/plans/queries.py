@@ -14,6 +14,8 @@ from ..operators import points as L
 from ..operators import review as R
 from ..operators import timeline as W
 from ..operators import tracks as K
+from ..sources import exports
+from ..streaming import live
 from .registry import query
 from .views import POINTS, SAMPLES, TRAJECTORY, points, samples, table, trajectory
 
@@ -336,3 +338,36 @@ def final_report(spark, sf_dir):
     values = samples(spark, sf_dir).select(F.col("track_id").alias("user_id"), "t", "area")
     s = W.range_average(spans(spark, sf_dir), values, ["user_id"], "lo", "hi", "t", "area", 43200.0).select(F.col("interval_id").alias("event_id"), (F.col("mean") * 3.6).alias("own_speed"))
     return R.report(e.drop("track_id"), m, s).select("event_id", "vehicle_class", "danger", "passing_time", "own_speed", "warning")
+
+
+@query("track_sessions", f"""SELECT track_id, count(*) AS n, min(t) AS t_start, max(t) AS t_end, arg_min(cx,i) AS cx_start, arg_max(cx,i) AS cx_end, max(area) AS peak_area, arg_min(t,{{'a':-area,'i':i}}) AS peak_t
+ FROM (SELECT *, sum(CASE WHEN t-p>=21600 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY i) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY track_id ORDER BY i) AS p FROM ({SAMPLES}))) GROUP BY track_id, g""")
+def track_sessions(spark, sf_dir):
+    s = samples(spark, sf_dir).withColumn("event_time", F.timestamp_micros("ord.us"))
+    return live.track_sessions(s, "6 hours").drop("session", "video_id")
+
+
+@query("union_videos", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM (SELECT * FROM events WHERE event_type='click' UNION ALL SELECT * FROM events WHERE event_type='view') GROUP BY 1")
+def union_videos(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    both = e.where("event_type = 'click'").unionByName(e.where("event_type = 'view'"))
+    return both.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("parse_time", "SELECT event_id, CAST(event_id % 24 * 3600 + event_id % 60 * 60 + event_id % 59 AS DOUBLE) AS seconds FROM events")
+def parse_time(spark, sf_dir):
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", T.parse_time(F.concat_ws(":", k % 24, k % 60, k % 59)).alias("seconds"))
+
+
+@query("review_counts", f"SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE {_STATUS}<>'未確認') AS reviewed FROM orders GROUP BY 1")
+def review_counts(spark, sf_dir):
+    return R.progress(reviews(spark, sf_dir), ["o_custkey"])
+
+
+@query("event_rows", f"""SELECT printf('%03d', row_number() OVER (ORDER BY t_start, track_id)) AS event_id, printf('%.2f', t_start) AS t_start_s, printf('%.2f', t_end-t_start) AS duration_s, n AS kei_plate_hits, 'a.mp4' AS source_video FROM ({_MEASURES}) WHERE n>=5""")
+def event_rows(spark, sf_dir):
+    m = K.number_events(K.track_measures(samples(spark, sf_dir)).where("n >= 5"), "t_start", "track_id")
+    m = m.withColumns({c: F.lit("") for c in ("vehicle_type", "detector_class", "side")} | {"plate_score": F.lit(0.0), "plate_hits": F.col("n"), "source_video": F.lit("clips/a.mp4")})
+    m = m.withColumns({"global_t_start": F.col("t_start"), "global_peak_t": F.col("t_start"), "global_t_end": F.col("t_end")})
+    return exports.event_rows(m).select("event_id", "t_start_s", "duration_s", "kei_plate_hits", "source_video")
