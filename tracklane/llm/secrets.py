@@ -1,11 +1,12 @@
 """Secrets in texts: known forms, and strings of high entropy.
 
 Known forms are those of the fixed expressions below.  Beyond them, each maximal
-run of candidate characters is searched for windows of high Shannon entropy, per
-character class: as the window moves, one count rises and one falls, and with
-them the sum of c log c.  The windows of a run above the threshold are reported
-as one span.  Runs on the allow-list (UUIDs, dates and versions, words, numbers,
-addresses) and runs that overlap a known form are left out.
+run of candidate characters, less the known forms in it, is searched for windows
+of high Shannon entropy: all its windows as base64, and those of each stretch of
+hex digits in it as hex.  As the window moves, one count rises and one falls, and
+with them the sum of c log c.  The windows of a piece above the threshold are
+reported as one span.  Pieces and stretches on the allow-list (UUIDs, dates and
+versions, words, numbers, addresses, paths of such words) are left out.
 
 Positions are in code points, ends exclusive.  Input: doc_id and text, others
 ignored or handed on; a null text is empty; repeated rows are scanned each.
@@ -29,13 +30,33 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
-#: Candidate classes of the entropy scan: least run, window, least entropy in bits a character.
-CLASSES = {"hex": (32, 24, 3.0), "base64": (24, 20, 3.7)}
-ALLOWED = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.,:/_+-]+|[A-Za-z]+|[A-Za-z]+([-_/.=+][A-Za-z]+)+|(https?|ftp):.*|[a-z]+://.*|/?([\w.-]+/)+[\w.-]*")
+#: Candidate classes of the entropy scan: window, least entropy in bits a character.
+CLASSES = {"hex": (24, 3.0), "base64": (20, 3.7)}
+ALLOWED = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.,:/_+-]+|[A-Za-z]+|[A-Za-z]+([-_/.=+][A-Za-z]+)+|(https?|ftp):.*|[a-z]+://.*")
+#: A run of this form is on the allow-list if each of its segments looks like words.
+PATH = re.compile(rb"/?([\w.-]+/)+[\w.-]*")
 
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
-_IS_HEX = re.compile(rb"[0-9a-fA-F]+")
+_HEX_STRETCH = re.compile(rb"[0-9a-fA-F]{%d,}" % CLASSES["hex"][0])
+_LETTERS_AND_NUMBER = re.compile(rb"([A-Za-z]*)[0-9]*|[0-9]*([A-Za-z]*)")
+_CASE_CHANGE = re.compile(rb"[a-z](?=[A-Z])|[A-Z](?=[a-z])")
+
+
+def _word_like(part: bytes) -> bool:
+    """Letters with the case of words, with at most one number before or behind them; or of four different characters at most."""
+    if len(set(part)) <= 4:
+        return True
+    m = _LETTERS_AND_NUMBER.fullmatch(part)
+    letters = m and (m[1] or m[2] or b"")
+    return letters is not None and len(_CASE_CHANGE.findall(letters)) <= max(3, len(letters) / 3)
+
+
+def allowed(run: bytes) -> bool:
+    """Whether a run is on the allow-list: as a whole, or as a path whose segments all are or consist of words."""
+    if ALLOWED.fullmatch(run):
+        return True
+    return bool(PATH.fullmatch(run)) and all(ALLOWED.fullmatch(x) or all(map(_word_like, re.split(rb"[._-]", x))) for x in run.split(b"/"))
 
 
 def entropy_windows(run: bytes, window: int, least: float) -> tuple[int, int] | None:
@@ -59,6 +80,18 @@ def entropy_windows(run: bytes, window: int, least: float) -> tuple[int, int] |
     return None if first is None else (first, last)
 
 
+def entropy_span(piece: bytes) -> tuple[int, int] | None:
+    """First and last + 1 character of a piece's windows of high entropy, of either class."""
+    if allowed(piece):
+        return None
+    hits = [entropy_windows(piece, *CLASSES["base64"])]
+    for m in _HEX_STRETCH.finditer(piece):
+        if not allowed(m[0]) and (hit := entropy_windows(m[0], *CLASSES["hex"])):
+            hits.append((m.start() + hit[0], m.start() + hit[1]))
+    hits = [hit for hit in hits if hit]
+    return (min(a for a, _ in hits), max(b for _, b in hits)) if hits else None
+
+
 def _runs(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of candidate characters of ``least`` bytes at least."""
     inside = _CANDIDATE[raw]
@@ -88,15 +121,14 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int
     taken: dict[int, list[tuple[int, int]]] = {}
     for d, a, b, _ in out:
         taken.setdefault(d, []).append((a, b))
-    starts, ends = _runs(raw, offsets, min(c[0] for c in CLASSES.values()))
+    shortest = min(window for window, _ in CLASSES.values())
+    starts, ends = _runs(raw, offsets, shortest)
     docs = np.searchsorted(offsets, starts, "right") - 1
     for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        run = data[a:b]
-        if ALLOWED.fullmatch(run) or any(x < b and a < y for x, y in taken.get(d, ())):
-            continue
-        least, window, bits = CLASSES["hex" if _IS_HEX.fullmatch(run) else "base64"]
-        if len(run) >= least and (hit := entropy_windows(run, window, bits)):
-            out.append((d, a + hit[0], a + hit[1], 3))
+        for x, y in [*sorted(k for k in taken.get(d, ()) if k[0] < b and a < k[1]), (b, b)]:
+            if x - a >= shortest and (hit := entropy_span(data[a:x])):
+                out.append((d, a + hit[0], a + hit[1], 3))
+            a = max(a, y)
     return sorted(out, key=lambda x: (x[0], x[1], x[3]))
 
 
