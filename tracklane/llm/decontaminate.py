@@ -1,12 +1,17 @@
 """Benchmark passages in documents, re-parameterised ones included.
 
 Texts become templates: numbers, units and names turn into typed placeholders,
-other words are lower-cased and stripped of punctuation.  Windows of WINDOW
-template words of the benchmark are hash-joined with those of the documents.  A
-document holds an item if it holds a share of its windows (``share``) and the
-slots are consistent: where the item repeats a value, the document repeats one
-too, and different values stay different.  Of an item with fewer than WINDOW
-words the whole template is its one window; one without a word is never held.
+other words are lower-cased and stripped of punctuation.  A unit counts only
+behind a number, or attached to one; names that follow each other are one.  A
+capitalised word that begins a sentence is read both ways, as a plain word and as
+a name, on both sides.  Windows of WINDOW template words of the benchmark are
+hash-joined with those of the documents.  A document holds an item if it holds a
+share of its windows (``share``) and the slots are consistent: where the item
+repeats a value, the document repeats one too, and different values stay
+different.  Of an item with fewer than WINDOW words the whole template is its one
+window, and documents are searched for windows of that length too; without a
+plain word in it, its own values must be there.  An item without a word is never
+held.
 
 The benchmark's windows are sent to the tasks when their number is within
 ``broadcast_windows`` (it is counted first); beyond it both sides are shuffled.
@@ -40,117 +45,154 @@ UNITS = tuple(
     "meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres "
     "percent dollars euros cents usd eur c f k w kw v a hz khz mhz ghz mph kmh".split()
 )
-NUMBER, UNIT, NAME = b"<num>", b"<unit>", b"<name>"
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*%?|(zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million)")
-
-
-def _plain(word: bytes) -> bytes:
-    return word.strip(_PUNCTUATION).lower()
+_ONES = rb"one|two|three|four|five|six|seven|eight|nine"
+_TENS = rb"twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
+_NUMBER = re.compile(
+    rb"[+-]?[$]?\d[\d.,:/]*%?|(" + _TENS + rb")-(" + _ONES + rb")|" + _ONES + rb"|" + _TENS + rb"|"
+    rb"zero|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion"
+)
+_WITH_UNIT = re.compile(rb"([+-]?[$]?\d[\d.,:/]*)(" + "|".join(sorted(UNITS, key=len, reverse=True)).encode() + rb")")
+_UNIT_SET = frozenset(u.encode() for u in UNITS)
 
+# An opening is a capitalised word that begins a sentence: it is read as a plain word and as a name.
+_PLAIN, _NUM, _UNIT, _NAME, _OPENING = range(5)
+_PLACEHOLDER = np.arange(5, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
 
-def template(text: bytes) -> tuple[list[bytes], list[bytes | None]]:
-    """Template words of a text, and the value of each that is a placeholder.
 
-    A name is a capitalised word that does not begin a sentence; a unit counts
-    only behind a number.
-    """
-    words: list[bytes] = []
-    values: list[bytes | None] = []
-    begins = True
-    for w in re.findall(rb"[^\x20\x09-\x0D]+", text):
-        plain = _plain(w)
-        if plain:
-            core = w.strip(_PUNCTUATION)
-            if _NUMBER.fullmatch(plain):
-                words.append(NUMBER)
-                values.append(plain)
-            elif words and words[-1] == NUMBER and plain.decode("utf-8", "replace") in UNITS:
-                words.append(UNIT)
-                values.append(plain)
-            elif core[:1].isupper() and not begins:
-                words.append(NAME)
-                values.append(plain)
-            else:
-                words.append(plain)
-                values.append(None)
-        begins = w[-1:] in b".!?:" or (begins and not plain)
-    return words, values
-
-
-# The vectorised twin of template(): classes of words decided on distinct words.
-_KIND_PLAIN, _KIND_NUMBER, _KIND_UNIT, _KIND_NAME = range(4)
+def classify(w: bytes) -> tuple[bytes, bytes, bool, bool, bool, bool, bool, bool]:
+    """Plain word, unit attached to it, and whether it is a number, a unit, capitalised, ends a sentence, is closed before, and behind."""
+    core = w.strip(_PUNCTUATION)
+    if core.isascii():
+        plain, capital = core.lower(), core[:1].isupper()
+    else:
+        text = core.decode("utf-8", "replace")
+        plain, capital = text.lower().encode(), text[:1].isupper()
+    attached = b""
+    if m := _WITH_UNIT.fullmatch(plain):
+        plain, attached = m[1], m[2]
+    return plain, attached, bool(_NUMBER.fullmatch(plain)), plain in _UNIT_SET, capital, w[-1:] in b".!?:", w[:1] != core[:1], w[-1:] != core[-1:]
 
 
 class Templates:
-    """Template word hashes, values and document starts of a run of texts."""
+    """Template words of a run of texts: hash, kind, value, document, and place in it.
+
+    Names that follow each other are one.  ``joins``: an opening that is one name
+    with the next word when it is read as a name; that word shares its place.
+    """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         starts, ends, firsts = textkernel.words(raw, offsets)
         keys = textkernel.byte_spans(raw).hash(starts, ends)
         distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
         data = raw.tobytes()
-        plain_hash = np.zeros(len(distinct), np.uint64)
-        flags = np.zeros((len(distinct), 5), bool)  # word, number, unit, capital, ends a sentence
-        plains = []
-        for i, (a, b) in enumerate(zip(starts[index].tolist(), ends[index].tolist(), strict=True)):
-            w = data[a:b]
-            core = w.strip(_PUNCTUATION)
-            plain = core.lower()
-            plains.append(plain)
-            flags[i] = bool(plain), bool(_NUMBER.fullmatch(plain)), plain in _UNIT_SET, core[:1].isupper(), w[-1:] in b".!?:"
-        if plains:
-            raw2 = np.frombuffer(b"".join(plains), np.uint8)
-            at = np.r_[0, np.cumsum([len(p) for p in plains])]
-            plain_hash = textkernel.byte_spans(raw2).hash(at[:-1], at[1:])
-        word, number, unit, capital, closes = flags[inverse].T if len(distinct) else np.zeros((5, 0), bool)
+        found = [classify(data[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+        plain_hash = _hashes([x[0] for x in found])[inverse]
+        unit_hash = _hashes([x[1] for x in found])[inverse]
+        flags = np.array([(bool(x[0]), bool(x[1]), *x[2:]) for x in found], bool).reshape(-1, 8)
+        word, attached, number, unit, capital, closes, before, behind = flags[inverse].T
+        n = len(word)
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         # a word begins a sentence if the last word with letters before it ends one or is in another document
-        before = np.maximum.accumulate(np.where(word | closes, np.arange(len(word)), -1)) if len(word) else np.zeros(0, np.int64)
-        previous = np.r_[-1, before[:-1]] if len(word) else before
+        last = np.maximum.accumulate(np.where(word | closes, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+        previous = np.r_[-1, last[:-1]] if n else last
         begins = (previous < 0) | (closes[previous] | (doc[previous] != doc))
-        keep = np.flatnonzero(word)
-        number, unit, capital, begins, doc = number[keep], unit[keep], capital[keep], begins[keep], doc[keep]
-        after_number = np.r_[False, number[:-1] & (doc[1:] == doc[:-1])] if len(keep) else number
-        kind = np.where(number, _KIND_NUMBER, np.where(unit & after_number, _KIND_UNIT, np.where(capital & ~begins, _KIND_NAME, _KIND_PLAIN)))
-        self.value = plain_hash[inverse[keep]]
-        self.kind = kind
-        self.hash = np.where(kind == _KIND_PLAIN, self.value, kind.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        self.firsts = np.searchsorted(doc, np.arange(len(offsets)))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first word and hash of each window."""
-        n = np.diff(self.firsts)
-        counts = np.where(n >= WINDOW, n - WINDOW + 1, np.minimum(n, 1))
-        doc = np.repeat(np.arange(len(n)), counts)
-        a = self.firsts[:-1][doc] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return doc, a, textkernel.Spans(self.hash).hash(a, np.minimum(a + WINDOW, self.firsts[1:][doc]))
-
-    def slots(self, a: np.ndarray) -> np.ndarray:
-        """Values of the placeholders of the windows from ``a`` on (zero: no placeholder)."""
-        at = np.minimum(a[:, None] + np.arange(WINDOW), max(len(self.value) - 1, 0))
-        return np.where(self.kind[at] == _KIND_PLAIN, U(0), self.value[at] | U(1)) if len(a) else np.zeros((0, WINDOW), np.uint64)
-
-
-_UNIT_SET = frozenset(u.encode() for u in UNITS)
-
-
-def _windows(only: np.ndarray | None, name: str):
-    """Rows of windows: id, place, hash, slot values; ``only``: sorted hashes that are wanted."""
+        # a number with its unit is two words
+        at = np.repeat(np.arange(n), word.astype(np.int64) + (word & attached))
+        second = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, bool)
+        doc, number = doc[at], number[at] & ~second
+        same = np.r_[False, doc[1:] == doc[:-1]] if len(at) else np.zeros(0, bool)
+        after_number = np.r_[False, number[:-1]] & same if len(at) else number
+        capital = capital[at]
+        kind = np.where(number, _NUM, np.where(second | (unit[at] & after_number), _UNIT, np.where(capital, np.where(begins[at], _OPENING, _NAME), _PLAIN)))
+        value = textkernel.mix(np.where(second, unit_hash[at], plain_hash[at]))
+        # names that follow each other without punctuation between them
+        adjacent = same & np.r_[False, (at[1:] == at[:-1] + 1) & ~behind[at[:-1]] & ~before[at[1:]]] if len(at) else same
+        more = adjacent & (kind == _NAME)
+        more[1:] &= kind[:-1] == _NAME
+        head = np.flatnonzero(~more)
+        joined = (adjacent & (kind == _NAME) & np.r_[False, kind[:-1] == _OPENING])[head] if len(at) else more
+        self.value = np.add.reduceat(value, head) if len(head) else value
+        self.kind, self.doc = kind[head], doc[head]
+        self.hash = np.where(self.kind == _PLAIN, self.value, _PLACEHOLDER[self.kind])
+        self.joined, self.joins = joined, np.append(joined[1:], False) if len(head) else joined
+        self.firsts = np.searchsorted(self.doc, np.arange(len(offsets)))
+        rank = np.cumsum(~joined) - 1
+        self.place = rank - rank[self.firsts[:-1][self.doc]] if len(head) else rank
+
+    def _read(self, c: np.ndarray, as_name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and value (zero: none) of the words at ``c``, and the next words' indexes."""
+        kind = self.kind[c]
+        opening = kind == _OPENING
+        named = opening & as_name
+        joins = named & self.joins[c]
+        h = np.where(opening, np.where(named, _PLACEHOLDER[_NAME], self.value[c]), self.hash[c])
+        value = self.value[c] + np.where(joins, self.value[np.minimum(c + 1, len(self.value) - 1)], U(0))
+        return h, np.where((kind == _PLAIN) | (opening & ~named), U(0), value | U(1)), c + 1 + joins
+
+    def windows(self, sizes: tuple[int, ...] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, readings (a bit for each word), words, hash and end of each window.
+
+        ``sizes``: the numbers of words that are wanted; None: WINDOW, and fewer
+        where they are the whole text.  Each opening in a window is read both ways.
+        """
+        start = np.arange(len(self.kind))
+        c, bits, h = start.copy(), np.zeros(len(start), np.int64), np.zeros(len(start), U)
+        end = self.firsts[1:][self.doc] if len(start) else start
+        out = []
+        for step in range(WINDOW):
+            inside = c < end[start]
+            start, c, bits, h = start[inside], c[inside], bits[inside], h[inside]
+            two = np.flatnonzero(self.kind[c] == _OPENING)
+            start, c, h = (np.concatenate((x, x[two])) for x in (start, c, h))
+            bits = np.concatenate((bits, bits[two] | (1 << step)))
+            word, _, c = self._read(c, (bits >> step & 1).astype(bool))
+            h = textkernel.mix(h * U(0x9E3779B97F4A7C15) + word + U(step + 1))
+            size = step + 1
+            if sizes is not None and size in sizes or size == WINDOW and sizes is None:
+                out.append((start, bits, np.full(len(start), size), h, c))
+            elif sizes is None:
+                whole = (start == self.firsts[:-1][self.doc[start]]) & (c == end[start])
+                out.append((start[whole], bits[whole], np.full(whole.sum(), size), h[whole], c[whole]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def slots(self, start: np.ndarray, bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Values of the placeholders of windows (zero: no placeholder)."""
+        out, c = np.zeros((len(start), WINDOW), np.uint64), start.copy()
+        for step in range(WINDOW):
+            on = np.flatnonzero(size > step)
+            _, out[on, step], c[on] = self._read(c[on], (bits[on] >> step & 1).astype(bool))
+        return out
+
+
+def _hashes(plains: list[bytes]) -> np.ndarray:
+    if not plains:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(b"".join(plains), np.uint8)
+    at = np.r_[0, np.cumsum([len(p) for p in plains])]
+    return textkernel.byte_spans(raw).hash(at[:-1], at[1:])
+
+
+def _windows(only: np.ndarray | None, name: str, sizes: tuple[int, ...] | None):
+    """Rows of windows: id, place, hash, words, slot values, openings read as names; ``only``: sorted hashes that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch[name].to_numpy(zero_copy_only=False)
             for i, j, raw, offsets in textkernel.texts(batch["text"]):
                 t = Templates(raw, offsets)
-                doc, a, h = t.windows()
+                start, bits, size, h, _ = t.windows(sizes)
                 if only is not None:
                     at = np.minimum(np.searchsorted(only, h), max(len(only) - 1, 0))
-                    hit = only[at] == h if len(only) else np.zeros(len(h), bool)
-                    doc, a, h = doc[hit], a[hit], h[hit]
-                slots = t.slots(a).view(np.int64)
+                    wanted = only[at] == h if len(only) else np.zeros(len(h), bool)
+                else:
+                    wanted = ~t.joined[start] if sizes is None else np.ones(len(h), bool)  # an item's place is counted once
+                start, bits, size, h = start[wanted], bits[wanted], size[wanted], h[wanted]
+                slots = t.slots(start, bits, size).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, slots.size + 1, WINDOW, dtype=np.int32), pa.array(slots.ravel()))
-                yield pa.record_batch([pa.array(ids[i:j][doc]), pa.array(a - t.firsts[doc]), pa.array(h.view(np.int64)), lists], [name, "place", "h", "slots"])
+                readings = sum(bits >> k & 1 for k in range(WINDOW))
+                columns = [ids[i:j][t.doc[start]], t.place[start], h.view(np.int64), size, lists, readings]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [name, "place", "h", "size", "slots", "named"])
 
     return run
 
@@ -160,28 +202,31 @@ _CONSISTENT = (
     "forall(sequence(0, {n} - 2), i -> forall(sequence(i + 1, {n} - 1), k -> slots[i] = 0 OR slots[k] = 0 OR item_slots[i] = 0 OR item_slots[k] = 0 "
     "OR ((slots[i] = slots[k]) = (item_slots[i] = item_slots[k]))))"
 ).format(n=WINDOW)
+#: A short item without a plain word would be in every document with a number or name.
+_TELLING = f"size = {WINDOW} OR exists(slice(slots, 1, CAST(size AS INT)), x -> x = 0) OR slots = item_slots"
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, exact) for each item that a document holds.
 
-    ``windows`` counts the item's distinct windows found, ``exact`` those whose
+    ``windows`` counts the places of the item whose windows are found, ``exact`` those whose
     slot values are the item's own.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
-    schema = "{} long, place long, h long, slots array<long>"
+    schema = "{} long, place long, h long, size long, slots array<long>, named long"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL")
-    items = scratch.put(items.mapInArrow(_windows(None, "item_id"), schema.format("item_id")), "items")
-    item_windows = items.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
+    items = scratch.put(items.mapInArrow(_windows(None, "item_id", None), schema.format("item_id")), "items")
+    item_windows = items.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))
     wanted = items.select("h").distinct()
     n = wanted.count()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     only = np.sort(wanted.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if n <= broadcast_windows else None
-    found = docs.mapInArrow(_windows(only, "doc_id"), schema.format("doc_id")).select("doc_id", "h", "slots")
-    per_item = items.select("item_id", "h", F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "h"])
-    joined = found.join(F.broadcast(per_item) if n <= broadcast_windows else per_item, "h").where(F.expr(_CONSISTENT))
-    held = joined.groupBy("doc_id", "item_id", "h").agg(F.max(F.expr("slots = item_slots")).alias("same"))
+    found = docs.mapInArrow(_windows(only, "doc_id", sizes), schema.format("doc_id")).select("doc_id", "h", "slots")
+    per_item = items.select("item_id", F.col("place").alias("item_place"), "h", "size", F.col("slots").alias("item_slots")).distinct()
+    joined = found.join(F.broadcast(per_item) if n <= broadcast_windows else per_item, "h").where(F.expr(_CONSISTENT)).where(F.expr(_TELLING))
+    held = joined.groupBy("doc_id", "item_id", "item_place").agg(F.max(F.expr("slots = item_slots")).alias("same"))
     held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.count_if("same").alias("exact"))
     return held.join(item_windows, "item_id").where(F.col("windows") >= share * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows", "exact")
 
