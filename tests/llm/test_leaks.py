@@ -1,5 +1,7 @@
 """Decontamination on single forms of re-parameterised items."""
 
+import random
+
 import pytest
 
 from tracklane.llm import decontaminate
@@ -34,3 +36,49 @@ def test_item_is_found(spark, item, doc):
 
 def test_short_item_without_a_word_needs_its_values(spark):
     assert held(spark, ["he paid 42 and left", "he paid 43 and left"], ["42", "?"]) == {(0, 0)}
+
+
+FAR = "the first boat carries 5 crates from the harbour to the island every day while the second one that sails later carries 5 crates and the third carries 9 of them"
+
+
+@pytest.mark.parametrize(
+    "doc, leak",
+    [
+        (FAR.replace("5", "6").replace("9", "2"), True),
+        (FAR.replace("5", "6", 1), False),  # one value becomes two, more than a window apart
+        (FAR.replace("9", "5"), False),  # two values become one
+        (FAR.replace("while", "and so on, while"), True),
+    ],
+)
+def test_values_agree_over_the_item(spark, doc, leak):
+    assert held(spark, [AROUND.format(doc)], [FAR]) == ({(0, 0)} if leak else set())
+
+
+def test_scattered_windows_are_no_leak(spark):
+    words = FAR.split()
+    apart = [" ".join(words[i : i + 9]) for i in range(0, len(words), 5)]
+    filler = " and here is something quite unlike all that was said before it "
+    assert held(spark, [filler.join(apart), filler.join(reversed(apart)), " ".join(apart[::-1])], [FAR]) == set()
+
+
+def test_plain_version(spark):
+    """Random texts of few words and numbers: an item without gaps in the document, by every alignment."""
+    rng = random.Random(3)
+    items = [" ".join(rng.choice(("red", "blue", "tea", "1", "2", "3")) for _ in range(12)) for _ in range(8)]
+    docs = []
+    for _ in range(60):
+        own = rng.choice(items).split()
+        mapping = dict(zip("123", rng.sample("123456", 3) if rng.random() < 0.7 else rng.choices("12", k=3), strict=True))
+        docs.append(" ".join(["green"] * rng.randint(0, 5) + [mapping.get(w, w) for w in own] + ["green"]))
+    want = set()
+    for d, doc in enumerate(docs):
+        w = doc.split()
+        for i, item in enumerate(items):
+            v = item.split()
+            for a in range(len(w) - len(v) + 1):
+                both = list(zip(v, w[a : a + len(v)], strict=True))
+                pairs = {(x, y) for x, y in both if x.isdigit() and y.isdigit()}
+                if all(x == y or (x.isdigit() and y.isdigit()) for x, y in both) and len(pairs) == len(dict(pairs)) == len({y for _, y in pairs}):
+                    want.add((d, i))
+    got = held(spark, docs, items)
+    assert want and len(want) < 60 and got == want

@@ -5,10 +5,12 @@ other words are lower-cased and stripped of punctuation.  A unit counts only
 behind a number, or attached to one; names that follow each other are one.  A
 capitalised word that begins a sentence is read both ways, as a plain word and as
 a name, on both sides.  Windows of WINDOW template words of the benchmark are
-hash-joined with those of the documents.  A document holds an item if it holds a
-share of its windows (``share``) and the slots are consistent: where the item
-repeats a value, the document repeats one too, and different values stay
-different.  Of an item with fewer than WINDOW words the whole template is its one
+hash-joined with those of the documents.  A document holds an item if a share of
+the item's windows (``share``) lies together in it and their slots are consistent:
+where the item repeats a value, the document repeats one too, and different values
+stay different, over all the windows.  Windows lie together if they are as far
+from each other as in the item, or if that differs by less than NEAR words, or by
+less than half the item's length.  Of an item with fewer than WINDOW words the whole template is its one
 window, and documents are searched for windows of that length too; without a
 plain word in it, its own values must be there.  An item without a word is never
 held.
@@ -38,6 +40,7 @@ U = np.uint64
 WINDOW = 5
 SHARE = 0.8
 BROADCAST_WINDOWS = 2_000_000
+NEAR = 8
 
 #: Units of measure that become one placeholder.
 UNITS = tuple(
@@ -204,13 +207,19 @@ _CONSISTENT = (
 ).format(n=WINDOW)
 #: A short item without a plain word would be in every document with a number or name.
 _TELLING = f"size = {WINDOW} OR exists(slice(slots, 1, CAST(size AS INT)), x -> x = 0) OR slots = item_slots"
+#: Groups of windows by how far they lie from their places in the item: exactly, and in ranges that overlap by half.
+_GROUPS = (
+    "transform(array(struct(0 AS wide, 1L AS half, 0 AS odd), struct(1 AS wide, {near} AS half, 0 AS odd), struct(1 AS wide, {near} AS half, 1 AS odd), "
+    "struct(2 AS wide, {long} AS half, 0 AS odd), struct(2 AS wide, {long} AS half, 1 AS odd)), "
+    "g -> struct(g.wide AS wide, g.odd AS odd, CAST(floor((place - item_place + g.odd * g.half) / (IF(g.wide = 0, 1, 2) * g.half)) AS LONG) AS n))"
+).format(near=f"{NEAR}L", long=f"greatest({NEAR}L, item_windows div 2)")
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, exact) for each item that a document holds.
 
-    ``windows`` counts the places of the item whose windows are found, ``exact`` those whose
-    slot values are the item's own.
+    ``windows`` counts the places of the item whose windows are found together, ``exact``
+    those whose slot values are the item's own.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -223,12 +232,26 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     n = wanted.count()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     only = np.sort(wanted.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if n <= broadcast_windows else None
-    found = docs.mapInArrow(_windows(only, "doc_id", sizes), schema.format("doc_id")).select("doc_id", "h", "slots")
-    per_item = items.select("item_id", F.col("place").alias("item_place"), "h", "size", F.col("slots").alias("item_slots")).distinct()
+    found = docs.mapInArrow(_windows(only, "doc_id", sizes), schema.format("doc_id"))
+    per_item = items.select("item_id", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), F.col("named").alias("item_named")).distinct()
+    per_item = per_item.join(F.broadcast(item_windows) if n <= broadcast_windows else item_windows, "item_id")
     joined = found.join(F.broadcast(per_item) if n <= broadcast_windows else per_item, "h").where(F.expr(_CONSISTENT)).where(F.expr(_TELLING))
-    held = joined.groupBy("doc_id", "item_id", "item_place").agg(F.max(F.expr("slots = item_slots")).alias("same"))
-    held = held.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.count_if("same").alias("exact"))
-    return held.join(item_windows, "item_id").where(F.col("windows") >= share * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows", "exact")
+    # of several readings of the same words the one with the fewest openings read as names
+    where = ["doc_id", "item_id", "item_windows", "item_place", "place"]
+    hits = joined.groupBy(where).agg(F.min(F.struct(F.expr("named + item_named").alias("n"), "slots", "item_slots")).alias("best"))
+    hits = scratch.put(hits.select(*where, "best.slots", "best.item_slots"), "hits")
+    # too few windows at whatever places: never held
+    enough = hits.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_place").alias("n")).where(F.col("n") >= share * F.col("item_windows"))
+    grouped = hits.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("group", F.explode(F.expr(_GROUPS)))
+    group = ["doc_id", "item_id", "item_windows", "group"]
+    at = grouped.groupBy(*group, "item_place").agg(F.max(F.expr("slots = item_slots")).alias("same"))
+    counts = at.groupBy(group).agg(F.count("*").alias("windows"), F.count_if("same").alias("exact")).where(F.col("windows") >= share * F.col("item_windows"))
+    pairs = grouped.select(*group, F.explode(F.arrays_zip("item_slots", "slots")).alias("p")).where("p.item_slots <> 0 AND p.slots <> 0")
+    pairs = pairs.select(*group, F.col("p.item_slots").alias("ours"), F.col("p.slots").alias("theirs")).distinct()
+    torn = pairs.groupBy(*group, "ours").agg(F.count("*").alias("n")).where("n > 1").select(group)
+    torn = torn.unionByName(pairs.groupBy(*group, "theirs").agg(F.count("*").alias("n")).where("n > 1").select(group)).distinct()
+    held = counts.join(torn, group, "left_anti").groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("windows", "exact")).alias("best"))
+    return held.select("doc_id", "item_id", "best.windows", "item_windows", "best.exact")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
