@@ -5,7 +5,8 @@ non-space to a space, nor across one between an ASCII letter and ASCII
 punctuation other than the apostrophe.  So a text's ids are those of its chunks
 (spaces and what stands behind them up to the next such edge) one after the
 other.  A chunk table in each Python worker maps chunk hashes to ids; numpy
-expands them.  Texts with other than ASCII spaces go through the tokenizer whole.
+expands them.  Texts with other than ASCII spaces, or with the content of an added
+token (such as <|endoftext|>, which is one id), go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class ChunkTable:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the tokenizer would spin
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        #: Contents of added tokens, in any case: a normalizer may lower texts before it looks for them.
+        self.added = re.compile(b"|".join(re.escape(c.encode()) for c in contents), re.I) if contents else None
         self.clear()
 
     def clear(self) -> None:
@@ -94,7 +97,10 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     n = len(offsets) - 1
     data = raw.tobytes()
     some = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY_BE_ODD[raw]), "right") - 1)
-    odd = [d for d in some.tolist() if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))]
+    odd = {d for d in some.tolist() if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))}
+    if table.added:
+        odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in table.added.finditer(data)}
+    odd = sorted(odd)
     starts = _chunks(raw, offsets)
     ends = np.append(starts[1:], len(raw))
     doc = np.searchsorted(offsets, starts, "right") - 1
