@@ -42,6 +42,7 @@ class ChunkTable:
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         #: Contents of added tokens, in any case: a normalizer may lower texts before it looks for them.
         self.added = re.compile(b"|".join(re.escape(c.encode()) for c in contents), re.I) if contents else None
+        self.contents = [c.encode().lower() for c in contents]
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +99,7 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     data = raw.tobytes()
     some = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY_BE_ODD[raw]), "right") - 1)
     odd = {d for d in some.tolist() if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))}
-    if table.added:
+    if table.added and any(c in lowered for lowered in (data.lower(),) for c in table.contents):
         odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in table.added.finditer(data)}
     odd = sorted(odd)
     starts = _chunks(raw, offsets)
