@@ -99,7 +99,8 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     data = raw.tobytes()
     some = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAY_BE_ODD[raw]), "right") - 1)
     odd = {d for d in some.tolist() if _ODD.search(data, int(offsets[d]), int(offsets[d + 1]))}
-    if table.added and any(c in lowered for lowered in (data.lower(),) for c in table.contents):
+    lowered = data.lower()
+    if any(c in lowered for c in table.contents):
         odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in table.added.finditer(data)}
     odd = sorted(odd)
     starts = _chunks(raw, offsets)
