@@ -193,7 +193,7 @@ def _windows(only: np.ndarray | None, name: str, sizes: tuple[int, ...] | None):
                 start, bits, size, h = start[wanted], bits[wanted], size[wanted], h[wanted]
                 slots = t.slots(start, bits, size).view(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, slots.size + 1, WINDOW, dtype=np.int32), pa.array(slots.ravel()))
-                readings = sum(bits >> k & 1 for k in range(WINDOW))
+                readings = sum(bits >> k & 1 for k in range(WINDOW)) + WINDOW * t.joined[start]  # the whole name rather than its rest
                 columns = [ids[i:j][t.doc[start]], t.place[start], h.view(np.int64), size, lists, readings]
                 yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], [name, "place", "h", "size", "slots", "named"])
 
