@@ -31,14 +31,6 @@ def test_near(docs):
     assert minhash.keep_one_of_each(df).columns == df.columns
 
 
-def test_near_in_turns(spark, monkeypatch):
-    words = [[f"w{g}x{k}" for k in range(60)] for g in range(6)]
-    rows = [(10 * g + c, " ".join(w[:50] + ([f"v{c}"] if c else []))) for g, w in enumerate(words) for c in range(4)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(minhash, "TURN_ELEMENTS", 300)
-    assert by_id(minhash.near_duplicates(table, 70), "component_id") == {d: (d // 10 * 10,) for d, _ in rows}
-
-
 def test_passages(docs):
     df, texts = docs
     words = repeats.substring_dedup(df).withColumn("h", F.sha2("kept", 256))
@@ -63,7 +55,7 @@ def test_per_document(docs):
 
 def test_token_files(docs, spark, tmp_path):
     df, texts = docs
-    bitpack.write_tokens(df, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), 49408)
+    bitpack.write_tokens(df, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"))
     assert bitpack.read_tokens(spark, str(tmp_path / "t")).count() == df.where("doc_id IS NOT NULL").count()
 
 

@@ -85,7 +85,6 @@ def test_warc(spark):
 
 def encoded(docs, name, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4") for d, t in docs.items()}
 
 

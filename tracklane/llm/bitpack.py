@@ -89,6 +89,8 @@ class Writer:
         self.firsts: list[np.ndarray] = []
 
     def add(self, doc_ids: np.ndarray, ids: np.ndarray, firsts: np.ndarray) -> None:
+        if int(ids.max(initial=0)) >> self.bits:
+            raise ValueError(f"an id does not fit into {self.bits} bits")
         self.doc_ids.append(doc_ids)
         self.firsts.append(firsts[:-1] + self.total)
         self.total += len(ids)
@@ -259,8 +261,8 @@ def _ids(path: str, end: int | None):
     return run
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int | None = 2) -> None:
-    """Write the ids of all documents in ascending doc_id order under ``path``.
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end: int | None = 2) -> None:
+    """Write the ids of all documents in ascending doc_id order under ``path``, in the bits that the tokenizer's ids need.
 
     Columns doc_id and text are used; a null text is empty, rows with a null
     doc_id are not written, repeated rows are written each.
@@ -270,7 +272,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, vocabulary: in
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     ordered = docs.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
     with small_batches(spark, 1000):  # texts go in and ids come out of two Python workers a task
-        ordered.mapInArrow(_ids(tokenizer, end), SCHEMA).write.format("tokbits").mode("append").option("bits", width(vocabulary)).save(path)
+        ordered.mapInArrow(_ids(tokenizer, end), SCHEMA).write.format("tokbits").mode("append").option("bits", width(max(tokens.vocabulary(tokenizer), (end or 0) + 1))).save(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

@@ -13,14 +13,22 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import number_rows
+
 _own: dict[str, str] = {}
 
 
+#: Ids that are sent to all tasks at most (some 100 MB); more are shuffled.
+SENT_IDS = 2_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all is on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tracklane-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -71,23 +79,75 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:
+    """Rows whose ``column`` is among ``ids`` (left_semi) or not (left_anti); few ids go to the rows, many meet them in a shuffle."""
+    ids = ids.select(F.col(ids.columns[0]).alias(column))
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, column, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, rows: int, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``left`` (of so many ``rows``) to ``right``, which has few rows for each key.
+
+    A key of more than 1/1024 of the rows, and of more than 1000, is dealt by the
+    hash of ``by`` over as many tasks as it needs; at most 1024 keys are such.
+    ``counts``: (key, n), how often the keys occur in ``left``, if known.
+    """
+    most = max(1000, rows // 1024)
+    counts = left.groupBy(on).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("n") > most).select(on, F.ceil(F.col("n") / most).alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts))
+    copied = right.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [on, "_part"]).drop("_part")
+
+
+def told_apart(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` (doc_id, text) with each doc_id once, null ones apart, and the way back.
+
+    The way back is None where nothing had to change.  Else equal rows have become
+    one and each text of a doc_id a document of its own: doc_id is a number in
+    order of doc_id and of the text's hash, and the way back has (doc_id, t, own),
+    with own the doc_id of before and t the text's hash.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, None
+    t = F.xxhash64(F.coalesce("text", F.lit("")))
+    keys = scratch.put(number_rows(known.select(F.col("doc_id").alias("own"), t.alias("t")).distinct(), ["own", "t"], "doc_id"), "texts")
+    once = known.select(F.col("doc_id").alias("own"), "text", t.alias("t")).dropDuplicates(["own", "t"]).join(keys, ["own", "t"]).select("doc_id", "text")
+    return scratch.put(once.unionByName(docs.where("doc_id IS NULL")), "once"), keys
+
+
+def told_together(found: DataFrame, docs: DataFrame, keys: DataFrame | None, ids: tuple[str, ...]) -> DataFrame:
+    """``found``, one row per doc_id of :func:`told_apart`, for the rows of ``docs``: all ``ids`` are doc_ids of before again."""
+    if keys is None:
+        return found
+    for c in ids:
+        if c != "doc_id":
+            found = found.join(keys.select(F.col("doc_id").alias(c), F.col("own").alias("_own")), c, "left").withColumn(c, F.col("_own")).drop("_own")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).join(keys, ["own", "t"])
+    again = rows.join(found, "doc_id").withColumn("doc_id", F.col("own")).select(found.columns)
+    return again.unionByName(found.where("doc_id IS NULL"))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Connected components of an undirected graph: (id, component), for ids with an edge.
 
     ``edges`` has the long columns a and b.  Large-star and small-star rounds by
-    aggregation and join alone: no group of neighbours is ever gathered, so that
-    a node may have any number of links.  ``component`` is the least id reachable.
+    aggregation and join alone: no group of neighbours is ever gathered, and those
+    of a node with very many are dealt over several tasks.  ``component`` is the least id reachable.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     links = scratch.put(links, f"{name}-0")
     turn = 0
     while True:
+        rows = 2 * links.count()
         both = links.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(links.select(F.col("u").alias("x"), F.col("v").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least.drop("n"), "x", "y", rows, least).where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u"))
         large = large.unionByName(least.where("x <> m").select(F.col("x").alias("v"), F.col("m").alias("u"))).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least.drop("n"), "v", "u", rows, least).select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         turn += 1
         after = scratch.put(small.select("e.v", "e.u").where("v <> u").distinct(), f"{name}-{turn}")
         stars = after.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("u"))

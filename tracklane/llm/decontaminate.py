@@ -86,7 +86,7 @@ class Templates:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         starts, ends, firsts = textkernel.words(raw, offsets)
-        keys = textkernel.byte_spans(raw).hash(starts, ends)
+        keys = textkernel.word_hashes(raw, starts, ends)
         distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
         data = raw.tobytes()
         found = [classify(data[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
@@ -173,7 +173,7 @@ def _hashes(plains: list[bytes]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     raw = np.frombuffer(b"".join(plains), np.uint8)
     at = np.r_[0, np.cumsum([len(p) for p in plains])]
-    return textkernel.byte_spans(raw).hash(at[:-1], at[1:])
+    return textkernel.word_hashes(raw, at[:-1], at[1:])
 
 
 def _windows(only: np.ndarray | None, name: str, sizes: tuple[int, ...] | None):

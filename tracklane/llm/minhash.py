@@ -6,7 +6,8 @@ and carries values that rise with every step, so that a slot filled at a step is
 never improved at a later one: the work ends at the first step that leaves no
 slot empty.  Steps run for all elements of many documents at once.
 
-Equal sets form one class.  Classes that share a band meet in a bucket; each is
+Equal sets form one class: a cryptographic digest of the whole set names it, so
+that members are confirmed on full sets.  Classes that share a band meet in a bucket; each is
 compared with the bucket's least member on the full sets.  What stays apart in a
 bucket after the links found are grouped is compared with the rest of the
 bucket, unless a bound rules the link out.  One bound is the distances already
@@ -18,13 +19,15 @@ n * n, and no pair of a bucket is left open.
 
 Input: columns doc_id (integer) and text, others ignored.  Null or wordless
 texts have an empty set and link with nothing.  Rows with a null doc_id come
-back with their set size, no component and kept = true.  Repeated rows of a
-doc_id get the same result each.
+back with their set size, no component and kept = true.  Equal rows of a doc_id
+get the same result each; different texts of one doc_id are documents of their
+own, each with the least doc_id that it reaches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import Scratch, components, small_batches
+from .common import Scratch, by_ids, components, small_batches, spread_join, told_apart, told_together
 
 U = np.uint64
 BANDS, ROWS = 26, 5
 SHINGLE = 5
 #: Bytes of text that are sketched at once (or one longer document), and pairs of sets that are compared at once.
 CHUNK, PAIRS = 1 << 19, 500
-#: Sets are compared in turns of about so many elements, in at most MOST_TURNS turns.
-TURN_ELEMENTS, MOST_TURNS = 5_000_000, 16
 #: Where more of a bucket stay apart than this, bounds decide which of them are compared.
 SPARSE = 30
 #: A shingle is rare if at most so many of the documents in such buckets have it.
@@ -51,7 +52,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tupl
     """Distinct shingle hashes of each document in ascending order, and each document's first (n + 1)."""
     raw = textkernel.lower(raw)
     starts, ends, firsts = textkernel.words(raw, offsets)
-    spans = textkernel.Spans(textkernel.byte_spans(raw).hash(starts, ends))
+    spans = textkernel.Spans(textkernel.word_hashes(raw, starts, ends))
     n = np.diff(firsts)
     counts = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), counts)
@@ -97,8 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, firsts = shingle_sets(raw, offsets)
             sig = super_minhash(h, firsts)
             sizes = np.diff(firsts)
-            sums = [np.r_[U(0), np.cumsum(textkernel.mix(h ^ U(s)))] for s in (0x1234567, 0x89ABCDEF01)]
-            f1, f2 = ((s[firsts[1:]] - s[firsts[:-1]]).view(np.int64) for s in sums)
+            digests = [blake2b(h[a:b], digest_size=16).digest() for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)]
             bands = np.zeros((j - i, BANDS), np.uint64)
             for r in range(ROWS):
                 bands = textkernel.mix(bands * U(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
@@ -111,8 +111,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take[rows] = np.arange(len(rows))
             index = pa.array(take, mask=~full)
             yield pa.record_batch(
-                [batch["doc_id"].slice(i, j - i), pa.array(sizes), pa.array(f1), pa.array(f2), lists.take(index), pa.array([x.tobytes() for x in low], pa.binary())],
-                ["doc_id", "n", "f1", "f2", "bands", "low"],
+                [batch["doc_id"].slice(i, j - i), pa.array(sizes), pa.array(digests, pa.binary()), lists.take(index), pa.array([x.tobytes() for x in low], pa.binary())],
+                ["doc_id", "n", "digest", "bands", "low"],
             )
 
 
@@ -140,8 +140,7 @@ def _bound(n: str, r: str, m: str, q: str, shared: str, threshold: int) -> str:
 
 def _rare(docs: DataFrame, heavy: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
     """For the documents ``heavy`` (x, n, g): (x, r), their rare shingles, and the pairs (x, y) that share some and may be linked."""
-    texts = docs.join(heavy.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    elements = scratch.put(texts.mapInArrow(_elements, "x long, h long"), "elements")
+    elements = scratch.put(by_ids(docs, heavy.select("x"), "left_semi").mapInArrow(_elements, "x long, h long"), "elements")
     counts = elements.groupBy("h").agg(F.count("*").alias("c")).where(f"c <= {RARE}")
     rare = scratch.put(elements.join(counts, "h"), "rare")
     number = scratch.put(heavy.join(rare.groupBy("x").agg(F.count("*").alias("r")), "x", "left").withColumn("r", F.coalesce("r", F.lit(0))), "rareness")
@@ -158,14 +157,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(n, BANDS * ROWS) if n else np.zeros((0, 1)) for c in ("low_x", "low_y"))
-        yield pa.record_batch([batch["x"], batch["y"], batch["n"], pa.array((x == y).mean(axis=1) if n else np.zeros(0))], ["x", "y", "n", "alike"])
+        yield pa.record_batch([batch["x"], batch["y"], pa.array((x == y).mean(axis=1) if n else np.zeros(0))], ["x", "y", "alike"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = np.zeros(batch.num_rows, np.int64)
         total = np.zeros(batch.num_rows, np.int64)
-        for r, (x, y) in enumerate(zip(batch["set_x"], batch["set_y"], strict=True)):
+        for r, (x, y) in enumerate(zip(batch["shingles_x"], batch["shingles_y"], strict=True)):
             a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.searchsorted(large, small)
@@ -174,53 +173,48 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["x"], batch["y"], pa.array(shared), pa.array(total)], ["x", "y", "shared", "total"])
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, scratch: Scratch, name: str, threshold: int) -> DataFrame:
-    """(x, y, shared, total) of distinct pairs; far pairs by signature (8 deviations) come with their estimate.
+def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """``pairs`` (x, y, ...) with the ``value`` of both documents, as value_x and value_y."""
+    n = pairs.count()
+    for own, other in (("x", "y"), ("y", "x")):
+        pairs = spread_join(pairs, table.select(F.col("doc_id").alias(own), F.col(value).alias(f"{value}_{own}")), own, other, n)
+    return pairs
+
+
+def _verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, scratch: Scratch, name: str, threshold: int) -> DataFrame:
+    """(x, y, shared, total) of distinct pairs whose signatures are not far apart (8 deviations).
 
     The estimate of a pair with similarity s has the deviation sqrt(s (1 - s) / slots).
     """
     s = threshold / 100
     least = max(0.0, s - 8 * (s * (1 - s) / (BANDS * ROWS)) ** 0.5)
-    left, right = (sketch.select(F.col("doc_id").alias(k), F.col("low").alias(f"low_{k}"), F.col("n").alias(f"n_{k}")) for k in "xy")
-    pairs = pairs.join(left, "x").join(right, "y").select("x", "y", "low_x", "low_y", (F.col("n_x") + F.col("n_y")).alias("n"))
-    close = scratch.put(pairs.mapInArrow(_alike, "x long, y long, n long, alike double").where(F.col("alike") >= least).select("x", "y", "n"), f"{name}-close")
-    need = close.select(F.col("x").alias("doc_id")).union(close.select("y")).distinct()
-    sets = scratch.put(docs.join(need, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), f"{name}-sets")
-    left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x"))
-    right = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y"))
-    spark = docs.sparkSession
-    turns = min(MOST_TURNS, 1 + (close.agg(F.sum("n")).first()[0] or 0) // TURN_ELEMENTS)
-    compared = "x long, y long, shared long, total long"
-    with small_batches(spark, PAIRS):
-        for turn in range(turns):  # so that only a part of the sets is on its way at once
-            part = close.where(F.pmod(F.xxhash64("y"), F.lit(turns)) == turn).select("x", "y")
-            joined = part.join(left, "x").join(right, "y").select("x", "y", "set_x", "set_y")
-            scratch.put(joined.mapInArrow(_overlap, compared), f"{name}/turn={turn}")
-    scratch.drop(f"{name}-sets")
-    scratch.drop(f"{name}-close")
-    return spark.read.schema(compared).parquet(*(scratch.path(f"{name}/turn={turn}") for turn in range(turns)))
-
-
-def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
-
-    Documents are linked when 100 * shared >= threshold * union of their shingles.
-    A pair at 0.85 shares no band with probability 2.4e-7.
-    """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "minhash")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = scratch.put(docs.mapInArrow(_sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>, low binary"), "sketch")
+    pairs = _with_both(pairs, light, "low")
+    close = scratch.put(pairs.mapInArrow(_alike, "x long, y long, alike double").where(F.col("alike") >= least).select("x", "y"), f"{name}-close")
+    need = scratch.put(close.select("x").union(close.select("y")).distinct(), f"{name}-need")
+    sets = scratch.put(by_ids(docs, need, "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
+    with small_batches(docs.sparkSession, PAIRS):
+        joined = _with_both(close, sets, "shingles").select("x", "y", "shingles_x", "shingles_y")
+        out = scratch.put(joined.mapInArrow(_overlap, "x long, y long, shared long, total long"), name)
+    for part in ("close", "need", "sets"):
+        scratch.drop(f"{name}-{part}")
+    return out
+
+
+def _grouped(docs: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles and component_id for documents with a doc_id each; rows without one have no component."""
+    sketch = scratch.put(docs.mapInArrow(_sketch, "doc_id long, n long, digest binary, bands array<long>, low binary"), "sketch")
     some = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    least = some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class"))
-    members = scratch.put(some.select("doc_id", "f1", "f2", "n").join(least, ["f1", "f2", "n"]).select("doc_id", "class").distinct(), "members")
-    reps = members.where("doc_id = class").select("doc_id")
-    own = some.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = own.select(F.col("doc_id").alias("x"), "n", F.explode("bands").alias("band"))
-    centre = rows.groupBy("band").agg(F.min("x").alias("y"), F.count("*").alias("size")).where("size > 1").select("band", "y")
-    buckets = scratch.put(rows.join(centre, "band"), "buckets")
+    total = some.count()
+    classes = scratch.put(some.groupBy("digest").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1"), "classes")
+    copies = spread_join(some.select("doc_id", "digest"), classes.drop("n"), "digest", "doc_id", total, classes).where("doc_id <> class")
+    copies = scratch.put(copies.select("doc_id", "class"), "copies")
+    own = by_ids(some, copies, "left_anti")
+    rows = own.select(F.col("doc_id").alias("x"), F.explode("bands").alias("band"))
+    centre = scratch.put(rows.groupBy("band").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1"), "centres")
+    buckets = scratch.put(spread_join(rows, centre.drop("n"), "band", "x", BANDS * total, centre), "buckets")
     first = scratch.put(buckets.where("x <> y").select("x", "y").distinct(), "first")
-    light = own.select("doc_id", "low", "n")
+    met = scratch.put(buckets.select("x").distinct(), "met")
+    light = scratch.put(by_ids(own.select("doc_id", "low", "n"), met, "left_semi"), "light")
     checked = _verified(first, light, docs, scratch, "checked", threshold)
     linked = f"100 * shared >= {threshold} * total"
     links = checked.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -229,10 +223,12 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     known = checked.select("x", "y", (1 - F.col("shared") / F.col("total")).alias("d"))
     apart = buckets.join(groups.select(F.col("id").alias("x"), F.col("component").alias("g")), "x", "left").withColumn("g", F.coalesce("g", "x"))
     sizes = apart.groupBy("band", "g").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.max_by("g", F.struct("c", "g")).alias("major"), F.count("*").alias("k"), (F.sum("c") - F.max("c")).alias("minors"))
-    mixed = mixed.where("k > 1").select("band", "major", (F.col("minors") > SPARSE).alias("dense"))
-    apart = scratch.put(apart.join(mixed, "band").join(known, ["x", "y"], "left").withColumn("d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d"))), "apart")
-    number, alike = _rare(docs, apart.where("dense").select("x", "n", "g").distinct(), scratch, threshold)
+    mixed = sizes.groupBy("band").agg(F.max_by("g", F.struct("c", "g")).alias("major"), F.count("*").alias("k"), (F.sum("c") - F.max("c")).alias("minors"), F.sum("c").alias("n"))
+    mixed = scratch.put(mixed.where("k > 1").select("band", "major", (F.col("minors") > SPARSE).alias("dense"), "n"), "mixed")
+    apart = spread_join(apart, mixed.drop("n"), "band", "x", max(1, buckets.count()), mixed)
+    apart = apart.join(light.select(F.col("doc_id").alias("x"), "n"), "x").join(known, ["x", "y"], "left")
+    apart = scratch.put(apart.withColumn("d", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("d"))), "apart")
+    number, alike = _rare(docs, scratch.put(apart.where("dense").select("x", "n", "g").distinct(), "dense"), scratch, threshold)
     open_ = apart.join(number, "x", "left").withColumn("r", F.when(F.col("dense"), F.col("r")).otherwise(0)).where(f"100 * (n - r) >= {threshold} * n")
     minor = open_.where("g <> major").select("band", F.col("x").alias("x2"), F.col("g").alias("g2"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
     reach = 1 - threshold / 100 + 1e-9
@@ -242,21 +238,47 @@ def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
     crossed = crossed.unionByName(alike).distinct().join(first, ["x", "y"], "left_anti")
     second = _verified(scratch.put(crossed, "second"), light, docs, scratch, "rechecked", threshold)
     more = second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if more.isEmpty():
-        final = groups
-    else:
+    final = groups
+    if not more.isEmpty():
         final = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "late")
-    for name in ("buckets", "first", "apart", "elements", "rare", "rareness", "second"):
+    for name in ("centres", "buckets", "first", "met", "light", "mixed", "apart", "dense", "elements", "rare", "rareness", "second"):
         scratch.drop(name)
-    found = members.join(final.select(F.col("id").alias("class"), "component"), "class").select("doc_id", "component")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(
-        members.select("doc_id", F.col("class")), "doc_id", "left"
-    ).join(found, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component", "class", "doc_id"))
+    # a copy's component is that of its class
+    named = classes.join(final.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mine = spread_join(copies, named.select("class", "component"), "class", "doc_id", copies.count(), classes.select("class", "n"))
+    component = mine.select("doc_id", "component").unionByName(final.select(F.col("id").alias("doc_id"), "component"))
+    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(component, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _near(documents: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    scratch = Scratch(documents.sparkSession, "minhash")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    once, keys = told_apart(docs, scratch)
+    return _grouped(once, threshold, scratch), docs, keys
+
+
+def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (doc_id = component_id).
+
+    Documents are linked when 100 * shared >= threshold * union of their shingles.
+    A pair at 0.85 shares no band with probability 2.4e-7.
+    """
+    found, docs, keys = _near(documents, threshold)
+    out = told_together(found, docs, keys, ("doc_id", "component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(documents: DataFrame, threshold: int = 80) -> DataFrame:
-    """The rows of ``documents`` but for those linked, directly or not, to a smaller doc_id."""
-    gone = near_duplicates(documents, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``documents`` but for those linked, directly or not, to a document of smaller doc_id (or of the same, with another text).
+
+    Equal rows of one doc_id stay together.
+    """
+    found, _, keys = _near(documents, threshold)
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    own = documents["doc_id"].cast("long")
+    if keys is None:
+        gone = gone.select(F.col("doc_id").alias("_gone"))
+        return documents.join(gone, own == gone["_gone"], "left_anti")
+    gone = keys.join(gone, "doc_id").select(F.col("own").alias("_gone"), F.col("t").alias("_text"))
+    return documents.join(gone, (own == gone["_gone"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == gone["_text"]), "left_anti")

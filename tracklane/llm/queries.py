@@ -60,7 +60,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("files")
-    bitpack.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), 49408)
+    bitpack.write_tokens(_table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"))
     return bitpack.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

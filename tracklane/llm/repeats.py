@@ -62,7 +62,7 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray, spec: Spec):
     if spec.unit == "byte":
         return textkernel.byte_spans(raw), offsets, None, None
     starts, ends, firsts = textkernel.words(raw, offsets)
-    return textkernel.Spans(textkernel.byte_spans(raw).hash(starts, ends)), firsts, starts, ends
+    return textkernel.Spans(textkernel.word_hashes(raw, starts, ends)), firsts, starts, ends
 
 
 def _runs(spans, firsts: np.ndarray, spec: Spec):

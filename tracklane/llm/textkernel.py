@@ -3,18 +3,23 @@
 Everything works on the Arrow buffers of a batch of texts: one flat byte array
 and document offsets.  Hashes are polynomial over 64-bit words (wrapping), so
 that the hash of any span follows from two prefix sums; they are mixed before
-use.  No function looks at more than ``CHUNK`` bytes at once unless a single
-document is longer.
+use.  Long spans of few different values have known collisions there (words of
+the Thue-Morse kind), so that words of more than LONG bytes are hashed otherwise,
+and nothing longer than two windows is hashed by a polynomial.  No function looks
+at more than ``CHUNK`` bytes at once unless a single document is longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 21
+#: Bytes of a word beyond which it is hashed by blake2b.
+LONG = 64
 POSITION_BITS = 26
 U = np.uint64
 
@@ -131,8 +136,42 @@ def byte_spans(raw: np.ndarray) -> Spans:
     return Spans(_TABLE[raw])
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: Spans | None = None) -> np.ndarray:
+    """Hashes of words or other spans of any length; ``spans``: those of ``raw``, if known."""
+    out = (spans or byte_spans(raw)).hash(starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(raw[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of its partner in ``b``."""
+    n = a_ends - a_starts
+    same = n == b_ends - b_starts
+    at = np.flatnonzero(same)
+    n = n[at]
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = a[np.repeat(a_starts[at], n) + within] != b[np.repeat(b_starts[at], n) + within]
+    if differ.any():
+        same[at[np.repeat(np.arange(len(at)), n)[differ]]] = False
+    return same
+
+
+def numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for equal bytes and for no others."""
+    _, index, number = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    first = index[number]
+    if equal_spans(raw, starts, ends, raw, starts[first], ends[first]).all():
+        return number
+    data, known = raw.tobytes(), {}
+    return np.array([known.setdefault(data[x:y], len(known)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+
+
 def owners(grams: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` grams the position of its least one (the first of equals)."""
+    most = (1 << POSITION_BITS) - width
+    if len(grams) > most + width:  # pieces that overlap by a run less one: positions count from a piece's start
+        return np.concatenate([owners(grams[i : i + most + width - 1], width) + i for i in range(0, len(grams) - width + 1, most)])
     if len(grams) < width:
         return np.zeros(0, np.int64)
     mask = U((1 << POSITION_BITS) - 1)

@@ -4,8 +4,8 @@ The pre-tokenizers used here never join characters across the edge from a
 non-space to a space, nor across one between an ASCII letter and ASCII
 punctuation other than the apostrophe.  So a text's ids are those of its chunks
 (spaces and what stands behind them up to the next such edge) one after the
-other.  A chunk table in each Python worker maps chunk hashes to ids; numpy
-expands them.  Texts with other than ASCII spaces, or with the content of an added
+other.  A chunk table in each Python worker maps chunk hashes to ids, and each
+chunk's bytes are compared with the table's; numpy expands them.  Texts with other than ASCII spaces, or with the content of an added
 token (such as <|endoftext|>, which is one id), go through the tokenizer whole.
 """
 
@@ -50,13 +50,17 @@ class ChunkTable:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.ends = np.zeros(0, np.int64)
+        self.raw = np.zeros(0, np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         if len(self.keys) + len(keys) > MOST_CHUNKS:
             self.clear()
+        texts = [c.decode("utf-8", "replace") for c in chunks]
         counts, ids = [np.zeros(0, np.int64)], [self.ids]
         for i in range(0, len(texts), AT_ONCE):
             found = self.encode(texts[i : i + AT_ONCE])
@@ -67,7 +71,11 @@ class ChunkTable:
         self.ids = np.concatenate(ids)
         by = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[by])
-        self.keys, self.first, self.count = np.insert(self.keys, at, keys[by]), np.insert(self.first, at, first[by]), np.insert(self.count, at, count[by])
+        ends = len(self.raw) + np.cumsum([len(c) for c in chunks])
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(chunks), np.uint8)))
+        starts = np.append(len(self.raw) - sum(map(len, chunks)), ends[:-1])
+        for name, new in (("keys", keys), ("first", first), ("count", count), ("starts", starts), ("ends", ends)):
+            setattr(self, name, np.insert(getattr(self, name), at, new[by]))
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the table, and whether the key is there."""
@@ -82,6 +90,11 @@ def chunk_table(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
+def vocabulary(path: str) -> int:
+    """One more than the greatest id of a tokenizer."""
+    return 1 + max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def _chunks(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """First byte of each chunk: texts' starts, each space that follows a non-space, and each edge of letter and punctuation."""
     space, kind = textkernel._SPACE[raw], _KIND[raw]
@@ -102,28 +115,33 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
     lowered = data.lower()
     if any(c in lowered for c in table.contents):
         odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in table.added.finditer(data)}
-    odd = sorted(odd)
     starts = _chunks(raw, offsets)
     ends = np.append(starts[1:], len(raw))
     doc = np.searchsorted(offsets, starts, "right") - 1
     if odd:
-        keep = ~np.isin(doc, odd)
+        keep = ~np.isin(doc, sorted(odd))
         starts, ends, doc = starts[keep], ends[keep], doc[keep]
-    keys = textkernel.byte_spans(raw).hash(starts, ends)
+    keys = textkernel.word_hashes(raw, starts, ends)
     distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
     at, known = table.lookup(distinct)
     if not known.all():
         new = np.flatnonzero(~known)
         before = len(table.keys)
-        piece = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
+        piece = [data[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
         table.learn(distinct[new], piece)
         at, known = table.lookup(distinct)
         if len(table.keys) < before + len(new) or not known.all():  # the table was emptied: everything of this call again
             table.clear()
-            piece = [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+            piece = [data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
             table.learn(distinct, piece)
             at, known = table.lookup(distinct)
     place = at[inverse]
+    right = textkernel.equal_spans(raw, starts, ends, table.raw, table.starts[place], table.ends[place])
+    if not right.all():  # another chunk has the same hash: those texts go whole
+        odd |= set(doc[~right].tolist())
+        keep = ~np.isin(doc, sorted(odd))
+        doc, place = doc[keep], place[keep]
+    odd = sorted(odd)
     count, first = table.count[place], table.first[place]
     total = int(count.sum())
     source = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)

@@ -56,7 +56,7 @@ def occurrences(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.nda
     plain = np.where(_BREAK[raw], np.uint8(32), raw)
     starts, ends, firsts = textkernel.words(plain, offsets)
     bytes_ = textkernel.byte_spans(raw)
-    word = bytes_.hash(starts, ends)
+    word = textkernel.word_hashes(raw, starts, ends, bytes_)
     stem = textkernel.mix(bytes_.hash(starts, np.minimum(ends, starts + STEM)) ^ U(0x51E3))
     doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     long = ends - starts > STEM
