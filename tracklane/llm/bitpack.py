@@ -10,28 +10,25 @@ A file holds the ids of consecutive documents in ascending doc_id order.
 Sixty-four ids fill exactly ``bits`` words, so that numpy packs and unpacks all
 rows of sixty-four at once, and the block that holds the id i is at
 offsets[i // BLOCK].  Files are written and read through a Python data source:
-each task writes a file of its own, and only files that the commit lists in the
-manifest are read.
+see ``files`` for how they are committed.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import textkernel, tokens
 from .common import partitions, small_batches
+from .files import ManifestWriter, Written, filesystem, manifest
 
 MAGIC = b"TOKBITS1"
 BLOCK = 1 << 16
@@ -150,51 +147,29 @@ class Reader:
         return self.blocks(first, last)[start - first * self.block :][:n]
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    name: str
-    part: int
-    ids: int
-
-
 @dataclass
 class Part(InputPartition):
     name: str
     base: int
 
 
-def _filesystem(path: str):
-    return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+class _FileWriter(ManifestWriter):
+    suffix = ".tokbits"
 
-
-class _FileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path, self.bits = options["path"], int(options["bits"])
+        super().__init__(options)
+        self.bits = int(options["bits"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _filesystem(self.path)
-        fs.create_dir(root, recursive=True)
-        name, part = f"{uuid.uuid4().hex}.tokbits", TaskContext.get().partitionId()
-        writer = Writer(fs.open_output_stream(f"{root}/{name}"), self.bits)
+        name, out = self.create()
+        writer = Writer(out, self.bits)
         for batch in iterator:
             raw, offsets = textkernel.flat(batch["ids"])
             ids = np.frombuffer(raw.tobytes(), "<u4")
             if batch.num_rows:
                 writer.add(batch["doc_id"].to_numpy(), ids, offsets // 4)
         writer.close()
-        return Written(name, part, writer.total)
-
-    def commit(self, messages: list) -> None:
-        fs, root = _filesystem(self.path)
-        files = [[m.name, m.ids] for m in sorted((m for m in messages if m), key=lambda m: m.part)]
-        with fs.open_output_stream(f"{root}/manifest.json") as out:
-            out.write(json.dumps(files).encode())
-
-    def abort(self, messages: list) -> None:
-        fs, root = _filesystem(self.path)
-        for m in messages:
-            if m:
-                fs.delete_file(f"{root}/{m.name}")
+        return self.written([(name, writer.total)])
 
 
 class _FileReader(DataSourceReader):
@@ -202,15 +177,14 @@ class _FileReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[Part]:
-        fs, root = _filesystem(self.path)
         out, base = [], 0
-        for name, ids in json.loads(fs.open_input_file(f"{root}/manifest.json").read()):
+        for name, ids in manifest(self.path):
             out.append(Part(name, base))
             base += ids
         return out
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         with fs.open_input_file(f"{root}/{part.name}") as file:
             reader = Reader(file)
             bounds = np.append(reader.firsts, reader.ids)

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import number_rows
@@ -101,31 +101,35 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, by: str, rows: int,
     return dealt.drop("_parts").join(copied.drop("_parts"), [on, "_part"]).drop("_part")
 
 
-def told_apart(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` (doc_id, text) with each doc_id once, null ones apart, and the way back.
+def _content(column: str) -> Column:
+    return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
+def told_apart(docs: DataFrame, scratch: Scratch, content: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` (doc_id, a string ``content``, ...) with each doc_id once, null ones apart, and the way back.
 
     The way back is None where nothing had to change.  Else equal rows have become
-    one and each text of a doc_id a document of its own: doc_id is a number in
-    order of doc_id and of the text's hash, and the way back has (doc_id, t, own),
-    with own the doc_id of before and t the text's hash.
+    one and each content of a doc_id a document of its own: doc_id is a number in
+    order of doc_id and of the content's hash, and the way back has (doc_id, own, t),
+    with own the doc_id of before and t that hash.
     """
     known = docs.where("doc_id IS NOT NULL")
     if known.groupBy("doc_id").count().where("count > 1").isEmpty():
         return docs, None
-    t = F.xxhash64(F.coalesce("text", F.lit("")))
-    keys = scratch.put(number_rows(known.select(F.col("doc_id").alias("own"), t.alias("t")).distinct(), ["own", "t"], "doc_id"), "texts")
-    once = known.select(F.col("doc_id").alias("own"), "text", t.alias("t")).dropDuplicates(["own", "t"]).join(keys, ["own", "t"]).select("doc_id", "text")
+    known = known.withColumnRenamed("doc_id", "own").withColumn("t", _content(content))
+    keys = scratch.put(number_rows(known.select("own", "t").distinct(), ["own", "t"], "doc_id"), "texts")
+    once = known.dropDuplicates(["own", "t"]).join(keys, ["own", "t"]).select(docs.columns)
     return scratch.put(once.unionByName(docs.where("doc_id IS NULL")), "once"), keys
 
 
-def told_together(found: DataFrame, docs: DataFrame, keys: DataFrame | None, ids: tuple[str, ...]) -> DataFrame:
+def told_together(found: DataFrame, docs: DataFrame, keys: DataFrame | None, ids: tuple[str, ...], content: str = "text") -> DataFrame:
     """``found``, one row per doc_id of :func:`told_apart`, for the rows of ``docs``: all ``ids`` are doc_ids of before again."""
     if keys is None:
         return found
     for c in ids:
         if c != "doc_id":
             found = found.join(keys.select(F.col("doc_id").alias(c), F.col("own").alias("_own")), c, "left").withColumn(c, F.col("_own")).drop("_own")
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).join(keys, ["own", "t"])
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("own"), _content(content).alias("t")).join(keys, ["own", "t"])
     again = rows.join(found, "doc_id").withColumn("doc_id", F.col("own")).select(found.columns)
     return again.unionByName(found.where("doc_id IS NULL"))
 

@@ -15,8 +15,9 @@ window, and documents are searched for windows of that length too; without a
 plain word in it, its own values must be there.  An item without a word is never
 held.
 
-The benchmark's windows are sent to the tasks when their number is within
-``broadcast_windows`` (it is counted first); beyond it both sides are shuffled.
+The benchmark's windows are sent to the tasks when their number, and that of the
+rows that name their items, is within ``broadcast_windows`` (both are counted
+first); beyond it both sides are shuffled.
 
 Input: documents with doc_id and text, benchmark with item_id and text; others
 are ignored.  Null texts are empty.  Rows with a null doc_id hold nothing.
@@ -234,8 +235,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     only = np.sort(wanted.toPandas()["h"].to_numpy(np.int64).view(np.uint64)) if n <= broadcast_windows else None
     found = docs.mapInArrow(_windows(only, "doc_id", sizes), schema.format("doc_id"))
     per_item = items.select("item_id", F.col("place").alias("item_place"), "h", F.col("slots").alias("item_slots"), F.col("named").alias("item_named")).distinct()
-    per_item = per_item.join(F.broadcast(item_windows) if n <= broadcast_windows else item_windows, "item_id")
-    joined = found.join(F.broadcast(per_item) if n <= broadcast_windows else per_item, "h").where(F.expr(_CONSISTENT)).where(F.expr(_TELLING))
+    per_item = scratch.put(per_item.join(item_windows, "item_id"), "windows")
+    joined = found.join(F.broadcast(per_item) if per_item.count() <= broadcast_windows else per_item, "h").where(F.expr(_CONSISTENT)).where(F.expr(_TELLING))
     # of several readings of the same words the one with the fewest openings read as names
     where = ["doc_id", "item_id", "item_windows", "item_place", "place"]
     hits = joined.groupBy(where).agg(F.min(F.struct(F.expr("named + item_named").alias("n"), "slots", "item_slots")).alias("best"))

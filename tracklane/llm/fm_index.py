@@ -24,7 +24,9 @@ class Bits:
 
 
 class FMIndex:
-    """Index of a sequence of integer symbols 0..sigma-1; patterns of up to ``depth`` symbols can be counted.
+    """Index of a sequence of integer symbols 0..sigma-1; matches of up to ``depth`` symbols can be found.
+
+    The sequence ends with 0, which no pattern holds.
 
     Suffixes are ordered by their first ``depth`` symbols at least, which is all
     that backward search for patterns of that length needs.
@@ -67,12 +69,24 @@ class FMIndex:
         """Backward step: where suffixes that begin with ``symbol`` before the suffixes from ``at`` on lie."""
         return self.first[symbol] + self._walk(symbol, at) - self.base[symbol]
 
-    def matches(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each pattern symbols[start : start + length] the interval [lo, hi) of ``order`` that begins with it."""
-        last = symbols[starts + length - 1]
-        lo, hi = self.first[last], self.first[last + 1]
-        for back in range(length - 2, -1, -1):
-            now = symbols[starts + back]
-            both = self.step(np.concatenate((now, now)), np.concatenate((lo, hi)))
-            lo, hi = both[: len(now)], both[len(now) :]
-        return lo, hi
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end the length of the longest part of ``text`` before it (``most`` symbols at most) that the index holds, and its interval [lo, hi) of ``order``.
+
+        ``text`` is a stream of the same symbols, those that the index lacks as -1.  All
+        ends take a step to the left at once; an end drops out at its first mismatch.
+        """
+        length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order))
+        open_ = np.arange(len(ends))
+        for back in range(1, most + 1):
+            at = ends[open_] - back
+            open_, at = open_[at >= 0], at[at >= 0]
+            symbol = text[at]
+            open_, symbol = open_[symbol >= 0], symbol[symbol >= 0]
+            if not len(open_):
+                break
+            both = self.step(np.concatenate((symbol, symbol)), np.concatenate((low[open_], high[open_])))
+            lo, hi = both[: len(symbol)], both[len(symbol) :]
+            found = hi > lo
+            open_, lo, hi = open_[found], lo[found], hi[found]
+            length[open_], low[open_], high[open_] = back, lo, hi
+        return length, low, high

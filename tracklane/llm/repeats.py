@@ -8,21 +8,25 @@ place, so that windows need only meet others with the same owner.
 1. Owners are counted over all documents (pre-aggregated in each task); those
    that occur once cannot own a repeated window.
 2. The rest are joined back to their documents, and a second pass over the
-   texts cuts out the passages whose windows they own.  Equal passages of a task
-   are sent once.  Owners with very many passages are split: each of their
-   windows goes where its own hash says.
-3. Each shard orders the windows of its passages: by backward search in a
-   compressed FM-index (words) or by deep-shallow suffix sorting (bytes); the
+   texts cuts out the passages whose windows they own.  Equal passages of a run
+   of texts are sent once.  Owners with very many passages are split: each of
+   their windows goes where its own hash says, and is sent once by a task (for the
+   first SEEN windows that it meets, the common ones among them).
+3. Each shard finds the equal windows of its passages: words stream against its
+   compressed FM-index, whose matching statistics give the interval of each match
+   of ``window`` words; bytes are ordered by deep-shallow suffix sorting.  The
    least occurrence of each group of equal windows is the one that stays.
 4. Each passage's removed ranges are joined back and cut out of the texts.
 
-No step gathers a key in one task beyond what pre-aggregation leaves, nothing is
-capped or sampled, and hashes only route: equality is decided on the tokens.
+A key has ``split_over`` passages at most, or one window of each task; nothing is
+capped or sampled.  Windows are equal where their tokens are; passages are told
+apart by 128 bits of hashes (of the owner and of the whole).
 
 Input: a table with the columns doc_id (integer) and text; others are ignored.
 Null texts are empty.  Rows with a null doc_id take no part in matching and come
-back unchanged.  Repeated rows of a doc_id get the same result each.  An empty
-table gives an empty result.
+back unchanged.  Equal rows of a doc_id are one document and get the same result
+each; different texts of one doc_id are documents of their own, in order of their
+hashes.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import deep_shallow, textkernel
-from .common import Scratch, partitions
+from .common import Scratch, partitions, told_apart, told_together
 from .fm_index import FMIndex
 
 U = np.uint64
 #: The passages meet in so many turns, by key.
 TURNS = 2
+#: Windows of split owners that a task remembers to have sent.
+SEEN = 1_000_000
 FOUND = "key long, seg long, lo long, hi long, first_doc long, delta long"
 
 
@@ -139,8 +145,29 @@ def _listed(batch: pa.RecordBatch, name: str, i: int, j: int) -> np.ndarray:
     return _keyed(np.repeat(np.arange(j - i), counts), values)
 
 
+class _Sent:
+    """Windows that a task has sent, with the least document and start of each."""
+
+    def __init__(self):
+        self.key, self.doc, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def news(self, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of these distinct windows were not sent with as small a place, and remember them."""
+        at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+        less = known.copy()
+        less[known] = (doc[known] < self.doc[at[known]]) | ((doc[known] == self.doc[at[known]]) & (start[known] < self.start[at[known]]))
+        self.doc[at[less]], self.start[at[less]] = doc[less], start[less]
+        new = np.flatnonzero(~known)[: max(0, SEEN - len(self.key))]
+        new = new[np.argsort(key[new])]
+        to = np.searchsorted(self.key, key[new])
+        self.key, self.doc, self.start = (np.insert(old, to, more[new]) for old, more in ((self.key, key), (self.doc, doc), (self.start, start)))
+        return ~known | less
+
+
 def _passages(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for i, j, raw, offsets in textkernel.texts(batch["text"]):
@@ -162,6 +189,8 @@ def _passages(spec: Spec):
                 if len(by):
                     new = np.r_[True, (key[by][1:] != key[by][:-1]) | (seg[by][1:] != seg[by][:-1])]
                     first_here[by[new]] = True
+                once = np.flatnonzero(first_here[warm.sum() :]) + warm.sum()
+                first_here[once] = sent.news(textkernel.mix(key[once] + seg[once] * U(3)), docs[once], local[once])
                 lo, hi = (a, b) if starts is None else (starts[np.minimum(a, max(len(starts) - 1, 0))] if len(starts) else a, ends[b - 1])
                 data = raw.tobytes()
                 content = [data[x:y] if f else None for x, y, f in zip(lo.tolist(), hi.tolist(), first_here.tolist(), strict=True)]
@@ -189,13 +218,13 @@ def _equal_windows(content: pa.Array, spec: Spec) -> tuple[np.ndarray, np.ndarra
         place, number = deep_shallow.order(raw, at, spec.window)
         group[place] = number
         return of, offset, group
-    hashes = textkernel.byte_spans(raw).hash(starts, ends)
-    _, symbols = np.unique(hashes, return_inverse=True)
+    symbols = textkernel.numbers(raw, starts, ends)
     which = np.repeat(np.arange(len(n)), np.diff(firsts))
     text = np.zeros(len(symbols) + len(n), np.int64)  # passages, each with a zero behind it
     text[np.arange(len(symbols)) + which] = symbols + 1
-    lo, _ = FMIndex(text, spec.window).matches(text, at + of, spec.window)
-    return of, offset, lo
+    length, lo, _ = FMIndex(text, spec.window).matching_statistics(text, at + of + spec.window, spec.window)
+    found = length >= spec.window
+    return of[found], offset[found], lo[found]
 
 
 def _first_of(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Table]:
@@ -308,7 +337,8 @@ def remove_repeats(documents: DataFrame, spec: Spec) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "repeats")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, keys = told_apart(every, scratch)
     known = docs.where("doc_id IS NOT NULL")
     counted = known.select("text").mapInArrow(_owner_counts(spec), "h long, n long, m long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("n > 1")
     shared = scratch.put(counted.select("h", (F.col("m") > spec.split_over).alias("hot")), "owners")
@@ -332,9 +362,10 @@ def remove_repeats(documents: DataFrame, spec: Spec) -> DataFrame:
     removed = scratch.put(gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("removed")), "removed")
     scratch.drop("passages")
     scratch.drop("found")
-    return docs.join(removed, "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(
+    out = docs.join(removed, "doc_id", "left").select("doc_id", "text", "removed").mapInArrow(
         _cut(spec), "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary"
     )
+    return told_together(out, every, keys, ("doc_id",))
 
 
 #: A match of 20 words, as an eight-word owner leaves few accidental meetings.

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,14 +119,19 @@ def spans(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int
         out += [(d, m.start(), m.end(), 0) for m in ASSIGN.finditer(data, a, b) if len(m[2]) >= 8]
         out += [(d, m.start(), m.end(), 1) for m in ACCESS.finditer(data, a, b) if len(m[0]) >= 16]
         out += [(d, m.start(), m.end(), 2) for m in HEX.finditer(data, a, b)]
-    taken: dict[int, list[tuple[int, int]]] = {}
-    for d, a, b, _ in out:
-        taken.setdefault(d, []).append((a, b))
+    begins, closes = [], []  # the known spans, those that overlap as one
+    for _, a, b, _ in sorted(out, key=lambda x: x[1]):
+        if closes and a <= closes[-1]:
+            closes[-1] = max(closes[-1], b)
+        else:
+            begins.append(a)
+            closes.append(b)
     shortest = min(window for window, _ in CLASSES.values())
     starts, ends = _runs(raw, offsets, shortest)
     docs = np.searchsorted(offsets, starts, "right") - 1
     for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True):
-        for x, y in [*sorted(k for k in taken.get(d, ()) if k[0] < b and a < k[1]), (b, b)]:
+        inner = slice(bisect_right(closes, a), bisect_left(begins, b))
+        for x, y in [*zip(begins[inner], closes[inner], strict=True), (b, b)]:
             if x - a >= shortest and (hit := entropy_span(data[a:x])):
                 out.append((d, a + hit[0], a + hit[1], 3))
             a = max(a, y)

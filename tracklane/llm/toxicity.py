@@ -6,13 +6,15 @@ first STEM bytes), bigrams and skip-grams (a word and the next but one).  FTRL
 keeps a learning rate for each coordinate and an L1 penalty, which leaves few
 weights; they are sent to the tasks as two short arrays.
 
-The model is fitted on a bounded sample of the labelled rows (``sample`` rows at
-most, chosen by hash of the id; at most ``features`` features of each, least hash
-first): the only bounded step.  Every text is scored whole.
+The model is fitted on a bounded sample of the labelled rows: ``sample`` rows at
+most with ``text_bytes`` bytes of text in all, chosen by hash of the id, and none
+of more than an eighth of that.  It is the only bounded step; all features of a
+sampled row are learned from, and every text is scored whole.
 
 Input: documents with doc_id and text, labels with doc_id and a label column,
 others ignored.  Null texts are empty and score as such.  Null doc_ids are
-scored but never learned.  Repeated rows get the same score each.  Without any
+scored but never learned.  A document with both labels is learned as 1.  Repeated
+rows get the same score each.  Without any
 labelled row every score is the same 0.5.
 """
 
@@ -25,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel
@@ -47,7 +49,7 @@ class Ftrl:
     l2: float = 0.0
     epochs: int = 5
     sample: int = 12_000
-    features: int = 6_000
+    text_bytes: int = 1 << 26
 
 
 def occurrences(raw: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _features(p: Ftrl):
                 feature, doc = _distinct(*occurrences(raw, offsets, p.bits), p.bits)
                 at = np.searchsorted(doc, np.arange(j - i + 1))
                 f = feature.astype(np.int32)
-                blobs = [f[a : min(b, a + p.features)].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                blobs = [f[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.record_batch([batch["doc_id"].slice(i, j - i), batch["label"].slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "label", "features"])
 
     return run
@@ -121,11 +123,17 @@ def _trained(p: Ftrl):
 
 def fit(documents: DataFrame, labels: DataFrame, label: str, p: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
     """Fit on the documents that ``labels`` covers; returns coordinates and weights."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     total = known.count()
     chance = min(1.0, 0.9 * p.sample / max(total, 1))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(chance * 1_000_000)).limit(p.sample)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most p.sample rows
+    place = F.xxhash64("doc_id", F.lit(11))
+    picked = known.where(F.pmod(place, F.lit(1_000_000)) < int(chance * 1_000_000)).orderBy(place, "doc_id").limit(p.sample)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most p.sample ids
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).where(F.col("size") <= p.text_bytes // 8)
+    so_far = F.sum("size").over(Window.orderBy(place, "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # at most p.sample rows
+    chosen = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= p.text_bytes)
+    docs = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = docs.mapInArrow(_features(p), "doc_id long, label int, features binary")
     model = rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_trained(p), "at long, weight double").toPandas()  # one bounded group
     return model["at"].to_numpy(np.int64), model["weight"].to_numpy(float)
