@@ -11,7 +11,7 @@ import pytest
 from brute import base_secrets, cosine_links, near, repeated_bytes, repeated_words
 from tokenizers import Tokenizer
 
-from tracklane.llm.queries import QUERIES
+from tracklane.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 SF_SECRETS = "/root/testdata/sf0.01"
@@ -30,6 +30,14 @@ def rows(spark, name, *columns, sf=SF):
     return {r[0]: tuple(r[1:]) for r in QUERIES[name](spark, sf).select(*columns).collect()}
 
 
+def sql(name, *columns, sf=SF):
+    """The SQL twin's rows, in the same form."""
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return {r[0]: tuple(r[1:]) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()}
+
+
 def test_toxicity_held_out(spark):
     got = QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.1").toPandas()
     assert set(got["held_out"] == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got["doc_id"]]) == {True}
@@ -46,25 +54,29 @@ def test_toxicity_held_out(spark):
 
 
 def test_minhash(spark, docs):
-    got = rows(spark, "op2_minhash_near_dedup", "doc_id", "n_shingles", "component_id", "kept")
-    assert got == {d: (n, c, c == d) for d, (n, c) in near(docs, 85).items()}
+    columns = ("op2_minhash_near_dedup", "doc_id", "n_shingles", "component_id", "kept")
+    assert rows(spark, *columns) == sql(*columns) == {d: (n, c, c == d) for d, (n, c) in near(docs, 85).items()}
 
 
 def test_embeddings(spark):
     vectors = dict(table("embeddings", "vec_id, embedding", SF_SECRETS))
-    got = rows(spark, "op3_pivot_near_dedup", "vec_id", "n_links", "component_id", "kept", sf=SF_SECRETS)
+    columns = ("op3_pivot_near_dedup", "vec_id", "n_links", "component_id", "kept")
+    got = rows(spark, *columns, sf=SF_SECRETS)
     want = cosine_links(vectors, 0.9)
+    assert sql(*columns, sf=SF_SECRETS) == {v: (n, c, c == v) for v, (n, c) in want.items()}
     assert sum(v[0] for v in got.values()) >= 0.9 * sum(n for n, _ in want.values())
     assert all(got[v][0] <= want[v][0] for v in want)
     assert sum(got[v] == (n, c, c == v) for v, (n, c) in want.items()) >= 0.95 * len(want)
 
 
 def test_word_passages(spark, docs):
-    assert rows(spark, "op4_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256") == repeated_words(docs)
+    columns = ("op4_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert rows(spark, *columns) == sql(*columns) == repeated_words(docs)
 
 
 def test_byte_passages(spark, docs):
-    assert rows(spark, "op5_suffix_array_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeated_bytes(docs)
+    columns = ("op5_suffix_array_dedup", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(spark, *columns) == sql(*columns) == repeated_bytes(docs)
 
 
 def test_warc(spark):
@@ -80,7 +92,8 @@ def test_warc(spark):
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         f = first[h or ""]
         want[p] = (len(data), digest, "response" if f == p else "revisit", None if f == p else f)
-    assert rows(spark, "op6_warc_revisits", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    columns = ("op6_warc_revisits", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows(spark, *columns) == sql(*columns) == want
 
 
 def encoded(docs, name, end):

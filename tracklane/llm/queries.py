@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import bitpack, decontaminate, minhash, packing, pivots, repeats, secrets, toxicity, warc
 from .common import Scratch
+from .sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 
 
 def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
