@@ -20,9 +20,10 @@ def timecode(seconds: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """Seconds of s, MM:SS or HH:MM:SS; null where a part is no number."""
-    parts = F.transform(F.split(text, ":"), lambda p: F.try_to_number(p, F.lit("S999999D999999")).cast("double"))
-    return F.aggregate(parts, F.lit(0.0), lambda total, p: total * 60 + p)
+    """Seconds of s, MM:SS or HH:MM:SS; null where a part is no number or negative, or where there are more parts.  A blank part is 0."""
+    parts = F.transform(F.split(F.trim(text), ":"), lambda p: F.when(F.trim(p) == "", 0.0).otherwise(F.trim(p).try_cast("double")))
+    fine = (F.size(parts) <= 3) & F.forall(parts, lambda p: p.isNotNull() & ~F.isnan(p) & (p >= 0))
+    return F.when(fine, F.aggregate(parts, F.lit(0.0), lambda total, p: total * 60 + p))
 
 
 def excel_day(date: Column) -> Column:

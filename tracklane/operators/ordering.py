@@ -1,25 +1,36 @@
-"""Row numbers over a whole table, without a window that one task would have to hold."""
+"""Row numbers and running totals over a whole table, without a window that one task would have to hold."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the first key that are numbered each by itself.
+#: Ranges of the first key that are ordered each by itself.
 RANGES = 64
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
-    """``rows`` with ``name``, their place from 1 in ascending order of the columns ``order`` (nulls first).
+def _running(rows: DataFrame, order: list[str], of: Column, total: Column, name: str, ranges: int) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``of`` over the rows up to each in order, nulls first.
 
-    The first of them is cut into ranges at its quantiles; a row's number is its
-    place in its range and the rows of the ranges before it, a sum over ``ranges``
-    counts.  Rows that are equal in the first column lie in one range.
+    The first column is cut into ranges at its quantiles; a row's sum is that in its
+    range and the ``total`` of the ranges before it, a window over ``ranges`` rows.
+    Rows that are equal in the first column lie in one range.
     """
     key = F.col(order[0])
     bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("b")).scalar()
     placed = rows.withColumn("_bounds", bounds).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < key)), F.lit(0))).drop("_bounds")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return placed.withColumn("_place", place).join(F.broadcast(counts), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_range").agg(total.alias("_total")).select("_range", F.sum("_total").over(earlier).alias("_before"))
+    here = of.over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = placed.withColumn("_here", here).join(F.broadcast(totals), "_range")
+    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce("_here", F.lit(0))).drop("_range", "_here", "_before")
+
+
+def number_rows(rows: DataFrame, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """``rows`` with ``name``, their place from 1 in ascending order of the columns ``order``."""
+    return _running(rows, order, F.count("*"), F.count("*"), name, ranges)
+
+
+def running_total(rows: DataFrame, order: list[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over all rows up to each."""
+    return _running(rows, order, F.sum(value), F.sum(value), name, ranges)

@@ -37,10 +37,10 @@ def latest(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def next_open(events: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For each event the position of the next open one, going round to the first."""
+    """For each event the position of the next open one, going round to the first: one pass from the last event back."""
     w = Window.partitionBy(*keys)
     open_at = F.when(F.col("review_status") == T.OPEN, F.col(order))
-    after = F.min(open_at).over(w.orderBy(order).rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(open_at).over(w.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("next_open", F.coalesce(after, F.min(open_at).over(w)))
 
 

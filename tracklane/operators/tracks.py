@@ -1,10 +1,9 @@
 """Vehicle tracks to passing events: one aggregation by (video_id, track_id).
 
 Samples have the columns video_id, track_id, ord (position in the track), frame,
-t, cx, cy, area, cls, bottom_y (nullable), confidence and plate_score.  The
-window that numbers samples and the aggregation share their keys, so that a
-track's samples are shuffled once; nothing is collected but three plate scores
-and the hits of a track.
+t, cx, cy, area, cls, bottom_y (nullable), confidence and plate_score.  All windows
+are within a track and the aggregation is by it, so that a track's samples are
+shuffled once, for measures and vehicle type alike; none are collected.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import number_rows, running_total
+
 KEYS = ("video_id", "track_id")
 LARGE = ("truck", "bus")
 
@@ -81,28 +82,32 @@ def numbered(samples: DataFrame) -> DataFrame:
     ).withColumn("q", F.greatest(F.lit(1), F.floor(F.col("n") / 4)))
 
 
-def track_measures(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
-    """One row per track with every figure that the rules look at; ``flow`` (nullable) may be among the samples' columns."""
+def _measures(samples: DataFrame, rules: TrackRules) -> list[Column]:
+    """Aggregates of numbered samples for :func:`_with_ratios`."""
     first, last = F.col("i") < F.col("q"), F.col("i") >= F.col("n") - F.col("q")
     middle = lambda part, c: F.median(F.when(part, c))
     at_peak = F.struct("area", -F.col("i"))
     flow = F.median("flow") if "flow" in samples.columns else F.lit(None).cast("double")
-    rows = numbered(samples).withColumn("ground", ground_y())
-    out = rows.groupBy(*KEYS).agg(
+    ground = ground_y()
+    value = {"cx": F.col("cx"), "ground": ground, "area": F.col("area")}
+    return [
         F.count("*").alias("n"),
         F.min_by("t", "i").alias("t_start"),
         F.max_by("t", "i").alias("t_end"),
         F.min("ord").alias("first_ord"),
-        *(middle(part, F.col(c)).alias(f"{c}_{end}") for c in ("cx", "ground", "area") for part, end in ((first, "start"), (last, "end"))),
+        *(middle(part, v).alias(f"{c}_{end}") for c, v in value.items() for part, end in ((first, "start"), (last, "end"))),
         F.max_by("i", at_peak).alias("peak_i"),
         F.max("area").alias("peak_area"),
         F.max_by("cx", at_peak).alias("peak_cx"),
         F.max_by("t", at_peak).alias("peak_t"),
         F.avg(F.when(on_road(rules), 1.0).otherwise(0.0)).alias("road_ratio"),
         flow.alias("ego_motion"),
-    )
+    ]
+
+
+def _with_ratios(tracks: DataFrame) -> DataFrame:
     small = F.lit(1e-9)
-    return out.select(
+    return tracks.select(
         "*",
         (F.col("peak_area") / F.greatest("area_start", "area_end", small)).alias("mid_peak_ratio"),
         (F.col("peak_area") / F.greatest("area_end", small)).alias("shrink"),
@@ -111,6 +116,11 @@ def track_measures(samples: DataFrame, rules: TrackRules = TrackRules()) -> Data
     )
 
 
+def track_measures(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
+    """One row per track with every figure that the rules look at; ``flow`` (nullable) may be among the samples' columns."""
+    return _with_ratios(numbered(samples).groupBy(*KEYS).agg(*_measures(samples, rules)))
+
+
 def close_pass(rules: TrackRules) -> Column:
     """The rescue of a vehicle that passes very close."""
     side = F.col("peak_cx") >= rules.close_side if rules.view == "front" else F.col("peak_cx") <= 1 - rules.close_side
@@ -155,40 +165,56 @@ def class_votes(samples: DataFrame) -> DataFrame:
     return numbered(samples).groupBy(*KEYS, "cls").agg(F.sum(vote()).alias("vote"), F.min("i").alias("first_i"))
 
 
-def longest_run(hits: Column) -> Column:
-    """Longest run of true in an array of booleans."""
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+def _with_runs(rows: DataFrame, hit: Column) -> DataFrame:
+    """Numbered samples with run, the hits up to each since the last miss."""
+    track = Window.partitionBy(*KEYS).orderBy("i")
+    rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    last = F.max(F.when(~F.col("_hit"), F.col("i"))).over(track.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.when(F.col("_hit"), F.col("i") - F.coalesce(last, F.lit(-1))).otherwise(0)
+    return rows.withColumn("run", run).drop("_hit")
 
-    def step(s: Column, hit: Column) -> Column:
-        now = F.when(hit, s["now"] + 1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"))
 
-    return F.aggregate(hits, zero, step, lambda s: s["best"])
+def longest_runs(samples: DataFrame, hit: Column) -> DataFrame:
+    """(video_id, track_id, run): the most samples in a row for which ``hit`` holds."""
+    return _with_runs(numbered(samples), hit).groupBy(*KEYS).agg(F.max("run").cast("int").alias("run"))
 
 
-def vehicle_types(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
-    """(video_id, track_id, vehicle_type, detector_class, plate_score, plate_hits)."""
-    large = F.col("cls").isin(*LARGE)
-    votes = class_votes(samples).groupBy(*KEYS).agg(
-        F.max_by("cls", F.struct("vote", -F.col("first_i"))).alias("detector_class"),
-        (F.sum(F.when(large, F.col("vote")).otherwise(0.0)) / F.sum("vote")).alias("share"),
+def _typed(rows: DataFrame, rules: TrackRules) -> DataFrame:
+    """Numbered samples with what the vehicle type needs: run, place by plate score, and votes of the sample's class so far."""
+    rows = _with_runs(rows, F.col("plate_score") >= rules.plate_threshold)
+    own = Window.partitionBy(*KEYS, "cls").orderBy("i")
+    return rows.select(
+        "*",
+        F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("plate_score"), "i")).alias("score_place"),
+        vote().alias("vote"),
+        F.sum(vote()).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("class_vote"),
+        F.min("i").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("class_first"),
     )
-    plates = samples.groupBy(*KEYS).agg(
+
+
+def _type_figures(rules: TrackRules) -> list[Column]:
+    large = F.col("cls").isin(*LARGE)
+    return [
+        F.max_by("cls", F.struct("class_vote", -F.col("class_first"))).alias("detector_class"),
+        (F.sum(F.when(large, F.col("vote")).otherwise(0.0)) / F.sum("vote")).alias("large_share"),
         F.count_if(large & (F.col("confidence") >= 0.40)).alias("large_frames"),
         F.count_if(F.col("plate_score") >= rules.plate_threshold).alias("plate_hits"),
-        F.sort_array(F.collect_list(F.struct("ord", "plate_score"))).alias("scores"),
-    )
-    top = F.slice(F.sort_array(F.transform("scores", lambda s: s["plate_score"]), asc=False), 1, 3)
-    evidence = F.when(F.size(top) == 3, top[1]).when(F.size(top) == 2, (top[0] + top[1]) / 2).otherwise(top[0])
-    plates = plates.select(
-        *KEYS, "large_frames", "plate_hits", evidence.alias("plate_score"),
-        longest_run(F.transform("scores", lambda s: s["plate_score"] >= rules.plate_threshold)).alias("run"),
-    )
-    strong = F.col("detector_class").isin(*LARGE) & (F.col("share") >= rules.large_share) & (F.col("large_frames") >= max(1, rules.large_min_frames))
+        F.median(F.when(F.col("score_place") <= 3, F.col("plate_score"))).alias("plate_score"),
+        F.max("run").alias("plate_run"),
+    ]
+
+
+def _vehicle_type(rules: TrackRules) -> Column:
+    strong = F.col("detector_class").isin(*LARGE) & (F.col("large_share") >= rules.large_share) & (F.col("large_frames") >= max(1, rules.large_min_frames))
     need = max(1, rules.plate_min_run)
-    light = (F.col("run") >= need) & (F.col("plate_hits") >= max(3, need)) & (~strong | (F.col("plate_score") >= rules.plate_over_large))
-    kind = F.when(light, "軽").when(strong, "大型").otherwise("普通")
-    return plates.join(votes, list(KEYS)).select(*KEYS, kind.alias("vehicle_type"), "detector_class", "plate_score", "plate_hits")
+    light = (F.col("plate_run") >= need) & (F.col("plate_hits") >= max(3, need)) & (~strong | (F.col("plate_score") >= rules.plate_over_large))
+    return F.when(light, "軽").when(strong, "大型").otherwise("普通").alias("vehicle_type")
+
+
+def vehicle_types(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
+    """(video_id, track_id, vehicle_type, detector_class, plate_score, plate_hits)."""
+    tracks = _typed(numbered(samples), rules).groupBy(*KEYS).agg(*_type_figures(rules))
+    return tracks.select(*KEYS, _vehicle_type(rules), "detector_class", "plate_score", "plate_hits")
 
 
 def with_flow(samples: DataFrame, motion: DataFrame) -> DataFrame:
@@ -199,15 +225,15 @@ def with_flow(samples: DataFrame, motion: DataFrame) -> DataFrame:
 def classify(samples: DataFrame, motion: DataFrame | None = None, rules: TrackRules = TrackRules()) -> DataFrame:
     """Passing events of all tracks, with their vehicle types."""
     rows = with_flow(samples, motion) if motion is not None else samples
-    return passing_tracks(track_measures(rows, rules), rules).join(vehicle_types(samples, rules), list(KEYS))
+    tracks = _typed(numbered(rows), rules).groupBy(*KEYS).agg(*_measures(rows, rules), *_type_figures(rules))
+    return passing_tracks(_with_ratios(tracks).withColumn("vehicle_type", _vehicle_type(rules)), rules)
 
 
 def video_offsets(videos: DataFrame) -> DataFrame:
     """videos(video_id, ord, duration) with time_offset, the durations before each: one row per video."""
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return videos.withColumn("time_offset", F.coalesce(F.sum("duration").over(before), F.lit(0.0)))
+    return running_total(videos, ["ord"], "duration", "_until").withColumn("time_offset", F.col("_until") - F.col("duration")).drop("_until")
 
 
 def number_events(events: DataFrame, *order: str) -> DataFrame:
-    """Event ids 001, 002, ... in order.  Events are few: those that the rules let through."""
-    return events.withColumn("event_id", F.format_string("%03d", F.row_number().over(Window.orderBy(*order))))
+    """Event ids 001, 002, ... in order."""
+    return number_rows(events, list(order), "_number").withColumn("event_id", F.format_string("%03d", "_number")).drop("_number")

@@ -83,9 +83,7 @@ def top3_median(spark, sf_dir):
 
 @query("longest_run", f"SELECT track_id, CAST(run AS INTEGER) AS run FROM ({_RUNS})")
 def longest_run(spark, sf_dir):
-    hits = F.sort_array(F.collect_list(F.struct("ord", (F.col("plate_score") >= 0.45).alias("hit"))))
-    rows = samples(spark, sf_dir).groupBy("track_id").agg(hits.alias("hits"))
-    return rows.select("track_id", K.longest_run(F.transform("hits", lambda h: h["hit"])).alias("run"))
+    return K.longest_runs(samples(spark, sf_dir), F.col("plate_score") >= 0.45).select("track_id", "run")
 
 
 @query("road_occupancy", f"SELECT track_id, round(road_ratio,9) AS road_ratio FROM ({_MEASURES})")
