@@ -29,9 +29,18 @@ def test_capture(spark, tmp_path, order):
     assert {k: r.n for k, r in got.items()} == {0: 384, 1: 768}
     assert got[0].t == 0 and abs(got[1].t - 0.1) < 1e-6 and abs(got[1].lo - 10) < 1e-9 and got[1].laser == 15
     assert packets.select(lidar.model_name(F.col("model")).alias("m")).distinct().collect() == [("VLP-16",)]
-    exports.write_by(exports.roi_rows(L.roi(rows, (-100, 100), (-100, 100)).where("frame_idx = 1")), str(tmp_path / "roi"), ["frame_idx"], ["capture_id", "ord"])
-    back = spark.read.csv(str(tmp_path / "roi"), header=True)
-    assert back.columns[7:11] == ["Selected", "Points:0", "Points:1", "Points:2"] and back.count() == 768
+    frames = rows.groupBy("frame_idx").agg(F.min("t").alias("t"))
+    exports.write_frame_regions(L.roi(rows, (-100, 100), (-100, 100)).where(L.frame_range(1, 5)), frames, str(tmp_path / "roi"))
+    assert sorted(p.name for p in (tmp_path / "roi").iterdir()) == ["lidar_000000_000000.000.csv", "lidar_000001_000000.100.csv"]
+    one = (tmp_path / "roi" / "lidar_000001_000000.100.csv").read_bytes().decode("utf-8-sig").split("\r\n")
+    assert one[0] == ",".join(exports.REGION_COLUMNS) and len(one) == 770
+    assert (tmp_path / "roi" / "lidar_000000_000000.000.csv").read_bytes().startswith(b"\xef\xbb\xbfFrame,")
+    exports.write_event_regions(rows.where("frame_idx < 2").withColumn("event_id", F.lit("a/1")), str(tmp_path / "event"))
+    back = tables.read_regions(spark, str(tmp_path / "event" / "overtaking_a_1.csv"))
+    assert back.count() == 1152 and back.groupBy("frame").count().count() == 2
+    groups = L.frame_groups(back)
+    near = L.nearest_points(groups, ["file", "frame"], ("x_text", "y_text"))
+    assert [(r.frame, r.t) for r in near.orderBy("t").collect()] == [("0", 0.0), ("1", 0.1)]
 
 
 def test_broken_capture(spark, tmp_path):

@@ -57,6 +57,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
 
 
+def stem_name(path: Column) -> Column:
+    """File name without folders."""
+    return F.substring_index(path, "/", -1)
+
+
 def stem_time(name: Column) -> Column:
     """A whole file stem as a number, else the last number in it."""
     last = F.element_at(F.regexp_extract_all(name, F.lit(r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"), F.lit(0)), -1)
@@ -85,3 +90,87 @@ def scaled(values: Column, scale: Column) -> Column:
 def shown(value: Column, digits: int = 2) -> Column:
     """Rounded for a report; null where it is null or not finite."""
     return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), F.round(value, digits))
+
+
+def minutes_text(seconds: Column) -> Column:
+    """Whole minutes and seconds, as 1分30秒; null counts as 0, halves round up."""
+    total = F.floor(F.coalesce(seconds, F.lit(0.0)) + 0.5)
+    t = F.abs(total)
+    return F.concat(F.when(total < 0, "-").otherwise(""), F.floor(t / 60).cast("string"), F.lit("分"), (t % 60).cast("string"), F.lit("秒"))
+
+
+def _product(value: Column, scale: Column) -> tuple[Column, Column]:
+    """A product of doubles and its rounding error (Dekker): their sum is exact."""
+    big = 134217729.0
+    high, s_high = value * big - (value * big - value), scale * big - (scale * big - scale)
+    low, s_low = value - high, scale - s_high
+    product = value * scale
+    return product, ((high * s_high - product) + high * s_low + low * s_high) + low * s_low
+
+
+def general(value: Column, digits: int = 15) -> Column:
+    """A number with so many significant digits and no zeros behind them, with an exponent below 1e-4 and from 10**digits on.
+
+    Halves of the last digit are decided by the double as it is, but for exponents
+    where the power of ten is no exact double: there by its shortest text.
+    """
+    text = F.format_string(f"%.{digits - 1}e", F.abs(value))
+    figures = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", "")
+    power = F.substring_index(text, "e", -1).cast("int")
+    places = digits - 1 - power
+    exact = places.between(0, 22)
+    whole, error = _product(F.abs(value), F.pow(F.lit(10.0), F.when(exact, places).otherwise(0).cast("double")))
+    half = whole - F.floor(whole) == 0.5
+    shown = F.when(half & (error > 0), F.ceil(whole)).when(half & (error < 0), F.floor(whole)).otherwise(F.rint(whole).cast("long")).cast("string")
+    figures = F.when(exact & (F.length(shown) == digits), shown).otherwise(figures)
+    bare = lambda s: F.regexp_replace(s, r"\.?0*$", "")
+    large = F.concat(F.substring(figures, F.lit(1), power + 1), F.lit("."), F.substring(figures, power + 2, F.lit(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+    raised = F.concat(bare(F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))), F.lit("e"), F.substring_index(text, "e", -1))
+    shape = F.when((power < -4) | (power >= digits), raised).when(power >= 0, bare(large)).otherwise(bare(small))
+    finite = F.concat(F.when(value < 0, "-").otherwise(""), shape)
+    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when(value.isNotNull(), finite)
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """The nearest number of so many decimals to the double as it is; only true halves go to the even side.
+
+    The rounding error of the value's product with 2 * 10**digits tells on which
+    side of a seeming half it lies.
+    """
+    product, error = _product(value, F.lit(2.0 * 10.0**digits))
+    half = (product == F.rint(product)) & (F.abs(product % 2) == 1)
+    up, down = (product + 1) / 2, (product - 1) / 2
+    whole = F.when(half & (error > 0), up).when(half & (error < 0), down).otherwise(F.rint(product / 2))
+    return F.when(F.abs(product) < 2.0**53, whole / 10.0**digits).otherwise(value)
+
+
+def collection_date(text: Column, folder: Column) -> Column:
+    """A date as 2026-07-01, 2026/07/01 or 260701; else that at the beginning of a folder's name (260701_1); null where neither is one."""
+    text = F.trim(text)
+    lead = F.regexp_extract(folder, r"^(\d{6})_", 1)
+    year = lambda two: F.when(two < 69, 2000 + two).otherwise(1900 + two)
+    part = lambda c, a: F.substring(c, a, 2).try_cast("int")
+    date = lambda y, c: F.to_date(F.try_make_timestamp(y, part(c, 3), part(c, 5), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")))
+    dashed = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
+    slashed = F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(text, F.lit("y/M/d")).cast("date"))
+    short = F.when(text.rlike(r"^\d{6}$"), date(year(part(text, 1)), text))
+    return F.coalesce(dashed, slashed, short, F.when(lead != "", date(2000 + part(lead, 1), lead)))
+
+
+def event_seconds(value: Column, fallback: Column) -> Column:
+    """A finite number, else that of the other text, else 0."""
+    finite = lambda c: F.when(F.abs(number(c)) < float("inf"), number(c))
+    return F.coalesce(finite(value), finite(fallback), F.lit(0.0))
+
+
+def column_letters(index: Column) -> Column:
+    """Letters of a spreadsheet's column: 0 is A, 26 is AA (up to three)."""
+    letter = lambda k: F.char(65 + k.cast("int"))
+    i = index.cast("long")
+    two, three = F.floor((i - 26) / 26), F.floor((i - 702) / 676)
+    tail = letter(F.pmod(i, F.lit(26)))
+    return (
+        F.when(i < 26, tail).when(i < 702, F.concat(letter(two), tail))
+        .otherwise(F.concat(letter(three), letter(F.pmod(F.floor((i - 702) / 26), F.lit(26))), tail))
+    )

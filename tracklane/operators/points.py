@@ -26,6 +26,11 @@ def roi(points: DataFrame, x: tuple[float, float], y: tuple[float, float], laser
     return out if lasers is None else out.where(F.col("laser").isin(list(lasers)))
 
 
+def frame_range(first: int, last: int) -> Column:
+    """Frames between two, in any order; frames that are not there don't count."""
+    return F.col("frame_idx").between(min(first, last), max(first, last))
+
+
 def boxes_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points inside their frame's boxes(event_id, frame_idx, min_x, max_x, min_y, max_y, lasers); an empty list of lasers means all."""
     lasers = F.when(F.size("lasers") > 0, F.col("lasers"))
@@ -87,16 +92,16 @@ def grid_components(cells: DataFrame, keys: list[str], workdir: str) -> DataFram
             return now
 
 
-def nearest_points(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each frame the nearest point in the plane, the first of equals; a frame without a valid one stays, with nulls.
+def nearest_points(points: DataFrame, keys: list[str], also: Sequence[str] = ()) -> DataFrame:
+    """Of each frame the nearest point in the plane, the first of equals, with its columns ``also``; a frame without a valid one stays, with nulls.
 
     ``keys`` ends with the frame.  x or y that are null, or distances of FAR and more, never win.
     """
     d = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
     valid = d.isNotNull() & ~F.isnan(d) & (d < FAR)
     rows = points.withColumn("distance", F.when(valid, d))
-    best = F.min_by(F.struct("x", "y", "z", "distance"), F.when(valid, F.struct("distance", "ord")))
-    return rows.groupBy(*keys).agg(F.min("t").alias("t"), best.alias("p")).select(*keys, "t", "p.x", "p.y", "p.z", "p.distance")
+    best = F.min_by(F.struct("x", "y", "z", "distance", *also), F.when(valid, F.struct("distance", "ord")))
+    return rows.groupBy(*keys).agg(F.min("t").alias("t"), best.alias("p")).select(*keys, "t", "p.*")
 
 
 def trajectory_speed(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import phases as P
+from ..operators import ordering as O
 from ..operators import points as L
 from ..operators import review as R
 from ..operators import timeline as W
@@ -211,7 +212,11 @@ def grid_cells(spark, sf_dir):
  SELECT gx, gy, min({{'gx':cx,'gy':cy}}).gx AS component_gx, min({{'gx':cx,'gy':cy}}).gy AS component_gy FROM r GROUP BY gx, gy""")
 def grid_components(spark, sf_dir):
     cells = L.grid_cells(points(spark, sf_dir), [], 0.05).where("points >= 2").drop("points")
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
     out = L.grid_components(cells, [], f"{where}/grid-{uuid.uuid4().hex}")
     return out.select("gx", "gy", F.col("component.gx").alias("component_gx"), F.col("component.gy").alias("component_gy"))
 
@@ -256,9 +261,11 @@ def reviews(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), "o_custkey", "o_orderpriority", status.alias("review_status"), F.col("o_orderdate").cast("timestamp").alias("at"))
 
 
-@query("accepted_sorted", f"SELECT o_orderkey AS event_id FROM orders WHERE {_STATUS}='採用' ORDER BY o_orderkey")
+@query("accepted_sorted", f"SELECT o_orderkey AS event_id, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE {_STATUS}='採用'")
 def accepted_sorted(spark, sf_dir):
-    return R.accepted(reviews(spark, sf_dir)).orderBy(*R.report_order()).select("event_id")
+    number, raw = R.report_order()
+    rows = R.accepted(reviews(spark, sf_dir)).withColumns({"number": number.cast("long"), "raw": raw})
+    return O.number_rows(rows, ["number", "raw"], "place").select("event_id", "place")
 
 
 @query("not_rejected", f"SELECT o_orderkey AS event_id FROM orders WHERE {_STATUS}<>'除外'")

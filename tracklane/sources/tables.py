@@ -40,7 +40,7 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     names = ("t", "x", "y", "z", "distance", "speed")
     rows = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in names) + ", _bad string", columnNameOfCorruptRecord="_bad")
     rows = placed(rows).where("_bad IS NULL OR size(split(_bad, ',')) >= 6")
-    rows = rows.select("file", (F.col("ord") + 1).alias("row_number"), *(F.expr(f"try_cast({c} AS double)").alias(c) for c in names))
+    rows = rows.select("file", (F.col("ord") + 1).alias("row_number"), F.array(*(F.coalesce(c, F.lit("")) for c in names)).alias("raw"), *(F.expr(f"try_cast({c} AS double)").alias(c) for c in names))
     rows = rows.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND distance IS NOT NULL")
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("row_number")))
 
@@ -56,3 +56,62 @@ def read_frames(spark: SparkSession, folder: str) -> DataFrame:
     rows = rows.withColumn("t", stem.try_cast("double")).where(F.col("t").isNotNull() & ~F.lower(stem).rlike("_edit$|^overtaking_"))
     x, y, z = (F.expr(f"try_cast({c} AS double)").alias(n) for c, n in (("c8", "x"), ("c9", "y"), ("c10", "z")))
     return rows.select(F.lit(folder).alias("capture_id"), stem.alias("frame_idx"), "ord", "t", x, y, z)
+
+
+#: Columns of a region file by their headers, with their places where a header lacks them.
+REGION = {"Frame": 0, "Time": 1, "Points:0": 8, "Points:1": 9, "Points:2": 10}
+#: Columns that tell a list of events with vehicle evidence from an older one.
+EVIDENCE = frozenset(("detector_class", "kei_plate_score", "kei_plate_hits"))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, cells): lines of CSV files as texts, whatever their headers."""
+    rows = placed(spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", "")))
+    cells = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    bare = lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    return rows.select("file", "ord", F.transform(cells, bare).alias("cells"))
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """Points of region files with several frames each: file, ord, frame and time_text as they stand, x, y, z and their texts.
+
+    Columns are found by the headers of each file; rows that are too short for them are left out.
+    """
+    rows = lines(spark, path)
+    header = F.first("cells").over(Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    at = {name: F.coalesce(F.nullif(F.array_position(header, name), F.lit(0)), F.lit(k + 1)).cast("int") for name, k in REGION.items()}
+    rows = rows.withColumns({f"_{k}": c for k, c in enumerate(at.values())}).where((F.col("ord") > 1) & (F.size("cells") >= F.greatest("_2", "_3", "_4")))
+    cell = lambda k: F.try_element_at("cells", F.col(f"_{k}"))
+    texts = {"frame": cell(0), "time_text": cell(1), "x_text": cell(2), "y_text": cell(3), "z_text": cell(4)}
+    return rows.select("file", "ord", *(c.alias(n) for n, c in texts.items()), *(cell(k).try_cast("double").alias(n) for k, n in ((2, "x"), (3, "y"), (4, "z"))))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def events_path(spark: SparkSession, folder: str) -> str:
+    """The reviewed events of a folder, else the detector's."""
+    for name in ("reviewed_overtaking_events.csv", "overtaking_events.csv"):
+        if exists(spark, f"{folder}/{name}"):
+            return f"{folder}/{name}"
+    raise FileNotFoundError(f"{folder}: no events")
+
+
+def lacks_evidence(events: DataFrame) -> bool:
+    """Whether detector events are of the older kind, without vehicle evidence; reviewed ones never are."""
+    return "review_status" not in events.columns and not EVIDENCE.issubset(events.columns)
+
+
+def clip_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name): the files of a folder, by their names alone."""
+    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
+def check_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, problem) for the CSV files of a folder in any case's order: null where the ninth and tenth columns are points."""
+    rows = lines(spark, f"{folder}/*.csv").where("ord = 1")
+    column = lambda k: F.lower(F.try_element_at("cells", F.lit(k)))
+    problem = F.when(F.size("cells") < 10, "fewer than 10 columns").when(~(column(9).contains("point") & column(10).contains("point")), "columns 9 and 10 are no points")
+    return rows.select(F.element_at(F.split("file", "/"), -1).alias("name"), problem.alias("problem")).orderBy(F.lower("name"))
