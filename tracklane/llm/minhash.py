@@ -276,9 +276,8 @@ def keep_one_of_each(documents: DataFrame, threshold: int = 80) -> DataFrame:
     """
     found, _, keys = _near(documents, threshold)
     gone = found.where("doc_id <> component_id").select("doc_id")
-    own = documents["doc_id"].cast("long")
     if keys is None:
-        gone = gone.select(F.col("doc_id").alias("_gone"))
-        return documents.join(gone, own == gone["_gone"], "left_anti")
+        return by_ids(documents, gone, "left_anti")
+    own = documents["doc_id"].cast("long")
     gone = keys.join(gone, "doc_id").select(F.col("own").alias("_gone"), F.col("t").alias("_text"))
     return documents.join(gone, (own == gone["_gone"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == gone["_text"]), "left_anti")
