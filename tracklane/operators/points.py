@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 FAR = 99_999_999.0
 
 
@@ -104,18 +106,28 @@ def nearest_points(points: DataFrame, keys: list[str], also: Sequence[str] = ())
     return rows.groupBy(*keys).agg(F.min("t").alias("t"), best.alias("p")).select(*keys, "t", "p.*")
 
 
-def trajectory_speed(frames: DataFrame, keys: list[str]) -> DataFrame:
+def display(points: DataFrame) -> DataFrame:
+    """Points to be shown: frame, place, coordinates to the millimetre, intensity and laser."""
+    return points.select("frame_idx", "ord", *(T.round_exact(F.col(c), 3).alias(c) for c in "xyz"), "intensity", "laser")
+
+
+def trajectory_speed(frames: DataFrame, keys: list[str], slot: float = 600.0) -> DataFrame:
     """Frames of :func:`nearest_points` in order of t, with speed in km/h.
 
     The first frame has none, nor has a frame without a point or without time
     since the last.  After a frame without a point the way is measured from the origin.
+    Frames are ordered in slots of time, and a slot's first frame follows the last
+    of the slot before, so that a long capture is many tasks' work.
     """
-    w = Window.partitionBy(*keys).orderBy("t", "frame_idx")
     zero = F.lit(0.0)
-    dx = F.col("x") - F.lag(F.coalesce("x", zero)).over(w)
-    dy = F.col("y") - F.lag(F.coalesce("y", zero)).over(w)
-    dt = F.col("t") - F.lag("t").over(w)
-    return frames.withColumn("speed", F.when(dt != 0, F.sqrt(dx * dx + dy * dy) / dt * 3600 / 1000))
+    here = F.struct(F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"), F.col("t").alias("t"))
+    rows = frames.withColumn("_slot", F.floor(F.col("t") / slot))
+    last = rows.groupBy(*keys, "_slot").agg(F.max_by(here, F.struct("t", "frame_idx")).alias("_end"))
+    before = last.select(*keys, "_slot", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_before"))
+    rows = rows.withColumn("_last", F.lag(here).over(Window.partitionBy(*keys, "_slot").orderBy("t", "frame_idx"))).join(before, [*keys, "_slot"])
+    past = F.coalesce("_last", "_before")
+    dx, dy, dt = (F.col(c) - past[c] for c in ("x", "y", "t"))
+    return rows.withColumn("speed", F.when(dt != 0, F.sqrt(dx * dx + dy * dy) / dt * 3600 / 1000)).drop("_slot", "_last", "_before")
 
 
 def frame_groups(rows: DataFrame) -> DataFrame:

@@ -44,6 +44,13 @@ def next_open(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return events.withColumn("next_open", F.coalesce(after, F.min(open_at).over(w)))
 
 
+def decide(events: DataFrame, decisions: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Events with the last of their decisions(event_id, status, seq), and next_open as it is after all of them."""
+    last = latest(decisions, ["event_id"], "seq").select("event_id", F.col("status").alias("_status"))
+    decided = events.join(last, "event_id", "left").withColumn("review_status", F.coalesce("_status", "review_status")).drop("_status")
+    return next_open(decided, keys, order)
+
+
 def progress(events: DataFrame, keys: list[str]) -> DataFrame:
     """How many events there are, and how many of them have been decided."""
     return events.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("review_status") != T.OPEN).alias("reviewed"))

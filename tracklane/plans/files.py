@@ -231,6 +231,25 @@ def union_streams(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
+_DECIDED = f"SELECT o_orderkey AS event_id, o_custkey AS c, CASE WHEN o_orderkey % 3=0 THEN CASE WHEN o_orderkey % 2=0 THEN '除外' ELSE '未確認' END ELSE {_STATUS} END AS s FROM orders"
+
+
+@query("decided", f"""SELECT event_id, s AS review_status, coalesce(min(o) OVER (PARTITION BY c ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), min(o) OVER (PARTITION BY c)) AS next_open
+ FROM (SELECT *, CASE WHEN s='未確認' THEN event_id END AS o FROM ({_DECIDED}))""")
+def decided(spark, sf_dir):
+    e = reviews(spark, sf_dir)
+    some = e.where("event_id % 3 = 0")
+    first = some.select("event_id", F.lit(T.ACCEPTED).alias("status"), F.lit(1).alias("seq"))
+    second = some.select("event_id", F.when(F.col("event_id") % 2 == 0, T.REJECTED).otherwise(T.OPEN).alias("status"), F.lit(2).alias("seq"))
+    return R.decide(e, second.unionByName(first), ["o_custkey"], "event_id").select("event_id", "review_status", "next_open")
+
+
+@query("display_points", f"SELECT frame_idx, ord, CAST(printf('%.3f', x) AS DOUBLE)+0.0::DOUBLE AS x, CAST(printf('%.3f', y) AS DOUBLE)+0.0::DOUBLE AS y, CAST(printf('%.3f', z) AS DOUBLE)+0.0::DOUBLE AS z FROM (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY ord)-1 AS i, count(*) OVER (PARTITION BY frame_idx) AS n FROM ({POINTS})) WHERE i % CAST(ceil(n/20.0) AS BIGINT)=0")
+def display_points(spark, sf_dir):
+    shown = L.display(L.thin(points(spark, sf_dir), ["frame_idx"], "ord", 20).withColumn("intensity", F.lit(0)))
+    return shown.select("frame_idx", "ord", *((F.col(c) + 0.0).alias(c) for c in "xyz"))
+
+
 @query("follow_boxes")
 def follow_boxes(spark, sf_dir):
     """Boxes through the frames of all points: state from frame to frame, which SQL lacks; the tests follow them plainly."""
