@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracklane.operators import phases as P
 from tracklane.operators import points as L
+from tracklane.operators import tracks as K
 from tracklane.sources import exports, lidar, tables
 from tracklane.streaming import live
 
@@ -76,6 +78,30 @@ def test_frame_folder(spark, tmp_path):
     assert [tuple(r) for r in got] == [(10.0, 3.0, 4.0, 5.0, None), (11.0, 6.0, 8.0, 10.0, 18.0)]
 
 
+def test_passing_events_of_a_stream(spark, tmp_path):
+    """The events of tracks as they end are those of the whole table."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        n = rng.randint(3, 30)
+        x, y, size = rng.uniform(0.6, 1), rng.uniform(0.4, 0.9), rng.uniform(0.01, 0.1)
+        for i in range(n):
+            far = i / max(1, n - 1)
+            rows.append((1, k, i, 10 * k + i, 100.0 * k + 0.1 * i, x - far * rng.uniform(0.1, 0.5), y - far * 0.2, size * (1 - 0.6 * far) + rng.uniform(0, 0.02), rng.choice(["car", "truck", "bus"]), None if k % 2 else y, rng.random(), rng.random(), rng.choice([None, 0.5, 3.0])))
+    schema = "video_id int, track_id int, ord int, frame int, t double, cx double, cy double, area double, cls string, bottom_y double, confidence double, plate_score double, flow double"
+    table = spark.createDataFrame(rows, schema).withColumn("event_time", F.timestamp_seconds("t"))
+    table.orderBy("t").coalesce(1).write.option("maxRecordsPerFile", 60).parquet(str(tmp_path / "in"))
+    rules = K.TrackRules(appear_edge=0.6, exit_edge=0.2, close_min_road=0.2)
+    pick = ("track_id", "n", "cx_start", "area_end", "peak_i", "close_pass", "vehicle_type", "detector_class", "plate_hits")
+    want = sorted(tuple(r) for r in K.classify(table, None, rules).select(*pick).collect())
+    assert sorted(tuple(r) for r in live.passing_tracks(table, "5 seconds", rules=rules).select(*pick).collect()) == want and 3 < len(want) < 40
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+    q = live.passing_tracks(stream, "5 seconds", rules=rules).select(*pick).writeStream.format("memory").queryName("passing").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    got = sorted(tuple(r) for r in spark.table("passing").collect())
+    assert set(got) <= set(want) and len(got) >= len(want) - 1  # the last track has not ended
+
+
 def test_streams(spark, tmp_path):
     data = [(1, t, (t * 7) % 11 + (36000 - t * 3000 % 36000)) for t in range(40)]
     rows = spark.createDataFrame([(1, a % 2, float(b), a) for a, b, _ in data for a in (b,)], "video_id long, track_id long, t double, ord long")

@@ -55,23 +55,24 @@ class TrackRules:
     large_min_frames: int = 5
 
 
-def ground_y() -> Column:
-    return F.coalesce("bottom_y", "cy")
+def ground_y(of=F.col) -> Column:
+    """The lower edge of a sample, else its centre; ``of`` gives a sample's fields."""
+    return F.coalesce(of("bottom_y"), of("cy"))
 
 
-def on_road(rules: TrackRules) -> Column:
+def on_road(rules: TrackRules, of=F.col) -> Column:
     """Whether a sample lies in the road trapezoid."""
-    depth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ground_y() - rules.vanishing_y) / max(1e-6, 1.0 - rules.vanishing_y)))
+    depth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (ground_y(of) - rules.vanishing_y) / max(1e-6, 1.0 - rules.vanishing_y)))
     edge = lambda top, bottom: F.lit(top) * (1 - depth) + F.lit(bottom) * depth
     left = edge(rules.vanishing_x - rules.road_top_half_width, rules.road_bottom_left)
     right = edge(rules.vanishing_x + rules.road_top_half_width, rules.road_bottom_right)
-    return F.col("cx").between(left, right)
+    return of("cx").between(left, right)
 
 
-def vote() -> Column:
+def vote(of=F.col) -> Column:
     """A sample's vote for its class: confidence, less near the picture's edge."""
-    edge = F.least(F.greatest("cx", F.lit(0.0)), F.greatest(1 - F.col("cx"), F.lit(0.0)))
-    return F.greatest(F.lit(0.05), F.col("confidence")) * (0.35 + 0.65 * F.least(F.lit(1.0), edge / 0.35))
+    edge = F.least(F.greatest(of("cx"), F.lit(0.0)), F.greatest(1 - of("cx"), F.lit(0.0)))
+    return F.greatest(F.lit(0.05), of("confidence")) * (0.35 + 0.65 * F.least(F.lit(1.0), edge / 0.35))
 
 
 def numbered(samples: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def numbered(samples: DataFrame) -> DataFrame:
 
 
 def _measures(samples: DataFrame, rules: TrackRules) -> list[Column]:
-    """Aggregates of numbered samples for :func:`_with_ratios`."""
+    """Aggregates of numbered samples for :func:`with_ratios`."""
     first, last = F.col("i") < F.col("q"), F.col("i") >= F.col("n") - F.col("q")
     middle = lambda part, c: F.median(F.when(part, c))
     at_peak = F.struct("area", -F.col("i"))
@@ -105,7 +106,8 @@ def _measures(samples: DataFrame, rules: TrackRules) -> list[Column]:
     ]
 
 
-def _with_ratios(tracks: DataFrame) -> DataFrame:
+def with_ratios(tracks: DataFrame) -> DataFrame:
+    """Tracks' figures with those that follow from them."""
     small = F.lit(1e-9)
     return tracks.select(
         "*",
@@ -118,7 +120,7 @@ def _with_ratios(tracks: DataFrame) -> DataFrame:
 
 def track_measures(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
     """One row per track with every figure that the rules look at; ``flow`` (nullable) may be among the samples' columns."""
-    return _with_ratios(numbered(samples).groupBy(*KEYS).agg(*_measures(samples, rules)))
+    return with_ratios(numbered(samples).groupBy(*KEYS).agg(*_measures(samples, rules)))
 
 
 def close_pass(rules: TrackRules) -> Column:
@@ -204,7 +206,8 @@ def _type_figures(rules: TrackRules) -> list[Column]:
     ]
 
 
-def _vehicle_type(rules: TrackRules) -> Column:
+def vehicle_type(rules: TrackRules) -> Column:
+    """The type of a track by detector_class, large_share, large_frames, plate_hits, plate_score and plate_run."""
     strong = F.col("detector_class").isin(*LARGE) & (F.col("large_share") >= rules.large_share) & (F.col("large_frames") >= max(1, rules.large_min_frames))
     need = max(1, rules.plate_min_run)
     light = (F.col("plate_run") >= need) & (F.col("plate_hits") >= max(3, need)) & (~strong | (F.col("plate_score") >= rules.plate_over_large))
@@ -214,7 +217,7 @@ def _vehicle_type(rules: TrackRules) -> Column:
 def vehicle_types(samples: DataFrame, rules: TrackRules = TrackRules()) -> DataFrame:
     """(video_id, track_id, vehicle_type, detector_class, plate_score, plate_hits)."""
     tracks = _typed(numbered(samples), rules).groupBy(*KEYS).agg(*_type_figures(rules))
-    return tracks.select(*KEYS, _vehicle_type(rules), "detector_class", "plate_score", "plate_hits")
+    return tracks.select(*KEYS, vehicle_type(rules), "detector_class", "plate_score", "plate_hits")
 
 
 def with_flow(samples: DataFrame, motion: DataFrame) -> DataFrame:
@@ -226,7 +229,7 @@ def classify(samples: DataFrame, motion: DataFrame | None = None, rules: TrackRu
     """Passing events of all tracks, with their vehicle types."""
     rows = with_flow(samples, motion) if motion is not None else samples
     tracks = _typed(numbered(rows), rules).groupBy(*KEYS).agg(*_measures(rows, rules), *_type_figures(rules))
-    return passing_tracks(_with_ratios(tracks).withColumn("vehicle_type", _vehicle_type(rules)), rules)
+    return passing_tracks(with_ratios(tracks).withColumn("vehicle_type", vehicle_type(rules)), rules)
 
 
 def video_offsets(videos: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Tracks and rotations of endless inputs."""
+"""Tracks, passing events and rotations of endless inputs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import tracks as K
+
 FRAMES = "capture_id string, packet_idx long, frame_idx long"
 
 
@@ -28,6 +30,53 @@ def track_sessions(samples: DataFrame, gap: str = "2 seconds", delay: str = "10
     )
 
 
+def _middle(values: Column) -> Column:
+    """Median of an array, nulls left out; null where nothing is left."""
+    s = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
+    n = F.size(s)
+    at = lambda k: F.try_element_at(s, k.cast("int") + 1)
+    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+
+def _run(hits: Column) -> Column:
+    """Longest run of true."""
+    step = lambda s, hit: F.struct(F.when(hit, s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["best"], F.when(hit, s["now"] + 1).otherwise(0)).alias("best"))
+    return F.aggregate(hits, F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")), step, lambda s: s["best"])
+
+
+def passing_tracks(samples: DataFrame, gap: str = "2 seconds", delay: str = "10 seconds", rules: K.TrackRules = K.TrackRules()) -> DataFrame:
+    """Passing events of tracks that have ended: the rules of :mod:`tracks` on the samples that a session holds.
+
+    samples: those of :mod:`tracks` with event_time, and flow of their frames (nullable).
+    A session keeps its samples as state until it ends, which is as long as a vehicle is seen.
+    """
+    fields = ("t", "cx", "cy", "area", "cls", "bottom_y", "confidence", "plate_score", "flow")
+    grouped = samples.withWatermark("event_time", delay).groupBy(F.session_window("event_time", gap).alias("session"), "video_id", "track_id")
+    held = grouped.agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias("a"))
+    a, n = F.col("a"), F.size("a")
+    q = F.greatest(F.lit(1), F.floor(n / 4).cast("int"))
+    part = {"start": F.slice(a, F.lit(1), q), "end": F.slice(a, n - q + 1, q)}
+    value = {"cx": lambda s: s["cx"], "ground": lambda s: K.ground_y(lambda c: s[c]), "area": lambda s: s["area"]}
+    peak = F.array_max(F.transform(a, lambda s, i: F.struct(s["area"].alias("area"), (-i).alias("back"), s["cx"].alias("cx"), s["t"].alias("t"))))
+    of = lambda s: (lambda c: s[c])
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda x, s: x + K.vote(of(s)))
+    classes = F.array_distinct(F.transform(a, lambda s: s["cls"]))
+    votes = F.transform(classes, lambda c, i: F.struct(total(F.filter(a, lambda s: s["cls"] == c)).alias("vote"), (-i).alias("back"), c.alias("cls")))
+    large = lambda s: s["cls"].isin(*K.LARGE)
+    hit = lambda s: F.coalesce(s["plate_score"] >= rules.plate_threshold, F.lit(False))
+    count = lambda f: F.size(F.filter(a, f))
+    best = F.sort_array(F.filter(F.transform(a, lambda s: s["plate_score"]), lambda v: v.isNotNull()), asc=False)
+    figures = held.select(
+        "session", "video_id", "track_id", n.cast("long").alias("n"), a[0]["t"].alias("t_start"), F.element_at(a, -1)["t"].alias("t_end"), a[0]["ord"].alias("first_ord"),
+        *(_middle(F.transform(part[end], f)).alias(f"{c}_{end}") for c, f in value.items() for end in part),
+        (-peak["back"]).alias("peak_i"), peak["area"].alias("peak_area"), peak["cx"].alias("peak_cx"), peak["t"].alias("peak_t"),
+        (count(lambda s: K.on_road(rules, of(s))) / n).alias("road_ratio"), _middle(F.transform(a, lambda s: s["flow"])).alias("ego_motion"),
+        F.array_max(votes)["cls"].alias("detector_class"), (total(F.filter(a, large)) / total(a)).alias("large_share"), count(lambda s: large(s) & (s["confidence"] >= 0.40)).alias("large_frames"),
+        count(hit).alias("plate_hits"), _middle(F.slice(best, 1, 3)).alias("plate_score"), _run(F.transform(a, hit)).alias("plate_run"),
+    )
+    return K.passing_tracks(K.with_ratios(figures).withColumn("vehicle_type", K.vehicle_type(rules)), rules)
+
+
 def _rotate(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     before, frame = state.get if state.exists else (None, 0)
     for part in [pd.concat(list(parts)).sort_values("packet_idx")]:
