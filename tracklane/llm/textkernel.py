@@ -145,18 +145,32 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: Sp
 
 
 def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
-    """Whether each span of ``a`` has the bytes of its partner in ``b``."""
+    """Whether each span of ``a`` has the bytes of its partner in ``b``: eight bytes of all at once, long ones by themselves."""
     n = a_ends - a_starts
     same = n == b_ends - b_starts
-    at = np.flatnonzero(same)
-    n = n[at]
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    differ = a[np.repeat(a_starts[at], n) + within] != b[np.repeat(b_starts[at], n) + within]
-    if differ.any():
-        same[at[np.repeat(np.arange(len(at)), n)[differ]]] = False
+    for k in np.flatnonzero(same & (n > LONG)).tolist():
+        same[k] = a[a_starts[k] : a_ends[k]].tobytes() == b[b_starts[k] : b_ends[k]].tobytes()
+    x, y = _eights(a), _eights(b)
+    rest = np.flatnonzero(same & (n > 0) & (n <= LONG))
+    for at in range(0, LONG, 8):
+        left = n[rest] - at
+        differ = (x[a_starts[rest] + at] ^ y[b_starts[rest] + at]) & _FIRST[np.minimum(left, 8)] != 0
+        same[rest[differ]] = False
+        rest = rest[~differ & (left > 8)]
+        if not len(rest):
+            break
     return same
 
 
+#: Masks of the first bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number, a view of the bytes; zeros follow the end."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(16, np.uint8))), strides=(1,))
+
+
 def numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each span, the same for equal bytes and for no others."""
     _, index, number = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
