@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -92,6 +93,12 @@ def road_occupancy(spark, sf_dir):
     return rounded(K.track_measures(samples(spark, sf_dir)).select("track_id", "road_ratio"))
 
 
+@query("road_filter", f"SELECT track_id FROM ({_MEASURES}) WHERE n>=5 AND t_end-t_start>=0.6 AND road_ratio>=0.22 AND (cx_start>=0.3 AND cx_end<cx_start AND cx_end>0.1)")
+def road_filter(spark, sf_dir):
+    rules = replace(RULES, min_seconds=0.6, appear_edge=0.3, stop_filter=False, trajectory_filter=False, area_filter=False, road_roi=True, min_road_ratio=0.22, close_peak_area=1e9)
+    return K.passing_tracks(K.track_measures(samples(spark, sf_dir), rules), rules).select("track_id")
+
+
 def measured(spark, sf_dir):
     return samples(spark, sf_dir).withColumn("flow", F.when(F.col("cls") == "error", F.col("area")))
 
@@ -245,12 +252,12 @@ def phase_rows(spark, sf_dir):
     return out.select("track_id", F.col("p1.rn").alias("p1"), *(F.col(f"p{k}.rn").cast("long").alias(f"p{k}") for k in (2, 3, 4)), "status")
 
 
-@query("metrics", f"""SELECT track_id, round(t4-t3,6) AS passing_time, round(abs(y2),6) AS distance_p2, round(y4-y3,6) AS distance_p3, round((y4-y3)/(t4-t3)*3.6,9) AS relative_speed, round(lc,6) AS lc FROM
+@query("metrics", f"""SELECT track_id, round(t4-t3,6) AS passing_time, round(abs(y2),6) AS distance_p2, round(y4-y3,6) AS distance_p3, round((y4-y3)/(t4-t3)*3.6,9) AS relative_speed, CASE WHEN y4<>y3 THEN round(abs(y2)/((y4-y3)/(t4-t3)*3.6::DOUBLE/3.6::DOUBLE),3) END AS ttc, round(lc,6) AS lc FROM
  (SELECT p.track_id, a2.y AS y2, a3.t AS t3, a3.y AS y3, a4.t AS t4, a4.y AS y4, (SELECT abs(coalesce(min(x) FILTER (WHERE distance>=1), min(x))) FROM ({TRAJECTORY}) q WHERE q.track_id=p.track_id AND q.rn BETWEEN p.p3 AND p.p4) AS lc
  FROM ({_PHASES}) p JOIN ({TRAJECTORY}) a2 ON a2.track_id=p.track_id AND a2.rn=p2 JOIN ({TRAJECTORY}) a3 ON a3.track_id=p.track_id AND a3.rn=p3 JOIN ({TRAJECTORY}) a4 ON a4.track_id=p.track_id AND a4.rn=p4)""")
 def passing_metrics(spark, sf_dir):
     m = P.metrics(trajectory(spark, sf_dir), "track_id").where("status = 'ok'")
-    return m.select("track_id", *(F.round(c, 6).alias(c) for c in ("passing_time", "distance_p2", "distance_p3")), F.round("relative_speed", 9).alias("relative_speed"), F.round("lc", 6).alias("lc"))
+    return m.select("track_id", *(F.round(c, 6).alias(c) for c in ("passing_time", "distance_p2", "distance_p3")), F.round("relative_speed", 9).alias("relative_speed"), F.round("ttc", 3).alias("ttc"), F.round("lc", 6).alias("lc"))
 
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN '採用' WHEN 'O' THEN '除外' ELSE '未確認' END"
