@@ -38,6 +38,14 @@ def test_short_item_without_a_word_needs_its_values(spark):
     assert held(spark, ["he paid 42 and left", "he paid 43 and left"], ["42", "?"]) == {(0, 0)}
 
 
+def test_tables_of_numbers_tell_nothing(spark):
+    """Windows of placeholders alone are not counted, on either side."""
+    item = "the sums of 1 2 3 4 5 6 7 8 9 10 11 12 are asked for here by the teacher"
+    doc = "the sums of 4 7 1 9 3 8 2 6 5 0 13 14 are asked for here by the teacher"
+    numbers = " ".join(str(k) for k in range(3000))
+    assert held(spark, [doc, numbers, f"{numbers} apples {numbers}", "1 2 3 4 5 6"], [item, "1 2 3 4 5 6 7"]) == {(0, 0)}
+
+
 FAR = "the first boat carries 5 crates from the harbour to the island every day while the second one that sails later carries 5 crates and the third carries 9 of them"
 
 

@@ -10,7 +10,8 @@ the item's windows (``share``) lies together in it and their slots are consisten
 where the item repeats a value, the document repeats one too, and different values
 stay different, over all the windows.  Windows lie together if they are as far
 from each other as in the item, or if that differs by less than NEAR words, or by
-less than half the item's length.  Of an item with fewer than WINDOW words the whole template is its one
+less than half the item's length.  Windows without a plain word tell nothing and
+count on neither side, so that tables of numbers meet nothing.  Of an item with fewer than WINDOW words the whole template is its one
 window, and documents are searched for windows of that length too; without a
 plain word in it, its own values must be there.  An item without a word is never
 held.
@@ -193,6 +194,8 @@ def _windows(only: np.ndarray | None, name: str, sizes: tuple[int, ...] | None):
                     wanted = ~t.joined[start] if sizes is None else np.ones(len(h), bool)  # an item's place is counted once
                 start, bits, size, h = start[wanted], bits[wanted], size[wanted], h[wanted]
                 slots = t.slots(start, bits, size).view(np.int64)
+                telling = (size < WINDOW) | (slots == 0).any(axis=1)
+                start, bits, size, h, slots = start[telling], bits[telling], size[telling], h[telling], slots[telling]
                 lists = pa.ListArray.from_arrays(np.arange(0, slots.size + 1, WINDOW, dtype=np.int32), pa.array(slots.ravel()))
                 readings = sum(bits >> k & 1 for k in range(WINDOW)) + WINDOW * t.joined[start]  # the whole name rather than its rest
                 columns = [ids[i:j][t.doc[start]], t.place[start], h.view(np.int64), size, lists, readings]
