@@ -99,13 +99,25 @@ def minutes_text(seconds: Column) -> Column:
     return F.concat(F.when(total < 0, "-").otherwise(""), F.floor(t / 60).cast("string"), F.lit("分"), (t % 60).cast("string"), F.lit("秒"))
 
 
-def _product(value: Column, scale: Column) -> tuple[Column, Column]:
-    """A product of doubles and its rounding error (Dekker): their sum is exact."""
+def _let(value: Column, f) -> Column:
+    """f(value), with the value worked out once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _product(value: Column, scale: Column) -> Column:
+    """A product p of doubles and its rounding error e (Dekker): their sum is exact."""
     big = 134217729.0
-    high, s_high = value * big - (value * big - value), scale * big - (scale * big - scale)
-    low, s_low = value - high, scale - s_high
-    product = value * scale
-    return product, ((high * s_high - product) + high * s_low + low * s_high) + low * s_low
+    high = lambda x: x * big - (x * big - x)
+
+    def parts(x: Column) -> Column:
+        v, s = x["v"], x["s"]
+        return F.struct(v.alias("v"), s.alias("s"), high(v).alias("h"), high(s).alias("g"))
+
+    def product(x: Column) -> Column:
+        v, s, h, g = (x[c] for c in "vshg")
+        return F.struct((v * s).alias("p"), (((h * g - v * s) + h * (s - g) + (v - h) * g) + (v - h) * (s - g)).alias("e"))
+
+    return _let(_let(F.struct(value.alias("v"), scale.alias("s")), parts), product)
 
 
 def general(value: Column, digits: int = 15) -> Column:
@@ -114,22 +126,36 @@ def general(value: Column, digits: int = 15) -> Column:
     Halves of the last digit are decided by the double as it is, but for exponents
     where the power of ten is no exact double: there by its shortest text.
     """
-    text = F.format_string(f"%.{digits - 1}e", F.abs(value))
-    figures = F.regexp_replace(F.substring_index(text, "e", 1), r"\.", "")
-    power = F.substring_index(text, "e", -1).cast("int")
-    places = digits - 1 - power
-    exact = places.between(0, 22)
-    whole, error = _product(F.abs(value), F.pow(F.lit(10.0), F.when(exact, places).otherwise(0).cast("double")))
-    half = whole - F.floor(whole) == 0.5
-    shown = F.when(half & (error > 0), F.ceil(whole)).when(half & (error < 0), F.floor(whole)).otherwise(F.rint(whole).cast("long")).cast("string")
-    figures = F.when(exact & (F.length(shown) == digits), shown).otherwise(figures)
     bare = lambda s: F.regexp_replace(s, r"\.?0*$", "")
-    large = F.concat(F.substring(figures, F.lit(1), power + 1), F.lit("."), F.substring(figures, power + 2, F.lit(digits)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
-    raised = F.concat(bare(F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))), F.lit("e"), F.substring_index(text, "e", -1))
-    shape = F.when((power < -4) | (power >= digits), raised).when(power >= 0, bare(large)).otherwise(bare(small))
-    finite = F.concat(F.when(value < 0, "-").otherwise(""), shape)
-    return F.when(F.isnan(value), "nan").when(F.abs(value) == float("inf"), F.when(value > 0, "inf").otherwise("-inf")).when(value.isNotNull(), finite)
+
+    def rounded(x: Column) -> Column:
+        half = x["p"] - F.floor(x["p"]) == 0.5
+        return F.when(half & (x["e"] > 0), F.ceil(x["p"])).when(half & (x["e"] < 0), F.floor(x["p"])).otherwise(F.rint(x["p"]).try_cast("long")).cast("string")
+
+    def split(text: Column) -> Column:
+        power = F.substring_index(text, "e", -1)
+        return F.struct(F.regexp_replace(F.substring_index(text, "e", 1), r"\.", "").alias("figures"), power.alias("raised"), power.cast("int").alias("power"))
+
+    def exact(v: Column, t: Column) -> Column:
+        places = digits - 1 - t["power"]
+        fine = places.between(0, 22)
+        whole = _let(_product(F.abs(v), F.pow(F.lit(10.0), F.when(fine, places).otherwise(0).cast("double"))), rounded)
+        figures = _let(whole, lambda w: F.when(fine & (F.length(w) == digits), w).otherwise(t["figures"]))
+        return F.struct(figures.alias("figures"), t["raised"].alias("raised"), t["power"].alias("power"))
+
+    def shape(t: Column) -> Column:
+        figures, power = t["figures"], t["power"]
+        large = F.concat(F.substring(figures, F.lit(1), power + 1), F.lit("."), F.substring(figures, power + 2, F.lit(digits)))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), figures)
+        raised = F.concat(bare(F.concat(F.substring(figures, 1, 1), F.lit("."), F.substring(figures, 2, digits))), F.lit("e"), t["raised"])
+        return F.when((power < -4) | (power >= digits), raised).when(power >= 0, bare(large)).otherwise(bare(small))
+
+    def written(v: Column) -> Column:
+        text = _let(_let(_let(F.format_string(f"%.{digits - 1}e", F.abs(v)), split), lambda t: exact(v, t)), shape)
+        finite = F.concat(F.when(v < 0, "-").otherwise(""), text)
+        return F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.when(v > 0, "inf").otherwise("-inf")).when(v.isNotNull(), finite)
+
+    return _let(value.cast("double"), written)
 
 
 def round_exact(value: Column, digits: int) -> Column:
@@ -138,11 +164,14 @@ def round_exact(value: Column, digits: int) -> Column:
     The rounding error of the value's product with 2 * 10**digits tells on which
     side of a seeming half it lies.
     """
-    product, error = _product(value, F.lit(2.0 * 10.0**digits))
-    half = (product == F.rint(product)) & (F.abs(product % 2) == 1)
-    up, down = (product + 1) / 2, (product - 1) / 2
-    whole = F.when(half & (error > 0), up).when(half & (error < 0), down).otherwise(F.rint(product / 2))
-    return F.when(F.abs(product) < 2.0**53, whole / 10.0**digits).otherwise(value)
+
+    def nearest(x: Column) -> Column:
+        p, e = x["p"], x["e"]
+        half = (p == F.rint(p)) & (F.abs(p % 2) == 1)
+        whole = F.when(half & (e > 0), (p + 1) / 2).when(half & (e < 0), (p - 1) / 2).otherwise(F.rint(p / 2))
+        return F.when(F.abs(p) < 2.0**53, whole / 10.0**digits)
+
+    return _let(value.cast("double"), lambda v: F.coalesce(_let(_product(v, F.lit(2.0 * 10.0**digits)), nearest), v))
 
 
 def collection_date(text: Column, folder: Column) -> Column:
