@@ -175,9 +175,9 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """``pairs`` (x, y, ...) with the ``value`` of both documents, as value_x and value_y."""
-    n = pairs.count()
+    n, counts = pairs.count(), {own: pairs.groupBy(own).agg(F.count("*").alias("n")) for own in "xy"}
     for own, other in (("x", "y"), ("y", "x")):
-        pairs = spread_join(pairs, table.select(F.col("doc_id").alias(own), F.col(value).alias(f"{value}_{own}")), own, other, n)
+        pairs = spread_join(pairs, table.select(F.col("doc_id").alias(own), F.col(value).alias(f"{value}_{own}")), own, other, n, counts[own])
     return pairs
 
 

@@ -11,6 +11,7 @@ at more than ``CHUNK`` bytes at once unless a single document is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -55,11 +56,22 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def texts(batch_column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last + 1, bytes, offsets) for each run of documents of a column."""
     raw, offsets = flat(batch_column)
     for i, j in chunks(offsets, most):
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+    give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

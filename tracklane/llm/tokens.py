@@ -30,7 +30,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[39] = 0
 _KIND[65:91] = _KIND[97:123] = 1
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 500_000
 #: Chunks that the tokenizer gets in one call: its encodings are far larger than the ids.
 AT_ONCE = 10_000
 
@@ -47,11 +47,11 @@ class ChunkTable:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.ends = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int32)
+        self.ends = np.zeros(0, np.int32)
         self.raw = np.zeros(0, np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -142,7 +142,7 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
         keep = ~np.isin(doc, sorted(odd))
         doc, place = doc[keep], place[keep]
     odd = sorted(odd)
-    count, first = table.count[place], table.first[place]
+    count, first = table.count[place].astype(np.int64), table.first[place]
     total = int(count.sum())
     source = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     ids = table.ids[source]

@@ -116,6 +116,8 @@ def _trained(p: Ftrl):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "label"])
         at, w = train([np.frombuffer(x, np.int32) for x in rows["features"]], rows["label"].to_numpy(float), p)
+        del rows
+        textkernel.give_back()
         return pd.DataFrame({"at": at, "weight": w})
 
     return run
