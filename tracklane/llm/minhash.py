@@ -41,7 +41,9 @@ U = np.uint64
 BANDS, ROWS = 26, 5
 SHINGLE = 5
 #: Bytes of text that are sketched at once (or one longer document), and pairs of sets that are compared at once.
-CHUNK, PAIRS = 1 << 19, 500
+CHUNK, PAIRS = 1 << 19, 200
+#: Documents that a Python worker gets at once: with texts, batches are large on both sides.
+DOCUMENTS = 2000
 #: Where more of a bucket stay apart than this, bounds decide which of them are compared.
 SPARSE = 30
 #: A shingle is rare if at most so many of the documents in such buckets have it.
@@ -255,7 +257,8 @@ def _near(documents: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, D
     scratch = Scratch(documents.sparkSession, "minhash")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     once, keys = told_apart(docs, scratch)
-    return _grouped(once, threshold, scratch), docs, keys
+    with small_batches(documents.sparkSession, DOCUMENTS):
+        return _grouped(once, threshold, scratch), docs, keys
 
 
 def near_duplicates(documents: DataFrame, threshold: int = 85) -> DataFrame:
