@@ -1,36 +1,72 @@
-"""Row numbers and running totals over a whole table, without a window that one task would have to hold."""
+"""Row numbers and running totals over a whole table, without a window that one task would have to hold.
+
+Rows are cut into ranges of the whole tuple of order columns, texts included, at
+bounds that Spark samples; equal tuples are told apart by where they came from,
+so that no range is large because a value is frequent.  The number of ranges
+grows with the rows.  The input is worked out once, as a table in the shared
+folder; the ordered rows are a second one, which fixes each row's place: what is
+read later can't depend on another sample of bounds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of the first key that are ordered each by itself.
-RANGES = 64
+from ..scratch import Tables
 
+#: Rows of a range, about.
+RANGE_ROWS = 1 << 20
+#: A partition's number is in the bits above these of monotonically_increasing_id.
+_PLACE_BITS = 33
 
-def _running(rows: DataFrame, order: list[str], of: Column, total: Column, name: str, ranges: int) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``of`` over the rows up to each in order, nulls first.
 
-    The first column is cut into ranges at its quantiles; a row's sum is that in its
-    range and the ``total`` of the ranges before it, a window over ``ranges`` rows.
-    Rows that are equal in the first column lie in one range.
-    """
-    key = F.col(order[0])
-    bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("b")).scalar()
-    placed = rows.withColumn("_bounds", bounds).withColumn("_range", F.coalesce(F.size(F.filter("_bounds", lambda b: b < key)), F.lit(0))).drop("_bounds")
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_range").agg(total.alias("_total")).select("_range", F.sum("_total").over(earlier).alias("_before"))
-    here = of.over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = placed.withColumn("_here", here).join(F.broadcast(totals), "_range")
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce("_here", F.lit(0))).drop("_range", "_here", "_before")
+def in_ranges(rows: DataFrame, order: list[str | Column], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``rows`` with _range and _place, their place from 0 in it; ranges and places ascend by ``order`` (nulls first unless it says otherwise)."""
+    tables = Tables(rows.sparkSession, "ordered")
+    once = tables.put(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ranges = max(1, -(-once.count() // range_rows))
+    ordered = once.repartitionByRange(ranges, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+    out = tables.put(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    tables.drop("rows")
+    place = F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return out.withColumns({"_range": F.shiftright("_id", _PLACE_BITS).cast("int"), "_place": place}).drop("_id")
+
+
+def _offsets(totals: DataFrame, by: list[str], total: str) -> DataFrame:
+    """(_range, by, _before): the sum of ``total`` over the earlier ranges of each ``by``; as many rows as ranges a window, at most."""
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumn("_before", F.coalesce(F.sum(total).over(earlier), F.lit(0)))
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+def number_rows(rows: DataFrame, order: list[str | Column], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with ``name``, their place from 1 in ascending order of the columns ``order``."""
-    return _running(rows, order, F.count("*"), F.count("*"), name, ranges)
+    placed = in_ranges(rows, order, range_rows)
+    counts = _offsets(placed.groupBy("_range").agg(F.count("*").alias("_n")), [], "_n")  # one row a range
+    out = placed.join(F.broadcast(counts.select("_range", "_before")), "_range")
+    return out.withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+
+
+def number_within(rows: DataFrame, by: list[str], order: list[str], name: str, range_rows: int = RANGE_ROWS, size: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 among the rows of the same ``by``, and with ``size``, how many these are.
+
+    One ``by`` with most of the rows is many ranges, and many small ones share a
+    range.  Nulls in ``by`` are a value of their own.
+    """
+    placed = in_ranges(rows, [*by, *order], range_rows)
+    keys = F.struct(*by)
+    groups = placed.withColumn("_by", keys).groupBy("_range", "_by").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    groups = _offsets(groups, ["_by"], "_n").withColumn("_all", F.sum("_n").over(Window.partitionBy("_by")))
+    at = (F.col("_g._range") == F.col("_range")) & F.col("_g._by").eqNullSafe(keys)
+    out = placed.join(groups.select(F.struct("_range", "_by", "_first", "_before", "_all").alias("_g")), at)
+    sizes = {size: F.col("_g._all")} if size else {}
+    return out.withColumns({name: F.col("_g._before") + F.col("_place") - F.col("_g._first"), **sizes}).drop("_range", "_place", "_g")
 
 
-def running_total(rows: DataFrame, order: list[str], value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def running_total(rows: DataFrame, order: list[str], value: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rows`` with ``name``, the sum of ``value`` over all rows up to each."""
-    return _running(rows, order, F.sum(value), F.sum(value), name, ranges)
+    placed = in_ranges(rows, order, range_rows)
+    totals = _offsets(placed.groupBy("_range").agg(F.sum(value).alias("_n")), [], "_n")  # one row a range
+    here = F.sum(value).over(Window.partitionBy("_range").orderBy("_place"))
+    out = placed.withColumn("_here", here).join(F.broadcast(totals.select("_range", "_before")), "_range")
+    return out.withColumn(name, F.col("_before") + F.coalesce("_here", F.lit(0))).drop("_range", "_place", "_here", "_before")

@@ -145,10 +145,10 @@ def candidate_order(spark, sf_dir):
     return O.number_rows(rows, ["a", "event_id"], "place").select("event_id", "place")
 
 
-@query("names_order", "SELECT page_id, row_number() OVER (ORDER BY k, lower(url), page_id) AS place FROM (SELECT page_id, url, ascii(lower(substr(url, length(url), 1))) AS k FROM pages)")
+@query("names_order", "SELECT page_id, row_number() OVER (ORDER BY lower(url), page_id) AS place FROM pages")
 def names_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("low"), F.ascii(F.lower(F.substring("url", -1, 1))).alias("k"))
-    return O.number_rows(rows, ["k", "low", "page_id"], "place").select("page_id", "place")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("low"))
+    return O.number_rows(rows, ["low", "page_id"], "place").select("page_id", "place")
 
 
 @query("export_counts", f"""SELECT n.f AS event_id, 1::BIGINT AS frames, count(DISTINCT frame_idx) AS written_frames, count(ord) AS points FROM (SELECT CAST(n_nationkey AS BIGINT) AS f FROM nation) n LEFT JOIN (SELECT * FROM ({POINTS}) WHERE x BETWEEN -0.1 AND 0.1) p ON p.frame_idx=n.f GROUP BY n.f""")

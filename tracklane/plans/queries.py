@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -16,6 +14,7 @@ from ..operators import points as L
 from ..operators import review as R
 from ..operators import timeline as W
 from ..operators import tracks as K
+from ..scratch import Tables
 from ..sources import exports
 from ..streaming import live
 from .registry import query
@@ -219,12 +218,7 @@ def grid_cells(spark, sf_dir):
  SELECT gx, gy, min({{'gx':cx,'gy':cy}}).gx AS component_gx, min({{'gx':cx,'gy':cy}}).gy AS component_gy FROM r GROUP BY gx, gy""")
 def grid_components(spark, sf_dir):
     cells = L.grid_cells(points(spark, sf_dir), [], 0.05).where("points >= 2").drop("points")
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-    out = L.grid_components(cells, [], f"{where}/grid-{uuid.uuid4().hex}")
+    out = L.grid_components(cells, [], Tables(spark, "grid").path("turns"))
     return out.select("gx", "gy", F.col("component.gx").alias("component_gx"), F.col("component.gy").alias("component_gy"))
 
 
