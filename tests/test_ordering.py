@@ -38,7 +38,8 @@ def test_places(rows):
 
 
 def test_places_within(rows):
-    got = ordered(O.number_within(rows, ["k"], ["v"], "i", 500, "n"), ["k", "v"])
+    got = ordered(O.number_within(rows, ["k"], ["v"], "i", 500, "n", "g"), ["k", "v"])
+    assert (got["g"] == (got["k"].fillna("") != got["k"].fillna("").shift()).cumsum() - 1).all()
     assert (got["i"] == got.groupby("k", dropna=False).cumcount()).all()
     assert (got["n"] == got.groupby("k", dropna=False)["v"].transform("size")).all()
 

@@ -47,20 +47,23 @@ def number_rows(rows: DataFrame, order: list[str | Column], name: str, range_row
     return out.withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
 
 
-def number_within(rows: DataFrame, by: list[str], order: list[str], name: str, range_rows: int = RANGE_ROWS, size: str | None = None) -> DataFrame:
-    """``rows`` with ``name``, their place from 0 among the rows of the same ``by``, and with ``size``, how many these are.
+def number_within(rows: DataFrame, by: list[str], order: list[str], name: str, range_rows: int = RANGE_ROWS, size: str | None = None, group: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, their place from 0 among the rows of the same ``by``.
 
-    One ``by`` with most of the rows is many ranges, and many small ones share a
-    range.  Nulls in ``by`` are a value of their own.
+    Also with ``size``, how many these are, and ``group``, the place from 0 of their
+    ``by`` among all, where names are given for them.  One ``by`` with most of the rows
+    is many ranges, and many small ones share a range.  Nulls in ``by`` are a value of their own.
     """
-    placed = in_ranges(rows, [*by, *order], range_rows)
-    keys = F.struct(*by)
-    groups = placed.withColumn("_by", keys).groupBy("_range", "_by").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    placed = in_ranges(rows, [*by, *order], range_rows).withColumn("_by", F.struct(*by))  # equal structs may hold nulls
+    groups = placed.groupBy("_range", "_by").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     groups = _offsets(groups, ["_by"], "_n").withColumn("_all", F.sum("_n").over(Window.partitionBy("_by")))
-    at = (F.col("_g._range") == F.col("_range")) & F.col("_g._by").eqNullSafe(keys)
-    out = placed.join(groups.select(F.struct("_range", "_by", "_first", "_before", "_all").alias("_g")), at)
-    sizes = {size: F.col("_g._all")} if size else {}
-    return out.withColumns({name: F.col("_g._before") + F.col("_place") - F.col("_g._first"), **sizes}).drop("_range", "_place", "_g")
+    out = {name: F.col("_before") + F.col("_place") - F.col("_first")}
+    if size:
+        out[size] = F.col("_all")
+    if group:
+        groups = groups.join(number_rows(groups.where("_before = 0").select("_by"), ["_by"], "_group", range_rows), "_by")
+        out[group] = F.col("_group") - 1
+    return placed.join(groups, ["_range", "_by"]).withColumns(out).drop("_range", "_place", "_by", "_n", "_first", "_before", "_all", "_group")
 
 
 def running_total(rows: DataFrame, order: list[str], value: str, name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
