@@ -241,3 +241,35 @@ def test_checks(spark, tmp_path):
     (tmp_path / "clips" / "event_1_left.mp4").write_bytes(b"x")
     assert [r.name for r in tables.clip_files(spark, str(tmp_path / "clips")).collect()] == ["event_1_left.mp4"]
     assert json.loads(json.dumps(final.LAYOUT))["widths"][0] == [1, 1, 10]
+
+
+def test_frame_files_come_back(spark, tmp_path):
+    """Names with numbers in them, short rows, and what write_frame_regions writes."""
+    head = ",".join(f"c{k}" for k in range(11)) + "\n"
+    row = lambda x, more="": "0,0,0,0,0,0,0,0," + f"{x},2,3{more}\n"
+    for name in ("lidar_000001_000000.020.csv", "frame_12.5.csv", "1779258541.02.csv", "none.csv", "run1_edit.csv", "overtaking_3.csv"):
+        (tmp_path / name).write_text("﻿" + head + row("1.50") + "0,0,0,0,0,0,0,0,0.5,2\n" + row("x") + row('"7"', ",more,cells") + "\n", "utf-8")
+    got = tables.read_frames(spark, str(tmp_path)).orderBy("t", "ord").collect()
+    assert [(r.frame_idx, r.t) for r in got if r.ord == 1] == [("lidar_000001_000000.020", 0.02), ("frame_12.5", 12.5), ("1779258541.02", 1779258541.02)]
+    assert [(r.x, r.x_text, r.z) for r in got[:3]] == [(1.5, "1.50", 3.0), (None, "x", 3.0), (7.0, "7", 3.0)] and len(got) == 9
+
+
+def test_rounding_of_fixed_formats(spark):
+    values = [0.125, 2.675, 0.375, 1e12 + 0.125, -0.125, 2.5, 1.005]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(exports._fixed("v", 2), exports._fixed("v", 0)).collect()
+    assert [tuple(r) for r in got] == [(f"{v:.2f}", f"{v:.0f}") for v in values]
+
+
+def test_payload_table_function(spark, clips):
+    telemetry.register_functions(spark)
+    samples = mp4.read_samples(spark, str(clips))
+    one = spark.sql("SELECT video, sample_idx, m.* FROM {s}, LATERAL gpmf_rows(payload, pts, duration) m", s=samples)
+    want = telemetry.rows(samples).select(one.columns)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, want.collect()))
+    gps = spark.sql("SELECT video, sample_idx, m.* FROM {s}, LATERAL gpmf_rows(payload, pts, duration, 'GPS5') m", s=samples)
+    named = telemetry.named(telemetry.rows(samples), "GPS5", 5)
+    assert sorted(map(repr, gps.select(named.columns).collect())) == sorted(map(repr, named.collect()))
+    assert gps.columns[-5:] == list(telemetry.COLUMNS["GPS5"])
+    assert spark.sql("SELECT m.* FROM (SELECT CAST(NULL AS BINARY) p), LATERAL gpmf_rows(p, 0D, 1D) m").isEmpty()
+    with pytest.raises(Exception, match="the key is a constant text"):
+        spark.sql("SELECT m.* FROM {s}, LATERAL gpmf_rows(payload, pts, duration, video) m", s=samples).collect()

@@ -112,15 +112,3 @@ def test_streams(spark, tmp_path):
     q = live.track_sessions(stream, "3 seconds", "1 hour").drop("session").writeStream.format("memory").queryName("sessions").outputMode("complete").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert sorted(spark.table("sessions").collect()) == sorted(batch.collect()) and batch.count() == 2
-
-    packets = spark.createDataFrame([("a", k, (k * 5000) % 36000) for k in range(30)], "capture_id string, packet_idx long, azimuth int")
-    for k in range(3):
-        packets.where(F.floor(F.col("packet_idx") / 10) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "packets"))
-    stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "packets"))
-    q = live.rotations(stream).writeStream.format("memory").queryName("frames").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    want, frame = {}, 0
-    for k in range(30):
-        frame += k > 0 and (k * 5000) % 36000 + 18000 < ((k - 1) * 5000) % 36000
-        want[k] = frame
-    assert {r.packet_idx: r.frame_idx for r in spark.table("frames").collect()} == want

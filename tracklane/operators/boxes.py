@@ -107,15 +107,20 @@ def _follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLLOWED.split(", ")])
 
 
+def candidates(points: DataFrame, starts: DataFrame, *also: str) -> DataFrame:
+    """The points of the frames that each event's box goes through, with the box; x and y are null where a point doesn't count."""
+    of = starts.select(F.col("event_id").cast("string").alias("event_id"), "capture_id", "first_frame", "last_frame", "lasers", *(F.col(c).cast("double").alias(f"box_{c}") for c in ("min_x", "max_x", "min_y", "max_y")))
+    rows = points.join(of, "capture_id").where(F.col("frame_idx").between(F.col("first_frame") + 1, F.col("last_frame")))
+    counts = F.coalesce(F.size("lasers") <= 0, F.lit(True)) | F.col("lasers").isNull() | F.array_contains("lasers", F.col("laser"))
+    return rows.select("event_id", F.col("frame_idx").cast("long").alias("frame_idx"), "ord", *also, F.when(counts, F.col("x").cast("double")).alias("x"), F.when(counts, F.col("y").cast("double")).alias("y"), "box_min_x", "box_max_x", "box_min_y", "box_max_y")
+
+
 def follow_boxes(points: DataFrame, starts: DataFrame, tasks: int | None = None) -> DataFrame:
     """Boxes of starts(event_id, capture_id, first_frame, last_frame, min_x, max_x, min_y, max_y, lasers) through the frames behind first_frame up to last_frame.
 
     points(capture_id, frame_idx, ord, x, y, laser); with lasers (null or empty: all)
     only their points count.  A frame without such points leaves the box where it is.
     """
-    of = starts.select(F.col("event_id").cast("string").alias("event_id"), "capture_id", "first_frame", "last_frame", "lasers", *(F.col(c).cast("double").alias(f"box_{c}") for c in ("min_x", "max_x", "min_y", "max_y")))
-    rows = points.join(of, "capture_id").where(F.col("frame_idx").between(F.col("first_frame") + 1, F.col("last_frame")))
-    counts = F.coalesce(F.size("lasers") <= 0, F.lit(True)) | F.col("lasers").isNull() | F.array_contains("lasers", F.col("laser"))
-    rows = rows.select("event_id", F.col("frame_idx").cast("long").alias("frame_idx"), "ord", F.when(counts, F.col("x").cast("double")).alias("x"), F.when(counts, F.col("y").cast("double")).alias("y"), "box_min_x", "box_max_x", "box_min_y", "box_max_y")
+    rows = candidates(points, starts)
     dealt = rows.repartition(tasks, "event_id") if tasks else rows.repartition("event_id")
     return dealt.sortWithinPartitions("event_id", "frame_idx", "ord").mapInPandas(_follow, FOLLOWED)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scans import scan
 
 FAR = 99_999_999.0
 
@@ -121,13 +122,10 @@ def trajectory_speed(frames: DataFrame, keys: list[str], slot: float = 600.0) ->
     """
     zero = F.lit(0.0)
     here = F.struct(F.coalesce("x", zero).alias("x"), F.coalesce("y", zero).alias("y"), F.col("t").alias("t"))
-    rows = frames.withColumn("_slot", F.floor(F.col("t") / slot))
-    last = rows.groupBy(*keys, "_slot").agg(F.max_by(here, F.struct("t", "frame_idx")).alias("_end"))
-    before = last.select(*keys, "_slot", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slot")).alias("_before"))
-    rows = rows.withColumn("_last", F.lag(here).over(Window.partitionBy(*keys, "_slot").orderBy("t", "frame_idx"))).join(before, [*keys, "_slot"])
-    past = F.coalesce("_last", "_before")
+    rows = scan(frames, keys, ["t", "frame_idx"], slot, lag={"_past": here})
+    past = F.col("_past")
     dx, dy, dt = (F.col(c) - past[c] for c in ("x", "y", "t"))
-    return rows.withColumn("speed", F.when(dt != 0, F.sqrt(dx * dx + dy * dy) / dt * 3600 / 1000)).drop("_slot", "_last", "_before")
+    return rows.withColumn("speed", F.when(dt != 0, F.sqrt(dx * dx + dy * dy) / dt * 3600 / 1000)).drop("_past")
 
 
 def frame_groups(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import phases as P
 from ..operators import ordering as O
 from ..operators import points as L
 from ..operators import review as R
+from ..operators import scans
 from ..operators import timeline as W
 from ..operators import tracks as K
 from ..scratch import Tables
@@ -104,7 +105,7 @@ def measured(spark, sf_dir):
 
 @query("locf_flow", f"SELECT track_id, frame, last_value(CASE WHEN cls='error' THEN area END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY i) AS flow_filled FROM ({SAMPLES})")
 def locf_flow(spark, sf_dir):
-    return W.carry_forward(measured(spark, sf_dir), ["track_id"], ["ord"], "flow").select("track_id", "frame", "flow_filled")
+    return W.carry_forward(measured(spark, sf_dir), ["track_id"], ["ord"], "flow", 7 * 86400.0, "t").select("track_id", "frame", "flow_filled")
 
 
 @query("ego_gate", f"SELECT track_id, round(ego,9) AS ego_motion, coalesce(ego>=40,true) AS moving FROM ({_MEASURES})")
@@ -138,7 +139,7 @@ def prefix_offsets(spark, sf_dir):
 @query("rotation_frames", f"SELECT track_id, frame, CAST(sum(CASE WHEN cx*36000+18000<p THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY i) AS BIGINT) AS frame_id FROM (SELECT *, lag(cx*36000) OVER (PARTITION BY track_id ORDER BY i) AS p FROM ({SAMPLES}))")
 def rotation_frames(spark, sf_dir):
     packets = samples(spark, sf_dir).withColumn("azimuth", F.col("cx") * 36000)
-    return W.rotation_frames(packets, ["track_id"], "ord", "azimuth").select("track_id", "frame", "frame_id")
+    return W.rotation_frames(packets, ["track_id"], "ord", "azimuth", width=7 * 86400.0, t="t").select("track_id", "frame", "frame_id")
 
 
 @query("first_per_second", f"SELECT track_id, CAST(floor(t/3600) AS BIGINT) AS hour, frame FROM ({SAMPLES}) QUALIFY row_number() OVER (PARTITION BY track_id, floor(t/3600) ORDER BY i)=1")
@@ -153,6 +154,21 @@ def robust_mean(spark, sf_dir):
     return W.robust_mean(samples(spark, sf_dir), ["track_id"], "area", 10.0).select("track_id", F.round("mean", 6).alias("mean"), "used")
 
 
+@query("long_medians", "SELECT l_returnflag, median(CAST(l_extendedprice AS DOUBLE)) AS middle FROM lineitem GROUP BY 1")
+def long_medians(spark, sf_dir):
+    """Few keys, each with very many distinct values."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    return scans.medians(rows, ["l_returnflag"], "price", "middle")
+
+
+@query("long_scan", """SELECT event_id, last_value(CASE WHEN event_type='error' THEN value END IGNORE NULLS) OVER w AS held, lag(event_id) OVER w AS past, CAST(sum(CASE WHEN event_type='click' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS clicks FROM events WINDOW w AS (ORDER BY epoch_us(ts), event_id)""")
+def long_scan(spark, sf_dir):
+    """All events as one key, in slots of a day."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    held, click = F.when(F.col("event_type") == "error", F.col("value")), (F.col("event_type") == "click").cast("long")
+    return scans.scan(rows, [], ["us", "event_id"], 86400e6, last={"held": held}, lag={"past": F.col("event_id")}, total={"clicks": click}).select("event_id", "held", "past", "clicks")
+
+
 _SPANS = "SELECT o_orderkey AS interval_id, CAST(o_custkey % 150 AS BIGINT) AS user_id, (o_orderkey % 2500000)::DOUBLE + 1704067200 AS lo, (o_orderkey % 2500000)::DOUBLE + 1704067200 + 86400*(o_orderkey % 3) AS hi FROM orders"
 
 
@@ -170,7 +186,7 @@ def range_avg(spark, sf_dir):
 @query("nearest_asof", f"SELECT interval_id, arg_min(e.frame, {{'d':abs(e.t-s.lo),'t':e.t}}) AS nearest_frame FROM ({_SPANS}) s JOIN ({SAMPLES}) e ON e.track_id=s.user_id GROUP BY interval_id")
 def nearest_asof(spark, sf_dir):
     right = samples(spark, sf_dir).select(F.col("track_id").alias("user_id"), F.col("t").alias("rt"), "frame")
-    return W.nearest(spans(spark, sf_dir), right, ["user_id"], "lo", "rt", "frame").where("nearest_frame IS NOT NULL").select("interval_id", "nearest_frame")
+    return W.nearest(spans(spark, sf_dir), right, ["user_id"], "lo", "rt", "frame", 43200.0).where("nearest_frame IS NOT NULL").select("interval_id", "nearest_frame")
 
 
 @query("roi_filter", f"SELECT ord, laser FROM ({POINTS}) WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.2 AND 0.05 AND laser IN (1,2,3)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,12 +11,17 @@ from . import telemetry, workbooks
 from .named import BOM, NamedText, csv_line, write_csv, write_files
 
 
+def _fixed(value: Column | str, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact value up to 2**53 units of the last one."""
+    return F.format_string(f"%.{digits}f", T.round_exact(F.col(value) if isinstance(value, str) else value, digits))
+
+
 def event_rows(events: DataFrame) -> DataFrame:
     """The detector's thirteen columns from event_id, vehicle_type, detector_class, side, times, plate_score, plate_hits and source_video."""
-    two = lambda c, name: F.format_string("%.2f", c).alias(name)
+    two = lambda c, name: _fixed(c, 2).alias(name)
     return events.select(
         "event_id", F.col("vehicle_type").alias("class"), "detector_class", "side", two("global_t_start", "t_start_s"), two("global_peak_t", "peak_t_s"), two("global_t_end", "t_end_s"),
-        two(F.col("global_t_end") - F.col("global_t_start"), "duration_s"), F.format_string("%.3f", "plate_score").alias("kei_plate_score"), F.col("plate_hits").alias("kei_plate_hits"),
+        two(F.col("global_t_end") - F.col("global_t_start"), "duration_s"), _fixed("plate_score", 3).alias("kei_plate_score"), F.col("plate_hits").alias("kei_plate_hits"),
         F.regexp_extract("source_video", "[^/]*$", 0).alias("source_video"), two("t_start", "local_t_start_s"), two("t_end", "local_t_end_s"),
     )
 
@@ -24,23 +29,19 @@ def event_rows(events: DataFrame) -> DataFrame:
 def roi_rows(points: DataFrame) -> DataFrame:
     """Selected points in the columns of a region file, with capture_id and frame_idx to write by."""
     x, y, z = F.col("x"), F.col("y"), F.col("z")
-    shown = lambda f, c, name: F.format_string(f, c).alias(name)
+    shown = lambda digits, c, name: _fixed(c, digits).alias(name)
     return points.select(
-        "capture_id", "frame_idx", "ord", F.col("frame_idx").alias("Frame"), shown("%.6f", "t", "Time"), F.col("laser").alias("Laser ID"), F.col("intensity").alias("Intensity"),
-        shown("%.4f", F.sqrt(x * x + y * y + z * z), "Distance"), shown("%.3f", F.degrees(F.atan2(x, y)), "Azimuth"), shown("%.3f", F.degrees(F.atan2(z, F.hypot(x, y))), "Elevation"),
-        F.lit(1).alias("Selected"), shown("%.4f", "x", "Points:0"), shown("%.4f", "y", "Points:1"), shown("%.4f", "z", "Points:2"),
+        "capture_id", "frame_idx", "ord", F.col("frame_idx").alias("Frame"), shown(6, "t", "Time"), F.col("laser").alias("Laser ID"), F.col("intensity").alias("Intensity"),
+        shown(4, F.sqrt(x * x + y * y + z * z), "Distance"), shown(3, F.degrees(F.atan2(x, y)), "Azimuth"), shown(3, F.degrees(F.atan2(z, F.hypot(x, y))), "Elevation"),
+        F.lit(1).alias("Selected"), shown(4, "x", "Points:0"), shown(4, "y", "Points:1"), shown(4, "z", "Points:2"),
     )
 
 
-def write_by(rows: DataFrame, path: str, by: list[str], order: list[str]) -> None:
-    """One folder of CSV for each value of ``by``, in order; a value's rows may be in several files."""
-    rows.repartition(*by).sortWithinPartitions(*by, *order).drop(*order).write.partitionBy(*by).csv(path, header=True)
-
-
+#: Columns of a region file.
 REGION_COLUMNS = ("Frame", "Time", "Laser ID", "Intensity", "Distance", "Azimuth", "Elevation", "Selected", "Points:0", "Points:1", "Points:2")
 #: Columns of a trajectory file.
 TRAJECTORY_COLUMNS = ("unixtime", "X", "Y", "Z", "distance(m)", "speed(km/h)")
-#: Names of telemetry files that are not the key itself.
+#: Names of files are those that readers look for; names of telemetry files that are not the key itself.
 SUFFIXES = {"GPS5": "gps"}
 
 
@@ -52,7 +53,7 @@ def write_events(events: DataFrame, path: str) -> None:
 def write_frame_regions(points: DataFrame, frames: DataFrame, path: str) -> None:
     """A file for each of frames(frame_idx, t), those without points included, named by frame and time."""
     points.sparkSession.dataSource.register(NamedText)
-    name = F.format_string("lidar_%06d_%010.3f.csv", "frame_idx", "t")
+    name = F.format_string("lidar_%06d_%010.3f.csv", "frame_idx", T.round_exact(F.col("t"), 3))
     named = frames.select("frame_idx", name.alias("name"))
     rows = roi_rows(points).join(named, "frame_idx").select("name", F.lit(1).alias("_h"), "ord", csv_line([F.col(f"`{c}`") for c in REGION_COLUMNS]).alias("line"))
     head = named.select("name", F.lit(0).alias("_h"), F.lit(0).cast("long").alias("ord"), F.lit(",".join(REGION_COLUMNS)).alias("line"))
@@ -95,7 +96,7 @@ def write_telemetry(measured: DataFrame, path: str) -> None:
     known = F.create_map(*(x for key, names in telemetry.COLUMNS.items() for x in (F.lit(key), F.array(*map(F.lit, names)))))
     rows = measured.withColumn("name", F.concat(T.stem(F.col("video")), F.lit("/telemetry_"), suffix, F.lit(".csv")))
     order = list(telemetry.ORDER)
-    lines = rows.select("name", F.lit(1).alias("_h"), *order, F.concat_ws(",", F.format_string("%.6f", "t"), F.transform("vals", lambda v: T.general(v, 8))).alias("line"))
+    lines = rows.select("name", F.lit(1).alias("_h"), *order, F.concat_ws(",", _fixed("t", 6), F.transform("vals", lambda v: T.general(v, 8))).alias("line"))
     width = rows.groupBy("name", "key").agg(F.min_by(F.size("vals"), F.struct(*order)).alias("n"))
     names = F.coalesce(F.try_element_at(known, "key"), F.array().cast("array<string>"))
     more = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: i >= F.size(names)), lambda i: F.concat(F.lit("col"), i.cast("string")))

@@ -1,16 +1,46 @@
-"""Input files of readers that parse by themselves: one task a file, opened where the task runs."""
+"""Input files of readers that parse by themselves, opened where the task runs.
+
+A reader that can begin anywhere in a file deals ranges of bytes over tasks;
+others have one task a file.  Filters on numbers that a reader knows before it
+reads what is large go to it, and columns that aren't asked for aren't read.
+"""
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable, Iterable
+
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql.datasource import DataSourceReader, InputPartition
+from pyspark.sql import SparkSession
+from pyspark.sql import datasource as ds
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+_TESTS: dict[type, Callable] = {
+    ds.EqualTo: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge, ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le,
+}
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Make a source known, and let filters go to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(source)
+
+
+def files(path: str, suffix: str) -> list[tuple[str, int]]:
+    """(name, bytes) of a file, or of all files of a folder and its folders whose names end so, in order of names."""
+    fs, root = filesystem(path)
+    info = fs.get_file_info(root)
+    if info.type == pa.fs.FileType.File:
+        return [(root, info.size)]
+    found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
+    return sorted((f.path, f.size) for f in found if f.path.lower().endswith(suffix))
+
+
 class FileReader(DataSourceReader):
     """A file, or all files of a folder and its folders whose names end as ``suffix`` says."""
 
@@ -20,13 +50,43 @@ class FileReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = filesystem(self.path)
-        if fs.get_file_info(root).type == pa.fs.FileType.File:
-            return [InputPartition(root)]
-        found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
-        names = sorted(f.path for f in found if f.path.lower().endswith(self.suffix))
-        return [InputPartition(name) for name in names] or [InputPartition(None)]
+        return [InputPartition(name) for name, _ in files(self.path, self.suffix)] or [InputPartition(None)]
 
     def open(self, name: str):
         """A file with seek."""
         return filesystem(self.path)[0].open_input_file(name)
+
+
+class RangeReader(FileReader):
+    """A task for each ``split`` bytes of a file: (name, first byte, end), the end of the last one is None.
+
+    ``columns`` are those that are asked for; tests on the columns ``KNOWN`` are
+    the reader's, and :meth:`wanted` puts them to arrays or numbers.
+    """
+
+    KNOWN: frozenset[str] = frozenset()
+
+    def __init__(self, options: dict, columns: list[str], split: int):
+        super().__init__(options)
+        self.columns, self.split, self.tests = columns, int(options.get("split", split)), []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            if type(f) in _TESTS and len(f.attribute) == 1 and f.attribute[0] in self.KNOWN and isinstance(f.value, (int, float)):
+                self.tests.append((f.attribute[0], _TESTS[type(f)], f.value))
+            else:
+                yield f
+
+    def wanted(self, known: dict):
+        """Whether the values of KNOWN columns pass all tests."""
+        keep = True
+        for column, test, value in self.tests:
+            keep = test(known[column], value) & keep
+        return keep
+
+    def partitions(self) -> list[InputPartition]:
+        out = []
+        for name, size in files(self.path, self.suffix):
+            firsts = range(0, max(size, 1), self.split)
+            out += [InputPartition((name, a, a + self.split if a + self.split < size else None)) for a in firsts]
+        return out or [InputPartition(None)]

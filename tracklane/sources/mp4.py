@@ -1,9 +1,11 @@
 """The timed metadata track of MP4 files: ``format("mp4_metadata")``.
 
-A task reads a file's movie box, whatever lies before it, and then the samples of
-the first track whose codec is ``gpmd``, one by one.  Sample tables are expanded
-by numpy: runs of chunks and of durations become one row a sample.  A file without
-such a track ends in an error that names it.
+A file is dealt by ranges of bytes.  A task reads the file's movie box, whatever
+lies before it, and then those samples of the first track whose codec is ``gpmd``
+that begin in its range, one by one.  Sample tables are expanded by numpy: runs of
+chunks and of durations become one row a sample.  Filters on a sample's place and
+times are tested on the table, before a payload is read, and no payload is read
+where the column isn't asked for.  A file without such a track ends in an error that names it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, InputPartition
 
-from .files import FileReader
+from .files import RangeReader, register
 
 SAMPLES = "video string, sample_idx long, offset long, size long, pts double, duration double, payload binary"
 #: The codec of the metadata track, and ticks a second where a track doesn't say.
@@ -108,27 +110,39 @@ def sample_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return index, offset, sizes[index], (np.cumsum(lasting) - lasting)[index] / ticks, lasting[index] / ticks
 
 
-class _Reader(FileReader):
+class _Reader(RangeReader):
     suffix = ".mp4"
+    KNOWN = frozenset(("sample_idx", "offset", "size", "pts", "duration"))
 
     def read(self, part: InputPartition) -> Iterator[tuple]:
         if not part.value:
             return
-        with self.open(part.value) as file:
+        name, first, end = part.value
+        with self.open(name) as file:
             data = movie(file)
             if data is None:
-                raise ValueError(f"{part.value}: no movie box")
+                raise ValueError(f"{name}: no movie box")
             try:
                 table = sample_table(data)
             except ValueError as e:
-                raise ValueError(f"{part.value}: {e}") from None
-            for k, offset, size, pts, duration in zip(*(x.tolist() for x in table), strict=True):
-                file.seek(offset)
-                yield part.value, k, offset, size, pts, duration, file.read(size)
+                raise ValueError(f"{name}: {e}") from None
+            known = dict(zip(("sample_idx", "offset", "size", "pts", "duration"), table, strict=True))
+            here = (known["offset"] >= first) & (known["offset"] < (end or np.inf)) & self.wanted(known)
+            rows = {c: v[here].tolist() for c, v in known.items()}
+            for row in zip(*rows.values(), strict=True):
+                values = dict(zip(rows, row, strict=True)) | {"video": name}
+                if "payload" in self.columns:
+                    file.seek(values["offset"])
+                    values["payload"] = file.read(values["size"])
+                yield tuple(values[c] for c in self.columns)
+
+
+#: Bytes of a video for a task.
+SPLIT = 1 << 28
 
 
 class Mp4Metadata(DataSource):
-    """``format("mp4_metadata")``; path: a video, or a folder of ``*.mp4``."""
+    """``format("mp4_metadata")``; path: a video, or a folder of ``*.mp4``; split: bytes of a video for a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,10 +152,11 @@ class Mp4Metadata(DataSource):
         return SAMPLES
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        return _Reader(self.options, schema.fieldNames(), SPLIT)
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sample of the metadata tracks: video, sample_idx, offset, size, pts, duration, payload."""
-    spark.dataSource.register(Mp4Metadata)
-    return spark.read.format("mp4_metadata").load(path)
+def read_samples(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT) -> DataFrame:
+    """One row per sample of the metadata tracks: video, sample_idx, offset, size, pts, duration, and payload if it is wanted."""
+    register(spark, Mp4Metadata)
+    schema = SAMPLES if payload else SAMPLES.removesuffix(", payload binary")
+    return spark.read.format("mp4_metadata").schema(schema).option("split", split).load(path)

@@ -81,6 +81,23 @@ class NamedText(DataSource):
         return _TextWriter(self.options)
 
 
+class _BytesWriter(NamedWriter):
+    def fill(self, out, rows: Iterator[dict]) -> None:
+        for row in rows:
+            out.write(row["data"])
+
+
+class NamedBytes(DataSource):
+    """Rows (name, data) one after the other as the files of those names."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_bytes"
+
+    def writer(self, schema, overwrite: bool) -> _BytesWriter:
+        return _BytesWriter(self.options)
+
+
 def write_files(rows: DataFrame, path: str, form: str, order: list[str], **options: str) -> None:
     """Write rows(name, ...) by a sink of this module, each name's rows in order of the columns ``order``, which are not handed on."""
     dealt = rows.repartition("name").sortWithinPartitions("name", *order)

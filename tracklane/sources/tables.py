@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .files import filesystem
 
 
 def file_name() -> Column:
@@ -45,17 +49,21 @@ def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("row_number")))
 
 
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def read_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of a folder with one file a frame, named by its time: capture_id (the folder), frame_idx (the file's name), ord, t, x, y, z.
+    """Points of a folder with one file a frame, named by its time: capture_id (the folder), frame_idx (the file's name), ord, t, x, y, z and their texts.
 
-    Exported trajectories and events beside them, and names that are no time, are left out.
+    A name's time is the name as a number, else the last number in it.  Names without
+    one, and exported trajectories and events, are left out, as are rows without an eleventh cell.
     """
-    names = [f"c{k}" for k in range(11)]
-    rows = placed(spark.read.csv(f"{folder}/*.csv", header=True, schema=", ".join(f"{c} string" for c in names)).withColumn("name", file_name()))
-    stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    rows = rows.withColumn("t", stem.try_cast("double")).where(F.col("t").isNotNull() & ~F.lower(stem).rlike("_edit$|^overtaking_"))
-    x, y, z = (F.expr(f"try_cast({c} AS double)").alias(n) for c, n in (("c8", "x"), ("c9", "y"), ("c10", "z")))
-    return rows.select(F.lit(folder).alias("capture_id"), stem.alias("frame_idx"), "ord", "t", x, y, z)
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    rows = lines(spark, f"{folder}/*.csv").where((F.col("ord") > 1) & (F.size("cells") >= 11)).withColumn("frame_idx", stem)
+    rows = rows.withColumn("t", T.stem_time(F.col("frame_idx"))).where(F.col("t").isNotNull() & ~F.lower("frame_idx").rlike("_edit$|^overtaking_"))
+    text = {n: F.col("cells")[k] for k, n in enumerate("xyz", 8)}
+    return rows.select(F.lit(folder).alias("capture_id"), "frame_idx", (F.col("ord") - 1).alias("ord"), "t", *(c.try_cast("double").alias(n) for n, c in text.items()), *(c.alias(f"{n}_text") for n, c in text.items()))
 
 
 #: Columns of a region file by their headers, with their places where a header lacks them.
@@ -67,9 +75,13 @@ EVIDENCE = frozenset(("detector_class", "kei_plate_score", "kei_plate_hits"))
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ord, cells): lines of CSV files as texts, whatever their headers."""
     rows = placed(spark.read.text(path).withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", "")))
-    cells = F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return rows.select("file", "ord", cells("value").alias("cells"))
+
+
+def cells(line: str) -> Column:
+    """The cells of a line of CSV."""
     bare = lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
-    return rows.select("file", "ord", F.transform(cells, bare).alias("cells"))
+    return F.when(F.contains(F.col(line), F.lit('"')), F.transform(F.split(line, _COMMA, -1), bare)).otherwise(F.split(line, ",", -1))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -109,9 +121,26 @@ def clip_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"].to_pylist():
+            fs, name = filesystem(path)
+            with fs.open_input_file(name) as file:
+                head = b""
+                while b"\n" not in head and (more := file.read(1 << 14)):
+                    head += more
+            heads.append(head.split(b"\n")[0].decode("utf-8-sig", "replace").rstrip("\r"))
+        yield pa.record_batch([batch["path"], pa.array(heads, pa.string())], ["path", "line"])
+
+
 def check_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, problem) for the CSV files of a folder in any case's order: null where the ninth and tenth columns are points."""
-    rows = lines(spark, f"{folder}/*.csv").where("ord = 1")
+    """(name, problem) for the CSV files of a folder in any case's order: null where the ninth and tenth columns are points.
+
+    No more than the first line of a file is read.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).where("length > 0").select("path")
+    rows = files.mapInArrow(_first_lines, "path string, line string").select(F.element_at(F.split("path", "/"), -1).alias("name"), cells("line").alias("cells"))
     column = lambda k: F.lower(F.try_element_at("cells", F.lit(k)))
     problem = F.when(F.size("cells") < 10, "fewer than 10 columns").when(~(column(9).contains("point") & column(10).contains("point")), "columns 9 and 10 are no points")
-    return rows.select(F.element_at(F.split("file", "/"), -1).alias("name"), problem.alias("problem")).orderBy(F.lower("name"))
+    return rows.select("name", problem.alias("problem")).orderBy(F.lower("name"), "name")

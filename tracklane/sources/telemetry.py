@@ -7,11 +7,14 @@ scaling, clocks and views by key are column expressions on what comes out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import text as T
 
@@ -111,14 +114,19 @@ def first_clock(data: bytes) -> str | None:
     return None
 
 
+def streams(data: bytes) -> list[dict]:
+    """The streams of a payload that have measurements, in order of all its streams."""
+    inner = [v for k, t, _, _, device in entries(data) if k == "DEVC" and t == "\0" for k2, t2, _, _, v in entries(device) if k2 == "STRM" and t2 == "\0"]
+    return [s for s in (stream(v, i) for i, v in enumerate(inner)) if s]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         clocks, found = [], []
         for payload in batch["payload"].to_pylist():
             data = bytes(payload or b"")
-            inner = [v for k, t, _, _, device in entries(data) if k == "DEVC" and t == "\0" for k2, t2, _, _, v in entries(device) if k2 == "STRM" and t2 == "\0"]
             clocks.append(first_clock(data))
-            found.append([s for s in (stream(v, i) for i, v in enumerate(inner)) if s])
+            found.append(streams(data))
         rest = [c for c in batch.schema.names if c != "payload"]
         yield pa.record_batch([*(batch[c] for c in rest), pa.array(clocks, pa.string()), pa.array(found, pa.list_(_STREAM))], [*rest, "gpsu_first", "streams"])
 
@@ -145,6 +153,58 @@ def rows(samples: DataFrame) -> DataFrame:
 ORDER = ("sample_idx", "stream_idx", "row_idx")
 
 
+@dataclass
+class _Shape(AnalyzeResult):
+    """The schema of a call, with the key it is for."""
+
+    key: str | None = None
+
+
+_STREAM_FIELDS = (("key", StringType()), ("stream_idx", LongType()), ("row_idx", LongType()), ("t", DoubleType()))
+_ABOUT_FIELDS = (("vals", ArrayType(DoubleType())), ("name", StringType()), ("si_unit", StringType()), ("gpsu", StringType()))
+
+
+class PayloadRows:
+    """``gpmf_rows(payload, pts, duration [, key])``: the measurements of a payload, as a table function of SQL.
+
+    Without a key: key, stream_idx, row_idx, t, vals (scaled), name, si_unit and gpsu.
+    With a constant one: stream_idx, row_idx, t and a column for each name of the key's
+    values, or vals where its names aren't known.  A null payload has no rows.
+    """
+
+    @staticmethod
+    def analyze(payload: AnalyzeArgument, pts: AnalyzeArgument, duration: AnalyzeArgument, key: AnalyzeArgument | None = None) -> _Shape:
+        if key is None:
+            return _Shape(StructType([StructField(n, t) for n, t in _STREAM_FIELDS + _ABOUT_FIELDS]))
+        if not key.isConstantExpression or not key.value:
+            raise ValueError("gpmf_rows: the key is a constant text")
+        values = [(n, DoubleType()) for n in COLUMNS.get(key.value, ())] or [("vals", ArrayType(DoubleType()))]
+        return _Shape(StructType([StructField(n, t) for n, t in (*_STREAM_FIELDS[1:], *values)]), key=key.value)
+
+    def __init__(self, shape: _Shape):
+        self.key = shape.key
+
+    def eval(self, payload: bytes | None, pts: float, duration: float, key: str | None = None) -> Iterator[tuple]:
+        for s in streams(bytes(payload or b"")):
+            if self.key not in (None, s["key"]):
+                continue
+            scale = [d or 1.0 for d in s["scal"]]
+            for i, raw in enumerate(s["rows"]):
+                t = None if pts is None or duration is None else pts + (i + 0.5) / s["declared"] * duration
+                vals = [v / scale[min(c, len(scale) - 1)] for c, v in enumerate(raw)]
+                if self.key is None:
+                    yield s["key"], s["stream_idx"], i, t, vals, s["name"], s["si_unit"], s.get("gpsu")
+                elif names := COLUMNS.get(self.key):
+                    yield s["stream_idx"], i, t, *(vals + [None] * len(names))[: len(names)]
+                else:
+                    yield s["stream_idx"], i, t, vals
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``gpmf_rows`` known to SQL, for use by LATERAL."""
+    spark.udtf.register("gpmf_rows", F.udtf(PayloadRows))
+
+
 def named(measured: DataFrame, key: str, width: int) -> DataFrame:
     """The measurements of one key with a column for each value, by the names of the key."""
     known = COLUMNS.get(key, ())[:width]
