@@ -13,7 +13,6 @@ from ..scratch import Tables
 from ..sources import exports, lidar, mp4, tables, telemetry, workbooks
 from ..sources.files import register
 from ..sources.named import NamedBytes, write_files
-from .queries import rounded
 from .registry import query
 from .views import POINTS, SAMPLES, TRAJECTORY, points, samples, table, trajectory
 
@@ -54,7 +53,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.format_string("v%05d", "v").alias("video"), "sample_idx", F.unhex(_container("DEVC", _container("STRM", body))).alias("payload"))
 
 
-_PAYLOADS = "SELECT printf('v%05d', l_orderkey//5000) AS video, dense_rank() OVER (PARTITION BY l_orderkey//5000 ORDER BY l_orderkey)-1 AS sample_idx, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)-1 AS row_idx, l_partkey/100.0::DOUBLE AS v1, l_suppkey/100.0::DOUBLE AS v2 FROM lineitem"
+_PAYLOADS = "SELECT printf('v%05d', l_orderkey//5000) AS video, dense_rank() OVER (PARTITION BY l_orderkey//5000 ORDER BY l_orderkey)-1 AS sample_idx, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)-1 AS row_idx, l_partkey/100.0::DOUBLE AS v1, l_suppkey/100.0::DOUBLE AS v2 FROM lineitem"
 _ROWS = f"SELECT video, sample_idx, row_idx, round(sample_idx*0.5::DOUBLE+(row_idx+0.5::DOUBLE)/n*0.5::DOUBLE,9) AS t, v1, v2 FROM ({_PAYLOADS})"
 
 
@@ -101,26 +100,29 @@ def videos(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-_NAME = F.regexp_extract("video", r"([^/]*)\.mp4$", 1).alias("video")
-_SIZES = f"SELECT video, sample_idx, 64+8*any_value(n) AS size FROM ({_PAYLOADS}) GROUP BY ALL"
+def _video() -> Column:
+    return F.regexp_extract("video", r"([^/]*)\.mp4$", 1).alias("video")
+
+
+_SIZES = f"SELECT video, sample_idx, 60+8*any_value(n) AS size FROM ({_PAYLOADS}) GROUP BY ALL"
 
 
 @query("video_samples", f"SELECT video, sample_idx, CAST(16+coalesce(sum(size) OVER (PARTITION BY video ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS \"offset\", size, sample_idx*0.5::DOUBLE AS pts, 0.5::DOUBLE AS duration FROM ({_SIZES})")
 def video_samples(spark, sf_dir):
-    return mp4.read_samples(spark, videos(spark, sf_dir), payload=False, split=1 << 15).select(_NAME, "sample_idx", "offset", "size", "pts", "duration")
+    return mp4.read_samples(spark, videos(spark, sf_dir), payload=False, split=1 << 15).select(_video(), "sample_idx", "offset", "size", "pts", "duration")
 
 
 @query("video_measurements", _ROWS)
 def video_measurements(spark, sf_dir):
     measured = telemetry.rows(mp4.read_samples(spark, videos(spark, sf_dir), split=1 << 15))
-    return measured.select(_NAME, "sample_idx", "row_idx", F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
+    return measured.select(_video(), "sample_idx", "row_idx", F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
 
 
 @query("video_starts", f"SELECT video, round(CASE WHEN count(*)>1 THEN 0.0::DOUBLE ELSE -10 END+1767225600+CAST(substr(video,2) AS BIGINT),3) AS start_unix, least(count(*),12) AS estimates FROM ({_SIZES}) GROUP BY video HAVING count(*)<>2")
 def video_starts(spark, sf_dir):
     """Two estimates ten seconds apart have no middle near either: left out."""
     starts = telemetry.video_starts(mp4.read_samples(spark, videos(spark, sf_dir)))
-    return starts.where("estimates <> 2").select(_NAME, F.round("start_unix", 3).alias("start_unix"), "estimates")
+    return starts.where("estimates <> 2").select(_video(), F.round("start_unix", 3).alias("start_unix"), "estimates")
 
 
 #: Bytes of a range in the captures' queries: far fewer than a user would take, so that there are many.
@@ -143,29 +145,32 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lidar.read_packets(spark, path, split=_RANGE)
 
 
-_USER = F.regexp_extract("capture_id", r"user0*(\d+)\.pcap$", 1).cast("long").alias("track_id")
+def _user() -> Column:
+    return F.regexp_extract("capture_id", r"user0*(\d+)\.pcap$", 1).cast("long").alias("track_id")
+
+
 _PACKETS = f"SELECT track_id, i AS packet_idx, t, area, CAST(floor(cx*36000+0.5::DOUBLE) AS BIGINT) % 36000 AS az, min(t) OVER (PARTITION BY track_id) AS start FROM ({SAMPLES})"
 _FRAMES = f"SELECT *, CAST(sum(CASE WHEN az+18000<p THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY packet_idx) AS BIGINT) AS frame_idx FROM (SELECT *, lag(az) OVER (PARTITION BY track_id ORDER BY packet_idx) AS p FROM ({_PACKETS}))"
 
 
 @query("capture_packets", f"SELECT track_id, packet_idx, CAST(az AS INTEGER) AS azimuth, CAST(34 AS INTEGER) AS model, round(t-start,5) AS t FROM ({_PACKETS})")
 def capture_packets(spark, sf_dir):
-    return captures(spark, sf_dir).select(_USER, "packet_idx", "azimuth", "model", F.round("t", 5).alias("t"))
+    return captures(spark, sf_dir).select(_user(), "packet_idx", "azimuth", "model", F.round("t", 5).alias("t"))
 
 
 @query("capture_frames", f"SELECT track_id, frame_idx, count(*)*192 AS points, round(min(t)-min(start),5) AS t, round(min(500+floor(area)%60000)*0.002::DOUBLE,6) AS nearest FROM ({_FRAMES}) GROUP BY ALL")
 def capture_frames(spark, sf_dir):
     p = lidar.points(captures(spark, sf_dir))
     way = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    return p.groupBy("capture_id", "frame_idx").agg(F.count("*").alias("points"), F.round(F.min("t"), 5).alias("t"), F.round(F.min(way), 6).alias("nearest")).select(_USER, "frame_idx", "points", "t", "nearest")
+    return p.groupBy("capture_id", "frame_idx").agg(F.count("*").alias("points"), F.round(F.min("t"), 5).alias("t"), F.round(F.min(way), 6).alias("nearest")).select(_user(), "frame_idx", "points", "t", "nearest")
 
 
-@query("capture_points", f"""SELECT track_id, packet_idx, laser, round(d*cos(radians(up))*sin(radians(turn)),6) AS x, round(d*cos(radians(up))*cos(radians(turn)),6) AS y, round(d*sin(radians(up)),6) AS z
+@query("capture_points", f"""SELECT track_id, packet_idx, laser, round(d*cos(radians(up))*sin(radians(turn)),6)+0.0::DOUBLE AS x, round(d*cos(radians(up))*cos(radians(turn)),6)+0.0::DOUBLE AS y, round(d*sin(radians(up)),6) AS z
  FROM (SELECT *, (500+floor(area)%60000)*0.002::DOUBLE AS d, (az+10*share)/100.0::DOUBLE AS turn FROM ({_PACKETS}), (VALUES (CAST(0 AS INTEGER), -15.0::DOUBLE, 0.0::DOUBLE), (1, 1.0, 0.53125)) AS l(laser, up, share))""")
 def capture_points(spark, sf_dir):
     """Of each packet the first return of laser 0 and the second of laser 1, half a firing later."""
     p = lidar.points(captures(spark, sf_dir)).withColumn("k", F.col("ord") % 384).where("k IN (0, 17)")
-    return p.select(_USER, F.floor(F.col("ord") / 384).alias("packet_idx"), "laser", *(F.round(c, 6).alias(c) for c in "xyz"))
+    return p.select(_user(), F.floor(F.col("ord") / 384).alias("packet_idx"), "laser", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
 def _some_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +203,7 @@ def event_files(spark, sf_dir):
     return rows.select(F.regexp_extract("file", r"overtaking_(\d+)\.csv$", 1).cast("long").alias("event"), F.col("frame").cast("long").alias("frame"), "time_text", "x_text", "y_text", "z_text", F.col("ord").cast("long").alias("ord"))
 
 
-@query("trajectory_files", f"SELECT track_id, rn, rn+1 AS row_number, round(t,6) AS t, round(x,9) AS x, round(y,9) AS y, round(distance,9) AS distance, round(speed,9) AS speed FROM ({TRAJECTORY})")
+@query("trajectory_files", f"SELECT track_id, rn, rn+1 AS row_number, round(t,6) AS t, round(x,6) AS x, round(y,6) AS y, round(distance,6) AS distance, round(speed,6) AS speed FROM ({TRAJECTORY})")
 def trajectory_files(spark, sf_dir):
     path = _folder(spark, "trajectories")
     t = trajectory(spark, sf_dir)
@@ -206,7 +211,7 @@ def trajectory_files(spark, sf_dir):
     exports.write_trajectories(t.withColumns(texts).withColumn("t", F.col("rn")), path)
     rows = tables.read_trajectories(spark, path)
     track = F.regexp_extract("file", r"overtaking_(\d+)_edit\.csv$", 1).cast("long").alias("track_id")
-    return rounded(rows.select(track, F.col("rn").cast("long").alias("rn"), F.col("row_number").cast("long").alias("row_number"), "t", "x", "y", "distance", "speed")).withColumn("t", F.round("t", 6))
+    return rows.select(track, F.col("rn").cast("long").alias("rn"), F.col("row_number").cast("long").alias("row_number"), *(F.round(c, 6).alias(c) for c in ("t", "x", "y", "distance", "speed")))
 
 
 @query("event_list_file", f"""SELECT printf('%d', track_id) AS event_id, CASE arg_min(cls, i) WHEN 'click' THEN '軽' ELSE '普通' END AS class, arg_min(cls, i) AS detector_class, printf('%.2f', min(t)-1704067200) AS t_start_s, printf('%.2f', max(t)-1704067200) AS local_t_end_s, '未確認' AS review_status, false AS class_reviewed FROM ({SAMPLES}) GROUP BY track_id""")
