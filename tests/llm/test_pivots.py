@@ -49,3 +49,10 @@ def test_repeated_ids(spark):
     out = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int"))
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in out.collect())
     assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_components_of_any_size(spark):
+    """Squares of these are infinite or zero; cosines are not."""
+    rows = [(k, [10.0**e * x for x in v]) for k, (e, v) in enumerate([(200, (1.0, 2.0)), (200, (1.0, 2.0000001)), (-200, (1.0, 2.0)), (0, (1.0, 2.0)), (300, (2.0, -1.0)), (-300, (2.0, -1.0))])]
+    out = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {**{k: (3, 0) for k in range(4)}, 4: (1, 4), 5: (1, 4)}

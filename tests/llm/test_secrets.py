@@ -88,3 +88,33 @@ def test_random_base64_with_slashes():
 )
 def test_allowed_forms_are_left(text):
     assert entropy_of(text) == []
+
+
+def missed(make, n=400):
+    rng = random.Random(11)
+    return sum(not entropy_of(f"x {make(rng)} y") for _ in range(n)) / n
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize(
+    ("form", "make", "most"),
+    [
+        ("letters, 20", lambda r: "".join(r.choices(LETTERS, k=20)), 0.25),
+        ("letters, 32", lambda r: "".join(r.choices(LETTERS, k=32)), 0.05),
+        ("letters, 40", lambda r: "".join(r.choices(LETTERS, k=40)), 0.05),
+        ("two halves", lambda r: "/".join("".join(r.choices(LETTERS, k=20)) for _ in range(2)), 0.10),
+        ("base32, 32", lambda r: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=32)), 0.10),
+        ("base64, 40", lambda r: base64.b64encode(r.randbytes(30)).decode(), 0.01),
+    ],
+)
+def test_missed_share(form, make, most):
+    share = missed(make)
+    print(f"missed of {form}: {share:.3f}")
+    assert share <= most
+
+
+def test_letters_that_are_words():
+    for text in ("TheLongCamelCaseIdentifier", "INTERNATIONALISATIONOFTHINGS", "internationalisationofthings", "some-long-words-with-dashes-and-More", "Usr/Share/LongFolderName/OtherThings", "RinderkennzeichnungsundRindfleisch"):
+        assert not entropy_of(f"a {text} b"), text

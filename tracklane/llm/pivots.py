@@ -82,11 +82,16 @@ def lists(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) * np.int32(4 * MOST) + np.maximum(a, b)
 
 
-def _units(data: list[bytes], kind: type) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(float)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, as squares of very large or small ones are no numbers."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _units(data: list[bytes], kind: type) -> np.ndarray:
+    return _unit(np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(float))
+
+
 def _describe(pivots: dict[int, np.ndarray], kind: type):
     """Rows with the length of their vector, its bytes and its lists."""
 
@@ -186,7 +191,7 @@ def _sample(own: DataFrame, total: int) -> dict[int, np.ndarray]:
     out = {}
     for dim, rows in by_length.items():
         x = np.array(rows, float)
-        out[dim] = _choose(x / np.linalg.norm(x, axis=1, keepdims=True), pivots_for(len(x) / chance))
+        out[dim] = _choose(_unit(x), pivots_for(len(x) / chance))
     return {dim: p for dim, p in out.items() if len(p) >= FEWEST or chance == 1.0}
 
 

@@ -6,7 +6,8 @@ of high Shannon entropy: all its windows as base64, and those of each stretch of
 hex digits in it as hex.  As the window moves, one count rises and one falls, and
 with them the sum of c log c.  The windows of a piece above the threshold are
 reported as one span.  Pieces and stretches on the allow-list (UUIDs, dates and
-versions, words, numbers, addresses, paths of such words) are left out.
+versions, words, numbers, paths of such words) are left out.  Letters alone are words
+only with the case of words: single-case keys of letters alone can't be told from them.
 
 Positions are in code points, ends exclusive.  Input: doc_id and text, others
 ignored or handed on; a null text is empty; repeated rows are scanned each.
@@ -33,7 +34,9 @@ HEX = re.compile(rb"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate classes of the entropy scan: window, least entropy in bits a character.
 CLASSES = {"hex": (24, 3.0), "base64": (20, 3.7)}
-ALLOWED = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.,:/_+-]+|[A-Za-z]+|[A-Za-z]+([-_/.=+][A-Za-z]+)+|(https?|ftp):.*|[a-z]+://.*")
+ALLOWED = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9.,:/_+-]+")
+#: Letters, in one or several parts, which are on the allow-list if each part has the case of words.
+LETTERS = re.compile(rb"[A-Za-z]+([-_/.=+]+[A-Za-z]+)*")
 #: A run of this form is on the allow-list if each of its segments looks like words.
 PATH = re.compile(rb"/?([\w.-]+/)+[\w.-]*")
 
@@ -57,6 +60,8 @@ def allowed(run: bytes) -> bool:
     """Whether a run is on the allow-list: as a whole, or as a path whose segments all are or consist of words."""
     if ALLOWED.fullmatch(run):
         return True
+    if LETTERS.fullmatch(run):
+        return all(map(_word_like, re.findall(rb"[A-Za-z]+", run)))
     return bool(PATH.fullmatch(run)) and all(ALLOWED.fullmatch(x) or all(map(_word_like, re.split(rb"[._-]", x))) for x in run.split(b"/"))
 
 
