@@ -5,14 +5,20 @@ Files lie in the shared folder; their number grows with the tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import points as L
+from ..operators import final
+from ..operators import phases as P
 from ..scratch import Tables
 from ..sources import exports, lidar, mp4, tables, telemetry, workbooks
 from ..sources.files import register
 from ..sources.named import NamedBytes, write_files
+from ..streaming import live
+from .queries import _PHASES, _STATUS, reviews
 from .registry import query
 from .views import POINTS, SAMPLES, TRAJECTORY, points, samples, table, trajectory
 
@@ -247,3 +253,88 @@ def position_books(spark, sf_dir):
     )
     exports.write_positions(measured, path)
     return workbooks.gps_speeds(spark, path).select("video", "cts", F.round("speed", 6).alias("speed"))
+
+
+@query("reviewed_file", f"SELECT CAST(o_orderkey AS VARCHAR) AS event_id, {_STATUS} AS review_status, '軽' AS class, 'car' AS detector_class, printf('%02d:%02d:%02d.000', (o_orderkey % 7000+10)//3600, (o_orderkey % 7000+10)//60%60, (o_orderkey % 7000+10)%60) AS veloview_t_start, false AS lacks_evidence FROM orders WHERE {_STATUS}<>'除外'")
+def reviewed_file(spark, sf_dir):
+    """The reviewed list beside the detector's: the first is read, without its rejected events."""
+    path = _folder(spark, "reviewed")
+    second = {c: (F.col("event_id") % 7000).cast("string") for c in ("t_start_s", "peak_t_s", "t_end_s")}
+    e = reviews(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "review_status", F.lit("軽").alias("class"), F.lit("car").alias("detector_class"), *(c.alias(n) for n, c in second.items()))
+    exports.write_csv(e.drop("review_status").limit(1), path, F.lit("overtaking_events.csv"), [F.col("event_id")])
+    exports.write_reviewed(e, path, 10.0)
+    rows = tables.read_events(spark, tables.events_path(spark, path))
+    return rows.select("event_id", "review_status", "class", "detector_class", "veloview_t_start", F.lit(tables.lacks_evidence(rows)).alias("lacks_evidence"))
+
+
+@query("report_book", f"""SELECT row_number() OVER (ORDER BY o_orderkey)+1 AS row, CAST(o_orderkey AS VARCHAR) AS organize_id, CASE o_orderkey % 4 WHEN 1 THEN 'やや危険' WHEN 2 THEN '危険' WHEN 3 THEN '非常に危険' ELSE 'なし' END AS danger,
+ CASE WHEN o_orderkey % 3>0 THEN o_orderkey % 50+0.25::DOUBLE END AS own_speed, o_orderkey % 7+0.5::DOUBLE AS passing_time, '軽' AS class FROM orders WHERE {_STATUS}='採用'""")
+def report_book(spark, sf_dir):
+    """The workbook of all accepted events; what fills its first page stays out."""
+    path, k = _folder(spark, "report"), F.col("event_id").cast("long")
+    none = {c: F.lit(None).cast("double") for c in ("lc", "distance_p2", "distance_p3", "relative_speed", "ttc")}
+    e = reviews(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "review_status")
+    e = e.withColumns({"danger_level": (k % 4).cast("string"), "status": F.lit("ok"), "t3": F.lit(1.0), "passing_time": k % 7 + 0.5, "source_video": F.lit("v/a.mp4"), "local_t_start_s": F.lit("3"), "class": F.lit("軽"), **none})
+    speeds = e.where(k % 3 > 0).select("event_id", (k % 50 + 0.25).alias("own_speed"))
+    exports.write_report(final.final_rows(e, speeds), path, "all")
+    rows = workbooks.read_workbooks(spark, f"{path}/all_final.xlsx").where("row > 1")
+    cell = lambda h: F.try_element_at("cells", F.lit(final.HEADERS.index(h) + 1))
+    out = rows.select("row", cell("整理ID").alias("organize_id"), cell("危険感").alias("danger"), cell("自転車速度（km/h)").try_cast("double").alias("own_speed"), cell("通過時間").try_cast("double").alias("passing_time"), cell("車種").alias("class"))
+    return out.where("organize_id <> ''")
+
+
+_MARKED = f"SELECT t.track_id, t.rn, CASE WHEN p.p4=t.rn THEN 'フェーズ4' WHEN p.p3=t.rn THEN 'フェーズ3' WHEN p.p2=t.rn THEN 'フェーズ2' WHEN p.p1=t.rn THEN 'フェーズ1' ELSE '' END AS phase FROM ({TRAJECTORY}) t JOIN ({_PHASES}) p USING (track_id) WHERE p2 IS NOT NULL AND p3 IS NOT NULL AND p4 IS NOT NULL"
+
+
+@query("analysis_books", f"SELECT track_id, rn+1 AS row, phase, CASE rn WHEN 1 THEN '分析指標' WHEN 2 THEN '離隔距離 (LC)' WHEN 3 THEN '通過時間' WHEN 4 THEN '距離p2' WHEN 5 THEN '距離p3' WHEN 6 THEN '相対速度' WHEN 7 THEN 'TTC' ELSE '' END AS mark FROM ({_MARKED})")
+def analysis_books(spark, sf_dir):
+    path = _folder(spark, "analysis")
+    t = trajectory(spark, sf_dir).withColumn("file", F.concat(F.lit("overtaking_"), "track_id", F.lit("_edit.csv")))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    t = t.withColumns({"raw": F.array(*(text(c) for c in ("t", "x", "y")), F.lit("0"), text("distance"), text("speed")), "row_number": F.col("rn") + 1})
+    exports.write_analysis(t, P.metrics(t, "file").where("status = 'ok'"), path)
+    rows = workbooks.read_workbooks(spark, path).where("row > 1")
+    cell = lambda k: F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit(""))
+    return rows.select(F.regexp_extract("file", r"overtaking_(\d+)_edit_analysis\.xlsx$", 1).cast("long").alias("track_id"), "row", cell(7).alias("phase"), cell(9).alias("mark"))
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that keeps timers, while a query begins."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _streamed(df: DataFrame, by: Column, parts: int, name: str) -> tuple[DataFrame, Tables]:
+    """The rows of a table as a stream, in batches by the remainder of a hash."""
+    spark, at = df.sparkSession, Tables(df.sparkSession, name)
+    for k in range(parts):
+        df.where(F.pmod(by, F.lit(parts)) == k).write.mode("append").parquet(at.path("in"))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, df.rdd.getNumPartitions())).parquet(at.path("in")), at
+
+
+@query("rotations_stream", f"SELECT track_id, i AS packet_idx, CAST(sum(CASE WHEN az+18000<p THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY i) AS BIGINT) AS frame_idx FROM (SELECT *, lag(az) OVER (PARTITION BY track_id ORDER BY i) AS p FROM (SELECT *, floor(cx*36000+0.5::DOUBLE) AS az FROM ({SAMPLES})))")
+def rotations_stream(spark, sf_dir):
+    """Packets that come in three batches, each with every third of them: early ones wait for the others."""
+    s = samples(spark, sf_dir).withColumn("packet_idx", F.row_number().over(Window.partitionBy("track_id").orderBy("ord")) - 1)
+    packets = s.select(F.col("track_id").cast("string").alias("capture_id"), F.col("packet_idx").cast("long").alias("packet_idx"), F.floor(F.col("cx") * 36000 + 0.5).alias("azimuth"), F.timestamp_micros("ord.us").alias("event_time"))
+    stream, at = _streamed(packets, F.col("packet_idx"), 3, "rotations")
+    with _state_store(spark):
+        q = live.rotations(stream, "366 days").writeStream.format("parquet").option("path", at.path("out")).option("checkpointLocation", at.path("state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(at.path("out")).select(F.col("capture_id").cast("long").alias("track_id"), "packet_idx", "frame_idx")
+
+
+@query("decisions_stream", "SELECT l_orderkey AS event_id, arg_max(l_returnflag, CAST(l_linenumber AS BIGINT)*1000000000+l_partkey*1000+l_suppkey) AS status, max(CAST(l_linenumber AS BIGINT)*1000000000+l_partkey*1000+l_suppkey) AS seq FROM lineitem GROUP BY 1")
+def decisions_stream(spark, sf_dir):
+    """Lines as decisions on their orders, in four batches: the last of each order stays."""
+    seq = F.col("l_linenumber") * F.lit(1_000_000_000).cast("long") + F.col("l_partkey") * 1000 + F.col("l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_returnflag").alias("status"), seq.alias("seq"))
+    stream, at = _streamed(rows, F.xxhash64("seq"), 4, "decisions")
+    latest = live.Latest(spark, at.path("table"), ["event_id"], "seq", "event_id long, status string, seq long", every=2)
+    stream.writeStream.foreachBatch(latest.apply).option("checkpointLocation", at.path("state")).trigger(availableNow=True).start().awaitTermination()
+    return latest.rows()
