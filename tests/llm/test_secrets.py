@@ -116,5 +116,5 @@ def test_missed_share(form, make, most):
 
 
 def test_letters_that_are_words():
-    for text in ("InternationalCamelIdentifier", "INTERNATIONALISATIONOFTHINGS", "internationalisationofthings", "some-long-words-with-dashes-and-More", "Usr/Share/LongFolderName/OtherThings", "RinderkennzeichnungsundRindfleisch"):
+    for text in ("InternationalCamelIdentifier", "TheLongCamelCaseIdentifier", "ThisIsALongCamelCaseIdentifier", "INTERNATIONALISATIONOFTHINGS", "internationalisationofthings", "some-long-words-with-dashes-and-More", "Usr/Share/LongFolderName/OtherThings", "RinderkennzeichnungsundRindfleisch"):
         assert not entropy_of(f"a {text} b"), text

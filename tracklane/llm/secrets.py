@@ -45,15 +45,16 @@ _CANDIDATE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxy
 _HEX_STRETCH = re.compile(rb"[0-9a-fA-F]{%d,}" % CLASSES["hex"][0])
 _LETTERS_AND_NUMBER = re.compile(rb"([A-Za-z]*)[0-9]*|[0-9]*([A-Za-z]*)")
 _CASE_CHANGE = re.compile(rb"[a-z](?=[A-Z])|[A-Z](?=[a-z])")
+_NAME_PART = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
 
 
 def _word_like(part: bytes) -> bool:
-    """Letters with the case of words, with at most one number before or behind them; or of four different characters at most."""
+    """Letters with the case of words or of names of several, with at most one number before or behind them; or of four different characters at most."""
     if len(set(part)) <= 4:
         return True
     m = _LETTERS_AND_NUMBER.fullmatch(part)
     letters = m and (m[1] or m[2] or b"")
-    return letters is not None and len(_CASE_CHANGE.findall(letters)) <= max(3, len(letters) / 3)
+    return letters is not None and (len(_CASE_CHANGE.findall(letters)) <= max(3, len(letters) / 3) or len(_NAME_PART.findall(letters)) <= len(letters) / 4)
 
 
 def allowed(run: bytes) -> bool:
