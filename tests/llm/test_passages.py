@@ -107,3 +107,27 @@ def test_matching_statistics():
         assert n == max(k for k in range(min(12, end) + 1) if k == 0 or held(stream[end - k : end]))
         if n:
             assert sorted(index.order[a:b].tolist()) == held(stream[end - n : end])
+
+
+def test_statistics_decide_what_is_alone():
+    """Windows whose words the shard has elsewhere share a number; of the others statistics end before the window does."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in rng.integers(0, 30, 400)]
+    passages = [" ".join(words[a : a + 60]) for a in range(0, 340, 20)] + [" ".join(f"own{k}" for k in range(45))]
+    spec = repeats.Spec("word", 20, 5)
+    of, offset, group = repeats._equal_windows(pa.array([p.encode() for p in passages], pa.binary()), spec)
+    texts = [tuple(passages[d].split()[o : o + 20]) for d, o in zip(of, offset)]
+    assert len(texts) == sum(len(p.split()) - 19 for p in passages)
+    by_text, by_number = {}, {}
+    for t, g in zip(texts, group.tolist()):
+        by_text.setdefault(t, set()).add(g)
+        by_number.setdefault(g, set()).add(t)
+    assert all(len(x) == 1 for x in (*by_text.values(), *by_number.values()))
+    symbols = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for p in passages for w in p.split()))}
+    flat = np.array([s for p in passages for s in (*(symbols[w] for w in p.split()), 0)])
+    ends = np.array([i + 20 for i in range(len(flat) - 20) if 0 not in flat[i : i + 20]])
+    length, _, _ = FMIndex(flat, 20).matching_statistics(flat, ends, 20, 2)
+    times = {t: texts.count(t) for t in set(texts)}
+    assert [n == 20 for n in length] == [times[t] > 1 for t in texts] and 0 < (length < 20).sum() < len(length)

@@ -69,11 +69,11 @@ class FMIndex:
         """Backward step: where suffixes that begin with ``symbol`` before the suffixes from ``at`` on lie."""
         return self.first[symbol] + self._walk(symbol, at) - self.base[symbol]
 
-    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end the length of the longest part of ``text`` before it (``most`` symbols at most) that the index holds, and its interval [lo, hi) of ``order``.
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end the length of the longest part of ``text`` before it (``most`` symbols at most) that the index holds ``least`` times, and its interval [lo, hi) of ``order``.
 
         ``text`` is a stream of the same symbols, those that the index lacks as -1.  All
-        ends take a step to the left at once; an end drops out at its first mismatch.
+        ends take a step to the left at once; an end drops out where fewer than ``least`` places are left.
         """
         length, low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order))
         open_ = np.arange(len(ends))
@@ -86,7 +86,7 @@ class FMIndex:
                 break
             both = self.step(np.concatenate((symbol, symbol)), np.concatenate((low[open_], high[open_])))
             lo, hi = both[: len(symbol)], both[len(symbol) :]
-            found = hi > lo
+            found = hi - lo >= least
             open_, lo, hi = open_[found], lo[found], hi[found]
             length[open_], low[open_], high[open_] = back, lo, hi
         return length, low, high

@@ -13,8 +13,9 @@ place, so that windows need only meet others with the same owner.
    their windows goes where its own hash says, and is sent once by a task (for the
    first SEEN windows that it meets, the common ones among them).
 3. Each shard finds the equal windows of its passages: words stream against its
-   compressed FM-index, whose matching statistics give the interval of each match
-   of ``window`` words; bytes are ordered by deep-shallow suffix sorting.  The
+   compressed FM-index, whose matching statistics say how far back from each word
+   the shard has the same words elsewhere too; where that is ``window`` words, the
+   interval names the group of equal windows, and else a window is alone.  Bytes are ordered by deep-shallow suffix sorting.  The
    least occurrence of each group of equal windows is the one that stays.
 4. Each passage's removed ranges are joined back and cut out of the texts.
 
@@ -222,9 +223,9 @@ def _equal_windows(content: pa.Array, spec: Spec) -> tuple[np.ndarray, np.ndarra
     which = np.repeat(np.arange(len(n)), np.diff(firsts))
     text = np.zeros(len(symbols) + len(n), np.int64)  # passages, each with a zero behind it
     text[np.arange(len(symbols)) + which] = symbols + 1
-    length, lo, _ = FMIndex(text, spec.window).matching_statistics(text, at + of + spec.window, spec.window)
-    found = length >= spec.window
-    return of[found], offset[found], lo[found]
+    length, lo, _ = FMIndex(text, spec.window).matching_statistics(text, at + of + spec.window, spec.window, 2)
+    alone = length < spec.window  # the shard has the window in this place only
+    return of, offset, np.where(alone, len(text) + np.arange(len(of)), lo)
 
 
 def _first_of(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Table]:
