@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel
-from .common import Scratch
+from .common import Scratch, small_batches
 
 U = np.uint64
 WINDOW = 5
 SHARE = 0.8
 BROADCAST_WINDOWS = 2_000_000
 NEAR = 8
+#: Bytes of text that are read at once (or one longer document), and documents that a Python worker gets at once.
+CHUNK, DOCUMENTS = 1 << 19, 2000
 
 #: Units of measure that become one placeholder.
 UNITS = tuple(
@@ -184,7 +186,7 @@ def _windows(only: np.ndarray | None, name: str, sizes: tuple[int, ...] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch[name].to_numpy(zero_copy_only=False)
-            for i, j, raw, offsets in textkernel.texts(batch["text"]):
+            for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
                 t = Templates(raw, offsets)
                 start, bits, size, h, _ = t.windows(sizes)
                 if only is not None:
@@ -243,7 +245,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, share: float = SHARE,
     # of several readings of the same words the one with the fewest openings read as names
     where = ["doc_id", "item_id", "item_windows", "item_place", "place"]
     hits = joined.groupBy(where).agg(F.min(F.struct(F.expr("named + item_named").alias("n"), "slots", "item_slots")).alias("best"))
-    hits = scratch.put(hits.select(*where, "best.slots", "best.item_slots"), "hits")
+    with small_batches(spark, DOCUMENTS):
+        hits = scratch.put(hits.select(*where, "best.slots", "best.item_slots"), "hits")
     # too few windows at whatever places: never held
     enough = hits.groupBy("doc_id", "item_id", "item_windows").agg(F.countDistinct("item_place").alias("n")).where(F.col("n") >= share * F.col("item_windows"))
     grouped = hits.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("group", F.explode(F.expr(_GROUPS)))
