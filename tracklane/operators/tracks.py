@@ -169,7 +169,7 @@ def class_votes(samples: DataFrame) -> DataFrame:
 
 def _with_runs(rows: DataFrame, hit: Column) -> DataFrame:
     """Numbered samples with run, the hits up to each since the last miss."""
-    track = Window.partitionBy(*KEYS).orderBy("i")
+    track = Window.partitionBy(*KEYS).orderBy("ord")  # as they were numbered: no other sort
     rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     last = F.max(F.when(~F.col("_hit"), F.col("i"))).over(track.rowsBetween(Window.unboundedPreceding, 0))
     run = F.when(F.col("_hit"), F.col("i") - F.coalesce(last, F.lit(-1))).otherwise(0)
@@ -184,13 +184,13 @@ def longest_runs(samples: DataFrame, hit: Column) -> DataFrame:
 def _typed(rows: DataFrame, rules: TrackRules) -> DataFrame:
     """Numbered samples with what the vehicle type needs: run, place by plate score, and votes of the sample's class so far."""
     rows = _with_runs(rows, F.col("plate_score") >= rules.plate_threshold)
-    own = Window.partitionBy(*KEYS, "cls").orderBy("i")
+    own = Window.partitionBy(*KEYS, "cls")
     return rows.select(
         "*",
         F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("plate_score"), "i")).alias("score_place"),
         vote().alias("vote"),
-        F.sum(vote()).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("class_vote"),
-        F.min("i").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("class_first"),
+        F.sum(vote()).over(own).alias("class_vote"),
+        F.min("i").over(own).alias("class_first"),
     )
 
 
