@@ -58,3 +58,20 @@ def test_equal_rows_have_places_of_their_own(spark):
     same = spark.range(5000).select(F.lit("x").alias("k"))
     places = O.number_rows(same, ["k"], "place", 500)
     assert sorted(r.place for r in places.collect()) == list(range(1, 5001))
+
+
+def test_tables_go_with_the_application(tmp_path):
+    """A table is there as long as its application, and no longer."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
+        "from tracklane.scratch import Tables\n"
+        "import os\n"
+        f"print(Tables(s, 't').put(s.range(5), 'a').count(), len(os.listdir('{tmp_path}')))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.split() == ["5", "1"] and not os.listdir(tmp_path)

@@ -31,6 +31,7 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         fs, where = self._at(self.root)
+        fs.mkdirs(where)
         fs.deleteOnExit(where)
 
     def _at(self, path: str):
