@@ -71,7 +71,7 @@ def test_tables_go_with_the_application(tmp_path):
         f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
         "from tracklane.scratch import Tables\n"
         "import os\n"
-        f"print(Tables(s, 't').put(s.range(5), 'a').count(), len(os.listdir('{tmp_path}')))\n"
+        f"print(Tables(s, 't').put(s.range(5), 'a').count(), sum(n.startswith('t-') for n in os.listdir('{tmp_path}')))\n"
     )
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
-    assert done.stdout.split() == ["5", "1"] and not os.listdir(tmp_path)
+    assert done.stdout.split() == ["5", "1"] and not [n for n in os.listdir(tmp_path) if n.startswith("t-")]
