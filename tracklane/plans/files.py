@@ -255,3 +255,27 @@ def follow_boxes(spark, sf_dir):
     """Boxes through the frames of all points: state from frame to frame, which SQL lacks; the tests follow them plainly."""
     starts = spark.createDataFrame([(f"e{k}", 1, 0, 10**9, -0.3 + 0.1 * k, 0.1 + 0.1 * k, -0.2, 0.2, None) for k in range(4)], "event_id string, capture_id int, first_frame long, last_frame long, min_x double, max_x double, min_y double, max_y double, lasers array<long>")
     return B.follow_boxes(points(spark, sf_dir), F.broadcast(starts))
+
+
+_STEPS = f"""WITH RECURSIVE e AS (SELECT f AS frame_idx, k, 7.0::DOUBLE*k AS bx FROM (SELECT DISTINCT vec_id//50 AS f FROM embeddings), (VALUES (0), (1)) AS t(k)),
+ p AS (SELECT e.frame_idx, k, bx, x*10 AS x, y*10 AS y, floor(x*10/0.6::DOUBLE) AS gx, floor(y*10/0.6::DOUBLE) AS gy FROM e JOIN ({POINTS}) p ON p.frame_idx=e.frame_idx WHERE abs(x*10-bx)<=7.2::DOUBLE AND abs(y*10)<=7.2::DOUBLE),
+ c AS (SELECT DISTINCT frame_idx, k, gx, gy FROM p),
+ r AS (SELECT *, gx AS cx, gy AS cy FROM c UNION SELECT c.*, r.cx, r.cy FROM r JOIN c ON c.frame_idx=r.frame_idx AND c.k=r.k AND abs(c.gx-r.gx)<=1 AND abs(c.gy-r.gy)<=1),
+ m AS (SELECT frame_idx, k, gx, gy, min({{'a':cx,'b':cy}}) AS id FROM r GROUP BY ALL),
+ g AS (SELECT frame_idx, k, any_value(bx) AS bx, id, count(*) AS n, avg(x) AS x, avg(y) AS y FROM p JOIN m USING (frame_idx, k, gx, gy) GROUP BY frame_idx, k, id HAVING count(*)>=8),
+ b AS (SELECT frame_idx, k, arg_min({{'n':n,'x':x,'y':y}}, sqrt((x-bx)*(x-bx)+y*y)) AS b FROM g GROUP BY frame_idx, k),
+ s AS (SELECT e.*, b, coalesce(least(1::DOUBLE, 6.0::DOUBLE/sqrt((b.x-bx)*(b.x-bx)+b.y*b.y)), 0) AS part FROM e LEFT JOIN b USING (frame_idx, k))
+SELECT frame_idx || '-' || k AS event_id, frame_idx, b IS NOT NULL AS found, coalesce(b.n, 0) AS n_points, round(b.x,6) AS centre_x, round(b.y,6) AS centre_y, round(bx-6+coalesce(b.x-bx,0)*part,6) AS min_x, round(6+coalesce(b.y,0)*part,6) AS max_y, round(coalesce(b.x-bx,0)*part,6) AS vel_x FROM s"""
+
+
+@query("box_steps", _STEPS)
+def box_steps(spark, sf_dir):
+    """A step of a box at the points and of one beside them, in every frame: search, grouping, nearest vehicle, and the longest step."""
+    wide = points(spark, sf_dir).withColumns({"x": F.col("x") * 10, "y": F.col("y") * 10})
+    frames = wide.select("frame_idx").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    box = {"min_x": 7.0 * F.col("k") - 6, "max_x": 7.0 * F.col("k") + 6, "min_y": F.lit(-6.0), "max_y": F.lit(6.0)}
+    starts = frames.select(F.concat_ws("-", "frame_idx", "k").alias("event_id"), F.lit(1).alias("capture_id"), (F.col("frame_idx") - 1).alias("first_frame"), F.col("frame_idx").alias("last_frame"), F.lit(None).cast("array<long>").alias("lasers"), *(c.alias(n) for n, c in box.items()))
+    # every event is of one frame: its points alone meet it
+    of = wide.withColumn("capture_id", F.col("frame_idx"))
+    out = B.follow_boxes(of, starts.withColumn("capture_id", F.col("last_frame")))
+    return out.select("event_id", "frame_idx", "found", F.col("n_points").cast("long").alias("n_points"), *(F.round(c, 6).alias(c) for c in ("centre_x", "centre_y", "min_x", "max_y", "vel_x")))
