@@ -67,7 +67,7 @@ _ROWS = f"SELECT video, sample_idx, row_idx, round(sample_idx*0.5::DOUBLE+(row_i
 def payload_rows(spark, sf_dir):
     rows = payloads(spark, sf_dir).withColumns({"pts": F.col("sample_idx") * 0.5, "duration": F.lit(0.5)})
     measured = telemetry.rows(rows.withColumn("sample_idx", F.col("sample_idx").cast("long")))
-    return measured.select("video", "sample_idx", "row_idx", F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
+    return measured.select("video", "sample_idx", F.col("row_idx").cast("long").alias("row_idx"), F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
 
 
 @query("payload_table_function", _ROWS)
@@ -75,7 +75,7 @@ def payload_table_function(spark, sf_dir):
     telemetry.register_functions(spark)
     rows = payloads(spark, sf_dir)
     return spark.sql(
-        "SELECT video, sample_idx, m.row_idx, round(m.t, 9) AS t, m.ax_mps2 AS v1, m.ay_mps2 AS v2 FROM {rows}, LATERAL gpmf_rows(payload, sample_idx * 0.5D, 0.5D, 'ACCL') AS m", rows=rows
+        "SELECT video, CAST(sample_idx AS BIGINT) AS sample_idx, m.row_idx, round(m.t, 9) AS t, m.ax_mps2 AS v1, m.ay_mps2 AS v2 FROM {rows}, LATERAL gpmf_rows(payload, sample_idx * 0.5D, 0.5D, 'ACCL') AS m", rows=rows
     )
 
 
@@ -121,7 +121,7 @@ def video_samples(spark, sf_dir):
 @query("video_measurements", _ROWS)
 def video_measurements(spark, sf_dir):
     measured = telemetry.rows(mp4.read_samples(spark, videos(spark, sf_dir), split=1 << 15))
-    return measured.select(_video(), "sample_idx", "row_idx", F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
+    return measured.select(_video(), "sample_idx", F.col("row_idx").cast("long").alias("row_idx"), F.round("t", 9).alias("t"), F.col("vals")[0].alias("v1"), F.col("vals")[1].alias("v2"))
 
 
 @query("video_starts", f"SELECT video, round(CASE WHEN count(*)>1 THEN 0.0::DOUBLE ELSE -10 END+1767225600+CAST(substr(video,2) AS BIGINT),3) AS start_unix, least(count(*),12) AS estimates FROM ({_SIZES}) GROUP BY video HAVING count(*)<>2")
@@ -191,7 +191,7 @@ def frame_files(spark, sf_dir):
     path, p = _folder(spark, "frames"), _some_points(spark, sf_dir)
     frames = points(spark, sf_dir).groupBy("frame_idx").agg(F.min("t").alias("t"))
     exports.write_frame_regions(p, frames, path)
-    return tables.read_frames(spark, path).select(F.col("frame_idx").alias("frame"), "ord", "t", "x_text", "y_text", "z_text", "x")
+    return tables.read_frames(spark, path).select(F.col("frame_idx").alias("frame"), F.col("ord").cast("long").alias("ord"), "t", "x_text", "y_text", "z_text", "x")
 
 
 @query("frame_file_checks", f"SELECT printf('lidar_%06d_%010.3f.csv', frame_idx, min(t)) AS name, CAST(NULL AS VARCHAR) AS problem FROM ({POINTS}) GROUP BY frame_idx")
