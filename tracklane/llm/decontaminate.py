@@ -55,13 +55,14 @@ UNITS = tuple(
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _ONES = rb"one|two|three|four|five|six|seven|eight|nine"
 _TENS = rb"twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety"
-_NUMBER = re.compile(
-    rb"[+-]?[$]?\d[\d.,:/]*%?|(" + _TENS + rb")-(" + _ONES + rb")|" + _ONES + rb"|" + _TENS + rb"|"
-    rb"zero|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion"
-)
+_OTHER = rb"zero|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|hundred|thousand|million|billion"
+_NUMBER_WORDS = frozenset(b"|".join((_ONES, _TENS, _OTHER)).split(b"|"))
+_NUMBER = re.compile(rb"[+-]?[$]?\d[\d.,:/]*%?|(" + _TENS + rb")-(" + _ONES + rb")")
 _WITH_UNIT = re.compile(rb"([+-]?[$]?\d[\d.,:/]*)(" + "|".join(sorted(UNITS, key=len, reverse=True)).encode() + rb")")
 _UNIT_SET = frozenset(u.encode() for u in UNITS)
 
+_LETTER, _MARK, _CLOSES = (np.isin(np.arange(256), list(chars)) for chars in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", _PUNCTUATION, b".!?:"))
+
 # An opening is a capitalised word that begins a sentence: it is read as a plain word and as a name.
 _PLAIN, _NUM, _UNIT, _NAME, _OPENING = range(5)
 _PLACEHOLDER = np.arange(5, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
@@ -75,10 +76,42 @@ def classify(w: bytes) -> tuple[bytes, bytes, bool, bool, bool, bool, bool, bool
     else:
         text = core.decode("utf-8", "replace")
         plain, capital = text.lower().encode(), text[:1].isupper()
-    attached = b""
-    if m := _WITH_UNIT.fullmatch(plain):
-        plain, attached = m[1], m[2]
-    return plain, attached, bool(_NUMBER.fullmatch(plain)), plain in _UNIT_SET, capital, w[-1:] in b".!?:", w[:1] != core[:1], w[-1:] != core[-1:]
+    attached, number = b"", False
+    if plain.isalpha():
+        number = plain in _NUMBER_WORDS
+    elif plain[:1].isdigit() or b"-" in plain:
+        if m := _WITH_UNIT.fullmatch(plain):
+            plain, attached = m[1], m[2]
+        number = bool(_NUMBER.fullmatch(plain))
+    return plain, attached, number, plain in _UNIT_SET, capital, w[-1:] in b".!?:", w[:1] != core[:1], w[-1:] != core[-1:]
+
+
+def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the hashes of its plain word and of the unit attached to it, and what :func:`classify` tells.
+
+    Letters with punctuation behind them, most of all words, are told by their bytes
+    at once; only the distinct ones of the rest are looked at singly.
+    """
+    letters, marks = (np.concatenate(([0], np.cumsum(table[raw]))) for table in (_LETTER, _MARK))
+    n = letters[ends] - letters[starts]
+    core = starts + n
+    simple = (n > 0) & (letters[core] - letters[starts] == n) & (marks[ends] - marks[core] == ends - core)
+    plain_hash, unit_hash = np.zeros(len(starts), np.uint64), np.full(len(starts), _hashes([b""])[0], np.uint64)
+    flags = np.zeros((len(starts), 8), bool)
+    at = np.flatnonzero(simple)
+    plain_hash[at] = textkernel.word_hashes(textkernel.lower(raw), starts[at], core[at])
+    last = raw[ends[at] - 1]
+    number, unit = (np.isin(plain_hash[at], _hashes(sorted(names))) for names in (_NUMBER_WORDS, _UNIT_SET))
+    for k, flag in enumerate((True, False, number, unit, raw[starts[at]] <= ord("Z"), _CLOSES[last], False, ends[at] > core[at])):
+        flags[at, k] = flag
+    at = np.flatnonzero(~simple)
+    if len(at):
+        _, index, inverse = np.unique(textkernel.word_hashes(raw, starts[at], ends[at]), return_index=True, return_inverse=True)
+        data, own = raw.tobytes(), at[index]
+        found = [classify(data[a:b]) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+        plain_hash[at], unit_hash[at] = (_hashes([x[k] for x in found])[inverse] for k in (0, 1))
+        flags[at] = np.array([(bool(x[0]), bool(x[1]), *x[2:]) for x in found], bool)[inverse]
+    return plain_hash, unit_hash, flags
 
 
 class Templates:
@@ -90,14 +123,8 @@ class Templates:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         starts, ends, firsts = textkernel.words(raw, offsets)
-        keys = textkernel.word_hashes(raw, starts, ends)
-        distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        data = raw.tobytes()
-        found = [classify(data[a:b]) for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-        plain_hash = _hashes([x[0] for x in found])[inverse]
-        unit_hash = _hashes([x[1] for x in found])[inverse]
-        flags = np.array([(bool(x[0]), bool(x[1]), *x[2:]) for x in found], bool).reshape(-1, 8)
-        word, attached, number, unit, capital, closes, before, behind = flags[inverse].T
+        plain_hash, unit_hash, flags = _classes(raw, starts, ends)
+        word, attached, number, unit, capital, closes, before, behind = flags.T
         n = len(word)
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         # a word begins a sentence if the last word with letters before it ends one or is in another document
