@@ -65,9 +65,8 @@ def write_event_regions(points: DataFrame, path: str) -> None:
     points.sparkSession.dataSource.register(NamedText)
     name = F.concat(F.lit("overtaking_"), T.safe_id(F.coalesce(F.col("event_id").cast("string"), F.lit(""))), F.lit(".csv"))
     shaped = roi_rows(points.withColumn("capture_id", name)).withColumnRenamed("capture_id", "name")
-    rows = shaped.select("name", F.lit(1).alias("_h"), "frame_idx", "ord", csv_line([F.col(f"`{c}`") for c in REGION_COLUMNS]).alias("line"))
-    head = rows.select("name").distinct().select("name", F.lit(0).alias("_h"), F.lit(",".join(REGION_COLUMNS)).alias("line"))
-    write_files(rows.unionByName(head, allowMissingColumns=True), path, "named_text", ["_h", "frame_idx", "ord"], lead=BOM)
+    rows = shaped.select("name", "frame_idx", "ord", csv_line([F.col(f"`{c}`") for c in REGION_COLUMNS]).alias("line"))
+    write_files(rows, path, "named_text", ["frame_idx", "ord"], lead=f"{BOM}{','.join(REGION_COLUMNS)}\r\n")
 
 
 def trajectory_rows(frames: DataFrame) -> DataFrame:
@@ -82,9 +81,8 @@ def write_trajectories(frames: DataFrame, path: str) -> None:
         raise ValueError("no frames")
     rows = trajectory_rows(frames)
     rows.sparkSession.dataSource.register(NamedText)
-    lines = rows.select(F.concat("name", F.lit("_edit.csv")).alias("name"), F.lit(1).alias("_h"), "t", csv_line([F.col(f"`{c}`") for c in TRAJECTORY_COLUMNS]).alias("line"))
-    head = lines.select("name").distinct().select("name", F.lit(0).alias("_h"), F.lit(",".join(TRAJECTORY_COLUMNS)).alias("line"))
-    write_files(lines.unionByName(head, allowMissingColumns=True), path, "named_text", ["_h", "t"], lead=BOM)
+    lines = rows.select(F.concat("name", F.lit("_edit.csv")).alias("name"), "t", csv_line([F.col(f"`{c}`") for c in TRAJECTORY_COLUMNS]).alias("line"))
+    write_files(lines, path, "named_text", ["t"], lead=f"{BOM}{','.join(TRAJECTORY_COLUMNS)}\r\n")
 
 
 def write_telemetry(measured: DataFrame, path: str) -> None:
@@ -96,12 +94,11 @@ def write_telemetry(measured: DataFrame, path: str) -> None:
     known = F.create_map(*(x for key, names in telemetry.COLUMNS.items() for x in (F.lit(key), F.array(*map(F.lit, names)))))
     rows = measured.withColumn("name", F.concat(T.stem(F.col("video")), F.lit("/telemetry_"), suffix, F.lit(".csv")))
     order = list(telemetry.ORDER)
-    lines = rows.select("name", F.lit(1).alias("_h"), *order, F.concat_ws(",", _fixed("t", 6), F.transform("vals", lambda v: T.general(v, 8))).alias("line"))
-    width = rows.groupBy("name", "key").agg(F.min_by(F.size("vals"), F.struct(*order)).alias("n"))
-    names = F.coalesce(F.try_element_at(known, "key"), F.array().cast("array<string>"))
-    more = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: i >= F.size(names)), lambda i: F.concat(F.lit("col"), i.cast("string")))
-    head = width.select("name", F.lit(0).alias("_h"), F.concat_ws(",", F.lit("time_s"), F.slice(names, F.lit(1), F.col("n")), more).alias("line"))
-    write_files(lines.unionByName(head, allowMissingColumns=True), path, "named_text", ["_h", *order])
+    names, n = F.coalesce(F.try_element_at(known, "key"), F.array().cast("array<string>")), F.size("vals")
+    more = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i >= F.size(names)), lambda i: F.concat(F.lit("col"), i.cast("string")))
+    head = F.concat_ws(",", F.lit("time_s"), F.slice(names, F.lit(1), n), more)
+    lines = rows.select("name", *order, F.concat_ws(",", _fixed("t", 6), F.transform("vals", lambda v: T.general(v, 8))).alias("line"), head.alias("head"))
+    write_files(lines, path, "named_text", order)
 
 
 def gps_headers(unit: str) -> tuple[str, ...]:
@@ -115,12 +112,9 @@ def write_positions(measured: DataFrame, path: str) -> None:
     for sheet, unit in (("1", "k/s"), ("2", "m/s")):
         rows = telemetry.gps_rows(measured, sheet == "1")
         shown = rows.drop("video", *telemetry.ORDER)
-        rows = rows.select(F.concat(T.stem(F.col("video")), F.lit("/telemetry_gps.xlsx")).alias("name"), F.lit(sheet).alias("sheet"), F.lit(1).alias("_h"), *telemetry.ORDER, workbooks.cells_of(shown).alias("cells"))
-        parts += [rows, rows.select("name", "sheet").distinct().withColumns({"_h": F.lit(0), "cells": F.array(*(workbooks.cell(F.lit(h), "text") for h in gps_headers(unit)))})]
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part, allowMissingColumns=True)
-    workbooks.write_workbooks(both.withColumn("_s", F.col("sheet")), path, ["_s", "_h", *telemetry.ORDER])
+        name = F.concat(T.stem(F.col("video")), F.lit("/telemetry_gps.xlsx"))
+        parts.append(rows.select(name.alias("name"), F.lit(sheet).alias("sheet"), *telemetry.ORDER, workbooks.cells_of(shown).alias("cells"), workbooks.texts(gps_headers(unit)).alias("head")))
+    workbooks.write_workbooks(parts[0].unionByName(parts[1]).withColumn("_s", F.col("sheet")), path, ["_s", *telemetry.ORDER])
 
 
 def write_analysis(points: DataFrame, metrics: DataFrame, path: str) -> None:
@@ -130,10 +124,9 @@ def write_analysis(points: DataFrame, metrics: DataFrame, path: str) -> None:
     value = F.when(F.col("rn") == 1, text(F.lit(final.MARK_VALUE))).otherwise(workbooks.cell(F.col("mark_value"), "number"))
     cells = F.concat(F.transform("raw", lambda c: F.struct(c.alias("text"), F.lit(None).cast("double").alias("number"), F.lit(0).alias("style"))), F.array(text(F.col("phase")), text(F.lit("")), text(F.col("mark")), value, text(F.col("mark_unit"))))
     name = F.concat(T.stem(F.col("file")), F.lit("_analysis.xlsx"))
-    rows = rows.select(name.alias("name"), F.lit("走行挙動解析").alias("sheet"), F.col("rn").cast("long").alias("rn"), cells.alias("cells"))
-    head = F.array(*(text(F.lit(h)) for h in (*TRAJECTORY_COLUMNS, final.PHASE, "", "", "", "")))
-    heads = rows.select("name", "sheet").distinct().select("name", "sheet", F.lit(0).cast("long").alias("rn"), head.alias("cells"))
-    workbooks.write_workbooks(rows.unionByName(heads), path, ["rn"])
+    head = workbooks.texts((*TRAJECTORY_COLUMNS, final.PHASE, "", "", "", ""))
+    rows = rows.select(name.alias("name"), F.lit("走行挙動解析").alias("sheet"), F.col("rn").cast("long").alias("rn"), cells.alias("cells"), head.alias("head"))
+    workbooks.write_workbooks(rows, path, ["rn"])
 
 
 def write_reviewed(events: DataFrame, path: str, offset: float) -> None:
@@ -149,6 +142,6 @@ def write_report(rows: DataFrame, path: str, name: str) -> None:
     page = final.padded(rows)
     shown = page.select(*(F.col(f"`{h}`") for h in final.HEADERS))
     body = page.select("place", workbooks.cells_of(shown, final.STYLES).alias("cells"))
-    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.array(*(workbooks.cell(F.lit(h), "text", 1) for h in final.HEADERS)).alias("cells"))
-    both = body.unionByName(head).select(F.lit(f"{name}_final.xlsx").alias("name"), F.lit("Sheet1").alias("sheet"), "place", "cells")
-    workbooks.write_workbooks(both, path, ["place"], final.LAYOUT)
+    head = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), workbooks.texts(final.HEADERS, 1).alias("cells"))
+    both = body.unionByName(head).select(F.lit(f"{name}_final.xlsx").alias("name"), (F.col("place") + 1).alias("number"), "cells")
+    workbooks.write_large_workbooks(both, path, "Sheet1", final.LAYOUT)
