@@ -13,6 +13,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
@@ -27,8 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from ..scratch import Tables
 from .files import filesystem
 
-#: Bytes of a part that are copied at once.
-COPY = 1 << 22
+#: Bytes of a part that are copied at once, and files that get their names at once.
+COPY, MOVERS = 1 << 22, 32
 
 
 @dataclass
@@ -77,8 +78,8 @@ class NamedWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        for attempt, final in (f for m in messages if m for f in m.files):
-            fs.move(attempt, final)
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(lambda names: fs.move(*names), (f for m in messages if m for f in m.files)))
 
     def abort(self, messages: list) -> None:
         fs, _ = filesystem(self.path)

@@ -403,6 +403,23 @@ def packed(pieces: Iterable[bytes], out, last: bool = False) -> dict:
     return {"crc": crc, "size": size, "packed": written}
 
 
+@cache
+def _around_sheets(names: tuple[str, ...], formats: tuple[str, ...]) -> list[tuple[str, bytes]]:
+    """(name, bytes) of what a workbook has besides its sheets."""
+    sheets = [f"worksheets/sheet{k}.xml" for k in range(1, len(names) + 1)]
+    listed = _node("sheets", *(_node("sheet", **{"name": n, "sheetId": k, "r:id": f"r{k}"}) for k, n in enumerate(names, 1)))
+    kinds = {"workbook.xml": "sheet.main", "styles.xml": "styles"} | dict.fromkeys(sheets, "worksheet")
+    default = [_node("Default", Extension=e, ContentType=t) for e, t in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"))]
+    parts = {
+        "xl/styles.xml": _styles(list(formats)),
+        "xl/workbook.xml": _node("workbook", listed, **{"xmlns": MAIN, "xmlns:r": RELATIONS}),
+        "xl/_rels/workbook.xml.rels": _links([*(("worksheet", s) for s in sheets), ("styles", "styles.xml")]),
+        "_rels/.rels": _links([("officeDocument", "xl/workbook.xml")]),
+        "[Content_Types].xml": _node("Types", *default, *(_node("Override", PartName=f"/xl/{part}", ContentType=f"{_TYPE}.{kind}+xml") for part, kind in kinds.items()), xmlns=f"{PACKAGE}/content-types"),
+    }
+    return [(where, _xml(node)) for where, node in parts.items()]
+
+
 class _XlsxWriter(NamedWriter):
     def fill(self, out, batches: Iterator[pa.RecordBatch]) -> None:
         layout, names = json.loads(self.options.get("layout", "{}")), []
@@ -425,19 +442,8 @@ class _XlsxWriter(NamedWriter):
                         file.write(rows_xml(batch, number))
                         number += batch.num_rows
                     file.write(behind)
-            sheets = [f"worksheets/sheet{k}.xml" for k in range(1, len(names) + 1)]
-            listed = _node("sheets", *(_node("sheet", **{"name": n, "sheetId": k, "r:id": f"r{k}"}) for k, n in enumerate(names, 1)))
-            kinds = {"workbook.xml": "sheet.main", "styles.xml": "styles"} | dict.fromkeys(sheets, "worksheet")
-            default = [_node("Default", Extension=e, ContentType=t) for e, t in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"))]
-            parts = {
-                "xl/styles.xml": _styles(layout.get("formats", [])),
-                "xl/workbook.xml": _node("workbook", listed, **{"xmlns": MAIN, "xmlns:r": RELATIONS}),
-                "xl/_rels/workbook.xml.rels": _links([*(("worksheet", s) for s in sheets), ("styles", "styles.xml")]),
-                "_rels/.rels": _links([("officeDocument", "xl/workbook.xml")]),
-                "[Content_Types].xml": _node("Types", *default, *(_node("Override", PartName=f"/xl/{part}", ContentType=f"{_TYPE}.{kind}+xml") for part, kind in kinds.items()), xmlns=f"{PACKAGE}/content-types"),
-            }
-            for where, node in parts.items():
-                book.writestr(where, _xml(node))
+            for where, data in _around_sheets(tuple(names), tuple(layout.get("formats", ()))):
+                book.writestr(where, data)
 
     def _join(self, book: ZipFile, where: str, before: bytes, behind: bytes, batches: list[pa.RecordBatch]) -> None:
         """A sheet from parts that are packed already: one row a part."""
