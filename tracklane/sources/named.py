@@ -168,10 +168,12 @@ def write_large(rows: DataFrame, path: str, form: str, order: list[str], fill: C
                 known = fill(out, own)
             yield pa.RecordBatch.from_pylist([{"name": name, "range": TaskContext.get().partitionId(), "part": f"{folder}/{part}", **known}])
 
-    dealt = rows.repartitionByRange("name", *order).sortWithinPartitions("name", *order).drop(*order)
+    once = tables.put(rows, "rows")  # the bounds of ranges are sampled from it before it is dealt
+    dealt = once.repartitionByRange("name", *order).sortWithinPartitions("name", *order).drop(*order)
     parts = tables.put(dealt.mapInArrow(write, f"name string, range long, part string{about}"), "parts")
     write_files(parts, path, form, ["range"], parts="true", **options)
-    tables.drop("files")
+    for name in ("rows", "files"):
+        tables.drop(name)
 
 
 def csv_line(columns: list[Column]) -> Column:
