@@ -118,3 +118,25 @@ def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_batches_of_few_rows(spark, monkeypatch):
+    """Stages that send texts through Python do so while few rows are asked for, and in the end the session is as before."""
+    monkeypatch.setattr(corpus_pipeline, "DOCUMENTS", 7)
+    monkeypatch.setattr(corpus_pipeline.packing, "ROWS", 7)
+    monkeypatch.setattr(corpus_pipeline.packing, "CHUNK", 100)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, asked, runs = spark.conf.get(name), [], []
+    put, texts = corpus_pipeline.Scratch.put, corpus_pipeline.packing.textkernel.texts
+    monkeypatch.setattr(corpus_pipeline.Scratch, "put", lambda self, df, table: asked.append((table, spark.conf.get(name))) or put(self, df, table))
+    docs = spark.createDataFrame(rows([(k, f"text {k} of a few words") for k in range(40)]), COLUMNS)
+    docs = STAGES["secrets"](spark, docs, "")
+    out = STAGES["packing"](spark, docs, "")
+    assert asked == [("rows", "7"), ("pieces", "7")] and spark.conf.get(name) == before
+    assert packed(out) == encoded([(k, f"text {k} of a few words") for k in range(40)])
+    monkeypatch.setattr(corpus_pipeline.packing.textkernel, "texts", lambda column, most=0: runs.append(most) or texts(column, most))
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(40)), pa.array(["text of a few words"] * 40)], ["doc_id", "text"])
+    made = list(corpus_pipeline.packing._pieces(public_tokenizers.path(corpus_pipeline.TOKENIZER), 1, 2048)(iter([batch])))
+    assert runs == [100] and len(made) > 1 and sum(b.num_rows for b in made) == 40

@@ -23,16 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel, tokens
-from .common import partitions
+from .common import Scratch, partitions, small_batches
 
 #: Tokens that are packed together at most; a larger partition is packed in turns.
 GROUP_TOKENS = 1 << 25
+#: Bytes of text that are encoded at once (or one longer document), and rows that a Python worker gets at once.
+CHUNK, ROWS = 1 << 19, 1000
 
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in textkernel.texts(batch["text"]):
+            for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
                 ids, firsts = tokens.with_end(*tokens.encode_flat(raw, offsets, path), end)
                 sizes = np.diff(firsts)
                 n = -(-sizes // capacity)
@@ -129,7 +131,10 @@ def pack(documents: DataFrame, tokenizer: str, end: int = 1, capacity: int = 204
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = docs.mapInArrow(_pieces(tokenizer, end, capacity), "doc_id long, start long, length long, doc_tokens long, ids binary")
-    spread = pieces.repartition(partitions(documents.sparkSession), F.xxhash64("doc_id", "start"))
-    return spread.mapInArrow(
+    spark = documents.sparkSession
+    spread = pieces.repartition(partitions(spark), F.xxhash64("doc_id", "start"))
+    packed = spread.mapInArrow(
         _pack(capacity), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
     )
+    with small_batches(spark, ROWS):  # texts and ids go in and out: an executor holds each batch in Spark and in Python, for each of its tasks
+        return Scratch(spark, "packing").put(packed, "pieces")
