@@ -127,11 +127,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each distinct shingle of a run of texts: how many of its documents have it, and which if at most RARE do."""
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         for i, j, raw, offsets in textkernel.texts(batch["text"], CHUNK):
             h, firsts = shingle_sets(raw, offsets)
-            yield pa.record_batch([pa.array(np.repeat(ids[i:j], np.diff(firsts))), pa.array(h.view(np.int64))], ["x", "h"])
+            x = np.repeat(ids[i:j], np.diff(firsts))
+            by = np.argsort(h, kind="stable")
+            h, x = h[by], x[by]
+            heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            c = np.diff(np.append(heads, len(h)))
+            few = c <= RARE
+            at = np.r_[0, np.cumsum(np.where(few, c, 0))].astype(np.int32)
+            xs = pa.ListArray.from_arrays(at, pa.array(x[np.repeat(few, c)]))
+            yield pa.record_batch([pa.array(h[heads].view(np.int64)), pa.array(c), xs], ["h", "c", "xs"])
 
 
 def _bound(n: str, r: str, m: str, q: str, shared: str, threshold: int) -> str:
@@ -142,9 +151,9 @@ def _bound(n: str, r: str, m: str, q: str, shared: str, threshold: int) -> str:
 
 def _rare(docs: DataFrame, heavy: DataFrame, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame]:
     """For the documents ``heavy`` (x, n, g): (x, r), their rare shingles, and the pairs (x, y) that share some and may be linked."""
-    elements = scratch.put(by_ids(docs, heavy.select("x"), "left_semi").mapInArrow(_elements, "x long, h long"), "elements")
-    counts = elements.groupBy("h").agg(F.count("*").alias("c")).where(f"c <= {RARE}")
-    rare = scratch.put(elements.join(counts, "h"), "rare")
+    elements = scratch.put(by_ids(docs, heavy.select("x"), "left_semi").mapInArrow(_elements, "h long, c long, xs array<long>"), "elements")
+    counts = elements.groupBy("h").agg(F.sum("c").alias("c")).where(f"c <= {RARE}")
+    rare = scratch.put(elements.drop("c").join(counts, "h").select(F.explode("xs").alias("x"), "h", "c"), "rare")
     number = scratch.put(heavy.join(rare.groupBy("x").agg(F.count("*").alias("r")), "x", "left").withColumn("r", F.coalesce("r", F.lit(0))), "rareness")
     some = rare.where("c > 1")
     both = some.select("h", F.col("x").alias("a")).join(some.select("h", F.col("x").alias("b")), "h").where("a > b")  # at most RARE documents a shingle
