@@ -30,59 +30,144 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[39] = 0
 _KIND[65:91] = _KIND[97:123] = 1
+#: Chunks that a table keeps; where more come, the half that was met in most calls stays.
 MOST_CHUNKS = 500_000
 #: Chunks that the tokenizer gets in one call: its encodings are far larger than the ids.
 AT_ONCE = 10_000
+#: Chunks that are one text for the tokenizer, with an added token behind each: a text of its own costs half as much again.
+JOINED = 30
+
+
+def _ranges(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` values from each ``first`` on, one range after the other."""
+    ends = np.cumsum(count)
+    at = np.repeat(first - (ends - count), count)
+    at += np.arange(len(at))
+    return values[at]
+
+
+def _longer(values: np.ndarray, n: int) -> np.ndarray:
+    """The same values with room for ``n`` at least."""
+    if n <= len(values):
+        return values
+    out = np.zeros(max(n, len(values) * 3 // 2), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
+def _borderless(x: str) -> bool:
+    return not any(x[:k] == x[-k:] for k in range(1, len(x)))
 
 
 class ChunkTable:
+    """Ids of chunks by their hashes, found through slots: from the one that its lower bits name on, a key has the first that was free."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the tokenizer would spin
         self.tokenizer = Tokenizer.from_file(path)
-        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        added = self.tokenizer.get_added_tokens_decoder()
+        contents = [t.content for t in added.values() if t.content]
         #: Contents of added tokens, in any case: a normalizer may lower texts before it looks for them.
         self.added = re.compile(b"|".join(re.escape(c.encode()) for c in contents), re.I) if contents else None
         self.contents = [c.encode().lower() for c in contents]
+        #: An added token (id, content) that parts a text wherever it stands and can't overlap itself.
+        plain = {i: t.content.encode() for i, t in added.items() if not (t.single_word or t.lstrip or t.rstrip or t.normalized) and t.content and _borderless(t.content)}
+        self.separator = min(plain.items(), default=None)
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int32)
-        self.count = np.zeros(0, np.int32)
+        self.size = self.n_ids = self.n_raw = 0
+        self.keys = np.zeros(1, np.uint64)
+        self.first, self.count, self.starts, self.ends, self.met = (np.zeros(1, np.int32) for _ in range(5))
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int32)
-        self.ends = np.zeros(0, np.int32)
         self.raw = np.zeros(0, np.uint8)
+        self.slots = np.full(1 << 12, -1, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without added tokens' contents one after the other, and each one's number of ids."""
+        if self.separator is not None:
+            own, content = self.separator
+            texts = [content.join([*chunks[k : k + JOINED], b""]).decode("utf-8", "replace") for k in range(0, len(chunks), JOINED)]
+            ids = np.fromiter(chain.from_iterable(self.encode(texts)), np.uint32)
+            cuts = np.flatnonzero(ids == own)
+            if len(cuts) == len(chunks):  # fewer: a chunk's end and the separator's start are another added token
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1) - 1
+        found = self.encode([c.decode("utf-8", "replace") for c in chunks])
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+
     def learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > MOST_CHUNKS:
-            self.clear()
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        counts, ids = [np.zeros(0, np.int64)], [self.ids]
-        for i in range(0, len(texts), AT_ONCE):
-            found = self.encode(texts[i : i + AT_ONCE])
-            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
-        count = np.concatenate(counts)
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate(ids)
-        by = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[by])
-        ends = len(self.raw) + np.cumsum([len(c) for c in chunks])
-        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(chunks), np.uint8)))
-        starts = np.append(len(self.raw) - sum(map(len, chunks)), ends[:-1])
-        for name, new in (("keys", keys), ("first", first), ("count", count), ("starts", starts), ("ends", ends)):
-            setattr(self, name, np.insert(getattr(self, name), at, new[by]))
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the table, and whether the key is there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        """Enter chunks with their keys, which the table has not."""
+        for i in range(0, len(chunks), AT_ONCE):
+            some = chunks[i : i + AT_ONCE]
+            ids, count = self.encode_chunks(some)
+            self._append(keys[i : i + AT_ONCE], ids, count, np.frombuffer(b"".join(some), np.uint8), np.fromiter(map(len, some), np.int64, len(some)))
+
+    def _append(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray, raw: np.ndarray, length: np.ndarray) -> None:
+        a, b = self.size, self.size + len(keys)
+        ends = self.n_raw + np.cumsum(length)
+        for name, new in (("keys", keys), ("first", self.n_ids + np.cumsum(count) - count), ("count", count), ("starts", ends - length), ("ends", ends), ("met", 0)):
+            setattr(self, name, _longer(getattr(self, name), b))
+            getattr(self, name)[a:b] = new
+        self.ids, self.raw = _longer(self.ids, self.n_ids + len(ids)), _longer(self.raw, self.n_raw + len(raw))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.raw[self.n_raw : self.n_raw + len(raw)] = raw
+        self.size, self.n_ids, self.n_raw = b, self.n_ids + len(ids), self.n_raw + len(raw)
+        if 2 * b > len(self.slots):
+            self.slots = np.full(1 << (2 * b).bit_length(), -1, np.int32)
+            a = 0
+        place = np.arange(a, b, dtype=np.int32)
+        slot = self._slot(self.keys[a:b])
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]  # of several for one slot one stays
+            rest = self.slots[slot] != place
+            place, slot = place[rest], (slot[rest] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place in the table, -1 where it is not there."""
+        slot = self._slot(keys)
+        place = self.slots[slot]
+        rest = np.flatnonzero((place >= 0) & (self.keys[place] != keys))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.slots) - 1)
+            place[rest] = self.slots[slot[rest]]
+            rest = rest[(place[rest] >= 0) & (self.keys[place[rest]] != keys[rest])]
+        return place
+
+    def make_room(self) -> None:
+        """Keep the half of MOST_CHUNKS that was met in most calls; older calls count half."""
+        keep = np.arange(self.size)
+        if self.size > MOST_CHUNKS // 2:
+            keep = np.sort(np.argpartition(-self.met[: self.size], MOST_CHUNKS // 2)[: MOST_CHUNKS // 2])
+        keys, count, length, met = self.keys[keep], self.count[keep], (self.ends - self.starts)[keep], self.met[keep] // 2
+        ids, raw = _ranges(self.ids, self.first[keep], count), _ranges(self.raw, self.starts[keep], length)
+        self.clear()
+        self._append(keys, ids, count, raw, length)
+        self.met[: self.size] = met
+
+    def places(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: bytes) -> np.ndarray:
+        """Places of chunks [starts, ends) of ``data`` with these keys; unknown ones are learned."""
+        place = self.lookup(keys)
+        new = np.flatnonzero(place < 0)
+        distinct, index = np.unique(keys[new], return_index=True)
+        if self.size + len(distinct) > MOST_CHUNKS:
+            self.make_room()
+            place = self.lookup(keys)
+            new = np.flatnonzero(place < 0)
+            distinct, index = np.unique(keys[new], return_index=True)
+        if len(new):
+            index = new[index]
+            self.learn(distinct, [data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
+            place[new] = self.lookup(keys[new])
+        self.met[place] += 1
+        return place
 
 
 @lru_cache(maxsize=4)
@@ -117,35 +202,19 @@ def encode_flat(raw: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.nda
         odd |= {int(np.searchsorted(offsets, m.start(), "right")) - 1 for m in table.added.finditer(data)}
     starts = _chunks(raw, offsets)
     ends = np.append(starts[1:], len(raw))
-    doc = np.searchsorted(offsets, starts, "right") - 1
+    doc = np.repeat(np.arange(n), np.diff(np.searchsorted(starts, offsets)))
     if odd:
         keep = ~np.isin(doc, sorted(odd))
         starts, ends, doc = starts[keep], ends[keep], doc[keep]
-    keys = textkernel.word_hashes(raw, starts, ends)
-    distinct, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    at, known = table.lookup(distinct)
-    if not known.all():
-        new = np.flatnonzero(~known)
-        before = len(table.keys)
-        piece = [data[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)]
-        table.learn(distinct[new], piece)
-        at, known = table.lookup(distinct)
-        if len(table.keys) < before + len(new) or not known.all():  # the table was emptied: everything of this call again
-            table.clear()
-            piece = [data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-            table.learn(distinct, piece)
-            at, known = table.lookup(distinct)
-    place = at[inverse]
-    right = textkernel.equal_spans(raw, starts, ends, table.raw, table.starts[place], table.ends[place])
+    place = table.places(textkernel.word_hashes(raw, starts, ends), starts, ends, data)
+    right = textkernel.equal_spans(raw, starts, ends, table.raw[: table.n_raw], table.starts[place], table.ends[place])
     if not right.all():  # another chunk has the same hash: those texts go whole
         odd |= set(doc[~right].tolist())
         keep = ~np.isin(doc, sorted(odd))
         doc, place = doc[keep], place[keep]
     odd = sorted(odd)
-    count, first = table.count[place].astype(np.int64), table.first[place]
-    total = int(count.sum())
-    source = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    ids = table.ids[source]
+    count = table.count[place]
+    ids = _ranges(table.ids, table.first[place], count)
     sizes = np.bincount(doc, weights=count, minlength=n).astype(np.int64) if len(doc) else np.zeros(n, np.int64)
     if odd:
         whole = table.encode([data[offsets[d] : offsets[d + 1]].decode("utf-8", "replace") for d in odd])
