@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import AddedToken, Tokenizer
 
-from tracklane.llm import tokens
+from tracklane.llm import bitpack, tokens
 
 NAMES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCé中'.,-7"
@@ -79,3 +80,14 @@ def test_no_token_that_separates(seen, tmp_path):
     assert ids_of(texts, path) == library(texts, path)
     assert len(seen) == tokens.chunk_table(path).size
     assert not tokens._borderless("abxab") and tokens._borderless("<|x|>")
+
+
+def test_token_files_rows(seen):
+    """The rows that op10 writes: batches share one table, and their new chunks share texts."""
+    rng, path = random.Random(7), public_tokenizers.path(NAMES[1])
+    known = words(rng, 2000)
+    batches = [[" ".join(rng.choices(known, k=200)) for _ in range(30)] + [None, ""] for _ in range(3)]
+    made = list(bitpack._ids(path, 2)(pa.record_batch([pa.array(range(len(b))), pa.array(b, pa.string())], ["doc_id", "text"]) for b in batches))
+    got = [np.frombuffer(x, "<u4").tolist() for out in made for x in out["ids"].to_pylist()]
+    assert got == [[*x, 2] for x in library([t or "" for b in batches for t in b], path)]
+    assert len(seen) < tokens.chunk_table(path).size / 10
