@@ -131,3 +131,24 @@ def test_statistics_decide_what_is_alone():
     length, _, _ = FMIndex(flat, 20).matching_statistics(flat, ends, 20, 2)
     times = {t: texts.count(t) for t in set(texts)}
     assert [n == 20 for n in length] == [times[t] > 1 for t in texts] and 0 < (length < 20).sum() < len(length)
+
+
+def test_copies_cost_no_passages(spark, monkeypatch):
+    """Of equal texts one takes part; passages meet in turns; copies shorter than a window stay."""
+    monkeypatch.setattr(repeats, "LEAST", 1)
+    rng, sent = random.Random(9), {}
+    put = repeats.Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        if name.startswith("passages"):
+            sent[rows] = sent.get(rows, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "put", counted)
+    texts = [" ".join(rng.choice("abc") + str(rng.randrange(40)) for _ in range(90)) for _ in range(6)]
+    texts += [texts[0][:150] + " other " + texts[1][50:], " ".join(f"short{i}" for i in range(19)), "tiny", ""]
+    for rows in (1, 5):
+        of = {10 * k + d: t for d, t in enumerate(texts) for k in range(rows)}
+        assert both(spark, list(of.items())) == plain(of)
+    assert sent[1] == sent[5] > 0
