@@ -103,3 +103,46 @@ def test_many_files_are_few_tasks(tmp_path):
     at = {"path": str(tmp_path)}
     for reader in (lidar._Reader(at, []), lidar._SpanReader(at), mp4._Reader(at, [], 1 << 15), workbooks._XlsxReader(at)):
         assert len(reader.partitions()) < 2 * files.TASKS and sum(len(p.value) for p in reader.partitions()) == 300
+
+
+def test_many_names_are_not_the_drivers(tmp_path):
+    """A task's message to the driver is as long for many files as for few; lists and attempts go."""
+    import pickle
+
+    import pyarrow as pa
+
+    sizes = []
+    for n in (1, 3000):
+        writer = named._BytesWriter({"path": str(tmp_path / str(n))})
+        rows = pa.record_batch([pa.array([f"{k // 1000}/é{k:05d}\n.bin" for k in range(n)]), pa.array([b"%d" % k for k in range(n)])], ["name", "data"])
+        messages = [writer.write(iter([rows])), writer.write(iter([])), None]
+        sizes.append(len(pickle.dumps(messages)))
+        writer.commit(messages)
+        got = {p.name: p.read_bytes() for p in (tmp_path / str(n)).rglob("*") if p.is_file()}
+        assert got == {f"é{k:05d}\n.bin": b"%d" % k for k in range(n)}
+    assert abs(sizes[0] - sizes[1]) < 10
+    writer = named._BytesWriter({"path": str(tmp_path / "gone")})
+    writer.abort([writer.write(iter([rows]))])
+    assert not [p for p in (tmp_path / "gone").rglob("*") if p.is_file()]
+
+
+def test_a_folder_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Captures of many folders, with false chains and long records: as each by itself, and no list of them at the driver."""
+    from test_ranges import record, whole
+    from test_sources import packet
+
+    rng, head = random.Random(8), bytes.fromhex("d4c3b2a1" + "02000400" + "00" * 8 + "ffff0000" + "01000000")
+    for k in range(70):
+        (tmp_path / f"d{k // 9}" / "e").mkdir(parents=True, exist_ok=True)
+        records = [record(9, b"none")] + [record(50 + j / 7, rng.choice([packet(j * 900), b"".join(record(j + i, packet(i)) for i in range(4)), bytes(5000) + packet(j)])) for j in range(1 + k % 7 * 3)]
+        (tmp_path / f"d{k // 9}" / rng.choice(["", "e"]) / f"c{k}.PCAP").write_bytes(head + b"".join(records))
+        (tmp_path / f"d{k // 9}" / f"c{k}.txt").write_text("no capture")
+    want = sorted(row for p in tmp_path.rglob("*.PCAP") for row in whole(p))
+    monkeypatch.setattr(lidar, "files", None)
+    for split in (None, 1500, 20_000):
+        got = lidar.read_packets(spark, str(tmp_path), split=split)
+        assert got.rdd.getNumPartitions() == files.TASKS
+        assert sorted(map(tuple, got.collect())) == want
+    assert lidar.read_packets(spark, str(tmp_path / "d0"), payload=False, split=20_000).select("capture_id").distinct().count() == 9
+    (tmp_path / "none").mkdir()
+    assert lidar.read_packets(spark, str(tmp_path / "none")).isEmpty()
