@@ -146,3 +146,20 @@ def test_a_folder_is_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert lidar.read_packets(spark, str(tmp_path / "d0"), payload=False, split=20_000).select("capture_id").distinct().count() == 9
     (tmp_path / "none").mkdir()
     assert lidar.read_packets(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_packets_and_frames_are_not_sent_to_all_tasks(spark, tmp_path):
+    """Few packed bytes may be very many packets: what has a row a packet or a frame is joined by a shuffle."""
+    import re
+
+    from test_ranges import record
+    from test_sources import packet
+
+    head = bytes.fromhex("d4c3b2a1" + "02000400" + "00" * 8 + "ffff0000" + "01000000")
+    (tmp_path / "a.pcap").write_bytes(head + b"".join(record(50 + j / 8, packet(j * 9000 % 36000)) for j in range(40)))
+    for path in (tmp_path, tmp_path / "a.pcap"):
+        found = lidar.frames(lidar.read_packets(spark, str(path)))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(\w+Join) \[capture_id#\d+, (\w+)#", plan)
+        assert sorted(set(joins)) == [("SortMergeJoin", "frame_idx"), ("SortMergeJoin", "packet_idx")]
+        assert [(r.packet_idx, r.frame_idx) for r in found.orderBy("packet_idx").collect()] == [(j, j // 4) for j in range(40)]
